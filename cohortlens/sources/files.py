@@ -18,6 +18,11 @@ def bare_path(column: str):
     return F.regexp_replace(F.col(column), r"^[A-Za-z][A-Za-z0-9+.-]*:/{1,3}", "/")
 
 
+def parent_folders(listing: DataFrame) -> DataFrame:
+    """Folders that hold at least one file."""
+    return listing.select(F.regexp_replace("path", r"/[^/]+$", "").alias("path")).distinct()
+
+
 def present(listed: DataFrame, listing: DataFrame, path: str) -> DataFrame:
     return (listed.withColumn("_p", bare_path(path))
             .join(listing.select(F.col("path").alias("_p")), "_p", "left_semi").drop("_p"))

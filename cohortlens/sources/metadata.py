@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
@@ -13,15 +13,14 @@ from cohortlens.operators.validate import require_domain, require_ids
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as ``value``, with file name and byte order to tell their place."""
+    """Lines as ``value``; a missing path raises ``FileNotFoundError``."""
     try:
-        lines = spark.read.text(path)
+        return spark.read.text(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         raise FileNotFoundError(
             f"{path} does not exist. Download and unpack the metadata first.") from e
-    return lines
 
 
 def tokens(lines: DataFrame) -> DataFrame:
@@ -31,10 +30,14 @@ def tokens(lines: DataFrame) -> DataFrame:
             .where(F.length(text) > 0))
 
 
-def preview(lines: DataFrame, n: int = 5) -> DataFrame:
-    """The first lines raw: how many tokens, and which."""
-    return (tokens(lines.limit(n))
-            .select(F.size("tokens").alias("n_tokens"), "tokens"))
+def preview(lines: DataFrame, n: int = 5, order: str | None = None) -> DataFrame:
+    """The first lines raw: how many tokens, and which.
+
+    ``order`` names a column that gives the line order; without it the scan's
+    own order is used.
+    """
+    head = (lines.orderBy(order) if order else lines).limit(n)
+    return tokens(head).select(F.size("tokens").alias("n_tokens"), "tokens")
 
 
 def detect_columns(lines: DataFrame, most: int = K.DETECTION_LINES,
