@@ -70,7 +70,7 @@ def edge_padded(samples: Column | str, pad: int) -> Column:
 
 
 def rms(frame: Column) -> Column:
-    energy = F.aggregate(frame, F.lit(0.0), lambda acc, v: acc + v * v)
+    energy = F.aggregate(frame, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     return F.sqrt(F.try_divide(energy, F.size(frame).cast("double")))
 
 

@@ -236,14 +236,14 @@ def band_contrast(by_group: DataFrame, band: str, first, second,
         for m in metrics])))
 
 
-def hardest_and_easiest(by_group: DataFrame, group: str, metric: str) -> DataFrame:
-    """The groups with the lowest and highest metric, first name on ties."""
-    low = F.struct(F.col(metric), F.col(group))
-    return by_group.where(F.col(metric).isNotNull()).agg(
-        F.min(low).alias("_low"),
-        F.min(F.struct((-F.col(metric)).alias("m"), F.col(group))).alias("_high")).select(
-        F.col(f"_low.{group}").alias("hardest"), F.col(f"_low.{metric}").alias("hardest_value"),
-        F.col(f"_high.{group}").alias("easiest"), (-F.col("_high.m")).alias("easiest_value"))
+def hardest_and_easiest(by_group: DataFrame, group: str, error: str = "eer") -> DataFrame:
+    """The groups with the highest and the lowest error, first name on ties."""
+    low = F.struct(F.col(error).alias("v"), F.col(group).alias("g"))
+    high = F.struct((-F.col(error)).alias("v"), F.col(group).alias("g"))
+    return by_group.where(F.col(error).isNotNull()).agg(
+        F.min(high).alias("_high"), F.min(low).alias("_low")).select(
+        F.col("_high.g").alias("hardest"), (-F.col("_high.v")).alias("hardest_value"),
+        F.col("_low.g").alias("easiest"), F.col("_low.v").alias("easiest_value"))
 
 
 def saturation_point(curve: DataFrame, size: str = "n_train", metric: str = "f1_macro",

@@ -308,10 +308,10 @@ ORACLES = {
                AS difference FROM banded""" for m in ["f1_macro", "recall_0", "eer"]),
     "hardest_and_easiest": f"""
         WITH {_GROUPS}
-        SELECT (SELECT priority FROM grouped ORDER BY eer, priority LIMIT 1) AS hardest,
-               (SELECT round(min(eer), 6) FROM grouped) AS hardest_value,
-               (SELECT priority FROM grouped ORDER BY eer DESC, priority LIMIT 1) AS easiest,
-               (SELECT round(max(eer), 6) FROM grouped) AS easiest_value""",
+        SELECT (SELECT priority FROM grouped ORDER BY eer DESC, priority LIMIT 1) AS hardest,
+               (SELECT round(max(eer), 6) FROM grouped) AS hardest_value,
+               (SELECT priority FROM grouped ORDER BY eer, priority LIMIT 1) AS easiest,
+               (SELECT round(min(eer), 6) FROM grouped) AS easiest_value""",
     "report_order": f"""
         WITH {FINE}
         SELECT priority, count(*) AS n,
