@@ -1,7 +1,8 @@
-"""Short-time spectra: the one step that built-in expressions cannot express.
+"""Short-time series of a waveform: what built-in expressions cannot do well.
 
-A small numpy helper behind an Arrow-batched pandas UDF. Mel filters and the
-cosine basis are computed once per Python worker.
+A small numpy helper behind an Arrow-batched pandas UDF; one call gives all the
+series, so a waveform crosses to Python once. Mel filters and the cosine basis
+are computed once per Python worker.
 Definitions: Davis and Mermelstein (1980) for the cepstrum; McFee et al. (2015)
 for framing, mel scale and filter scaling.
 """
@@ -24,8 +25,10 @@ MEL_LOG_STEP = float(np.log(6.4) / 27.0)
 POWER_FLOOR = 1e-10
 TOP_DB = 80.0
 
-SPECTRA_TYPE = ("struct<mfcc: array<array<double>>, centroid: array<double>, "
-                "mel: array<array<double>>, erro: string>")
+QUIET = 1e-10
+
+SERIES_TYPE = ("struct<mfcc: array<array<double>>, centroid: array<double>, "
+               "zcr: array<double>, mel: array<array<double>>, erro: string>")
 
 
 def mel_to_hz(mel: np.ndarray) -> np.ndarray:
@@ -72,13 +75,23 @@ def frame_spectra(y: np.ndarray, n_fft: int, hop: int, win: int, center: bool) -
     return np.abs(np.fft.rfft(rows * window, axis=1))
 
 
-def spectra(samples: Column | str, rate: int = K.SAMPLE_RATE, n_mfcc: int = K.N_MFCC,
+def crossing_rate(y: np.ndarray, hop: int, win: int, center: bool) -> np.ndarray:
+    """Sign changes inside each frame over its length; zero counts as positive."""
+    if center:
+        y = np.pad(y, win // 2, mode="edge")
+    below = y < -QUIET
+    so_far = np.concatenate([[0], np.cumsum(below[1:] != below[:-1])])
+    starts = np.arange(0, len(y) - win + 1, hop)
+    return (so_far[starts + win - 1] - so_far[starts]) / win
+
+
+def short_time(samples: Column | str, rate: int = K.SAMPLE_RATE, n_mfcc: int = K.N_MFCC,
             n_fft: int = K.N_FFT, hop: int = K.HOP, win: int = K.WIN,
             n_mels: int = K.N_MELS, center: bool = True,
             top_db: float | None = TOP_DB, keep_mel: bool = False) -> Column:
-    """Struct of per-frame ``mfcc`` (frame x coefficient), ``centroid`` and,
-    with ``keep_mel``, ``mel`` in decibels. A row that fails has ``erro`` set
-    and the rest null, so one bad waveform does not end the job."""
+    """Struct of per-frame ``mfcc`` (frame x coefficient), ``centroid``, ``zcr``
+    and, with ``keep_mel``, ``mel`` in decibels. A row that fails has ``erro``
+    set and the rest null, so one bad waveform does not end the job."""
 
     def one(samples) -> dict:
         y = np.asarray(samples, dtype=np.float64)
@@ -93,17 +106,19 @@ def spectra(samples: Column | str, rate: int = K.SAMPLE_RATE, n_mfcc: int = K.N_
         if top_db is not None:
             mel = np.maximum(mel, mel.max() - top_db)
         mfcc = mel @ cosine_basis(n_mfcc, n_mels).T
-        return {"mfcc": mfcc.tolist(), "centroid": centroid.tolist(),
-                "mel": mel.tolist() if keep_mel else None, "erro": None}
+        zcr = crossing_rate(y, hop, win, center)
+        return {"mfcc": list(mfcc), "centroid": centroid, "zcr": zcr,
+                "mel": list(mel) if keep_mel else None, "erro": None}
 
-    @F.pandas_udf(SPECTRA_TYPE)
+    @F.pandas_udf(SERIES_TYPE)
     def batch(column: pd.Series) -> pd.DataFrame:
         out = []
         for samples in column:
             try:
                 out.append(one(samples))
             except Exception as e:      # reported per row, see the docstring
-                out.append({"mfcc": None, "centroid": None, "mel": None, "erro": repr(e)})
-        return pd.DataFrame(out, columns=["mfcc", "centroid", "mel", "erro"])
+                out.append({"erro": repr(e)})
+        return pd.DataFrame({name: [row.get(name) for row in out]
+                             for name in ("mfcc", "centroid", "zcr", "mel", "erro")})
 
     return batch(samples)

@@ -25,48 +25,51 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def mix_down(channels: Column | str) -> Column:
     """Mean over channels of ``array<array<float>>`` (channel first)."""
-    x = _col(channels)
-    total = F.aggregate(
-        F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))),
-        F.transform(x[0], lambda v: v.cast("double")),
-        lambda acc, c: F.zip_with(acc, c, lambda a, b: a + b))
-    return bind(total, lambda t: F.transform(t, lambda v: (v / F.size(x)).cast("float")))
+    def mean(x: Column) -> Column:
+        total = F.aggregate(
+            F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))),
+            F.transform(F.element_at(x, 1), lambda v: v.cast("double")),
+            lambda acc, c: F.zip_with(acc, c, lambda a, b: a + b))
+        return bind(total, lambda t: F.transform(t, lambda v: (v / F.size(x)).cast("float")))
+
+    return bind(_col(channels), mean)
 
 
 def peak(samples: Column | str) -> Column:
-    return F.array_max(F.transform(_col(samples), lambda v: F.abs(v)))
+    """Largest absolute value, without a pass through a lambda."""
+    x = _col(samples)
+    return F.greatest(F.array_max(x), -F.array_min(x))
 
 
 def peak_normalize(samples: Column | str, silent: float = K.SILENT_PEAK) -> Column:
     """Scale to a peak of 1; a silent or empty waveform stays as it is."""
-    x = _col(samples)
-    return bind(peak(x), lambda p: F.when(
+    return bind(_col(samples), lambda x: bind(peak(x), lambda p: F.when(
         p.isNull() | (p < silent), x
-    ).otherwise(F.transform(x, lambda v: (v / p).cast("float"))))
+    ).otherwise(F.transform(x, lambda v: (v / p).cast("float")))))
 
 
 def fix_length(samples: Column | str, length: int) -> Column:
     """Exactly ``length`` samples: the start of a longer one, or zeros after."""
-    x = _col(samples)
-    pad = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(length - F.size(x), F.lit(0)))
-    return F.when(F.size(x) >= length, F.slice(x, 1, length)).otherwise(F.concat(x, pad))
+    def fitted(x: Column) -> Column:
+        pad = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(length - F.size(x), F.lit(0)))
+        return F.when(F.size(x) >= length, F.slice(x, 1, length)).otherwise(F.concat(x, pad))
+
+    return bind(_col(samples), fitted)
 
 
 def frames(samples: Column | str, win: int, hop: int) -> Column:
     """Overlapping frames; a tail shorter than ``win`` is left out."""
-    x = _col(samples)
     empty = F.array().cast("array<array<float>>")
-    return F.when(F.size(x) >= win, F.transform(
+    return bind(_col(samples), lambda x: F.when(F.size(x) >= win, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(x) - win, F.lit(0)), F.lit(hop)),
-        lambda s: F.slice(x, s + 1, win))).otherwise(empty)
+        lambda s: F.slice(x, s + 1, win))).otherwise(empty))
 
 
 def edge_padded(samples: Column | str, pad: int) -> Column:
     """Repeat the first and last sample ``pad`` times, to centre the frames."""
-    x = _col(samples)
-    return F.when(F.size(x) > 0, F.concat(
+    return bind(_col(samples), lambda x: F.when(F.size(x) > 0, F.concat(
         F.array_repeat(F.try_element_at(x, F.lit(1)), pad), x,
-        F.array_repeat(F.try_element_at(x, F.lit(-1)), pad))).otherwise(x)
+        F.array_repeat(F.try_element_at(x, F.lit(-1)), pad))).otherwise(x))
 
 
 def rms(frame: Column) -> Column:
@@ -80,12 +83,14 @@ def active_frames(samples: Column | str, frame: int, threshold: float) -> Column
     The share divides by the full length, tail included. When no frame is loud
     the waveform comes back whole with share 0.
     """
-    x = _col(samples)
-    loud = F.filter(frames(x, frame, frame), lambda f: rms(f) >= threshold)
-    return bind(F.flatten(loud), lambda kept: F.struct(
-        F.when(F.size(kept) > 0, kept).otherwise(x).alias("samples"),
-        F.when(F.size(kept) > 0, F.size(kept) / F.size(x)).otherwise(F.lit(0.0))
-        .alias("share")))
+    def chosen(x: Column) -> Column:
+        loud = F.filter(frames(x, frame, frame), lambda f: rms(f) >= threshold)
+        return bind(F.flatten(loud), lambda kept: F.struct(
+            F.when(F.size(kept) > 0, kept).otherwise(x).alias("samples"),
+            F.when(F.size(kept) > 0, F.size(kept) / F.size(x)).otherwise(F.lit(0.0))
+            .alias("share")))
+
+    return bind(_col(samples), chosen)
 
 
 def zero_crossings(frame: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.functions import spectra as S
 from cohortlens.functions import waves as W
+from cohortlens.operators.ordering import previous_in_order
 
 LOUD_RMS = 0.02
 
@@ -33,11 +34,12 @@ def sign_changes(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """Rate of sign changes between consecutive rows of each series.
 
     For series stored as rows; a stored array uses ``waves.zero_crossings``.
+    ``order`` must be unique within the table.
     """
-    below = F.col(value) < centre
-    previous = F.lag(below).over(Window.partitionBy(*by).orderBy(*order))
-    changed = F.coalesce((below != previous).cast("int"), F.lit(0))
-    return (df.withColumn("_changed", changed).groupBy(*by)
+    rows = df.select(*by, *order, (F.col(value) < centre).alias("_below"))
+    pairs = previous_in_order(rows, by, order, F.col("_below"), "_before")
+    changed = F.coalesce((F.col("_below") != F.col("_before")).cast("int"), F.lit(0))
+    return (pairs.withColumn("_changed", changed).groupBy(*by)
             .agg(F.count("*").alias("n"), F.sum("_changed").alias("n_changes"))
             .withColumn("rate", F.col("n_changes") / F.col("n")))
 
@@ -91,16 +93,14 @@ def extract(df: DataFrame, id_col: str, samples: str = "samples",
     from one row, so the partial aggregate already yields one record per
     waveform and only that is shuffled. The id must be unique.
     """
-    padded = W.edge_padded(samples, win // 2) if center else F.col(samples)
-    spectral = S.spectra(F.coalesce(F.col(samples), F.array().cast("array<float>")),
+    found = S.short_time(F.coalesce(F.col(samples), F.array().cast("array<float>")),
                          rate, n_mfcc, n_fft, hop, win, n_mels, center)
-    rows = (df.withColumn("_spectra", spectral)
-            .withColumn("_zcr", F.transform(W.frames(padded, win, hop), W.zero_crossings)))
-    series = F.arrays_zip(F.col("_spectra.mfcc").alias("mfcc"),
-                          F.col("_spectra.centroid").alias("centroid"),
-                          F.col("_zcr").alias("zcr"))
-    frames = rows.select(id_col, *carry, F.col("_spectra.erro").alias("erro"),
-                         F.explode_outer(series).alias("_f"))
+    # for odd lengths the last crossing frame may have no spectrum, or the other way
+    series = F.arrays_zip(*[F.col(f"_series.{n}").alias(n)
+                            for n in ("mfcc", "centroid", "zcr")])
+    frames = df.withColumn("_series", found).select(
+        id_col, *carry, F.col("_series.erro").alias("erro"),
+        F.explode_outer(series).alias("_f"))
     coef = [F.col("_f.mfcc")[i] for i in range(n_mfcc)]
 
     def summary(make, tag: str) -> list[Column]:

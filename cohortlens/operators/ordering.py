@@ -103,6 +103,34 @@ def running_totals(hist: DataFrame, value: str, weights: Sequence[str],
     return out
 
 
+def previous_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str],
+                      value: Column, name: str = "previous",
+                      points: int = POINTS) -> DataFrame:
+    """``value`` of the row before, in each group's order; null on the first.
+
+    A long series is cut into slots of its order, so no task sorts a whole one;
+    a slot's first row takes the last value of the slot before. ``order`` must
+    be unique within the table, which also makes the result deterministic.
+    """
+    keyed = (df.where(F.col(order[0]).isNotNull())
+             .select("*", F.struct(*order).alias("_order"), value.alias("_value")))
+    cuts = (keyed.select("_order").orderBy(F.xxhash64(*[F.col(f"_order.{o}") for o in order]),
+                                           "_order").limit(points)
+            .agg(F.sort_array(F.collect_list("_order"))).scalar())
+    cut = (keyed.withColumn("_points", cuts)
+           .withColumn("_slot", slot_of(F.col("_order"), F.col("_points"), points))
+           .drop("_points"))
+    tails = cut.groupBy(*by, "_slot").agg(
+        F.max_by(F.struct("_value"), "_order").alias("_tail"))
+    carried = tails.select(*by, "_slot", F.lag("_tail").over(
+        Window.partitionBy(*by).orderBy("_slot")).alias("_carried"))
+    inside = F.lag(F.struct("_value")).over(
+        Window.partitionBy(*by, "_slot").orderBy("_order"))
+    return (cut.join(carried, [*by, "_slot"])
+            .withColumn(name, F.coalesce(inside, F.col("_carried"))["_value"])
+            .select(*df.columns, name))
+
+
 def hash_key(seed: int, *ids: str) -> Column:
     """Deterministic shuffle key: the same for any partitioning or row order."""
     return F.md5(F.concat_ws("#", F.lit(str(seed)),

@@ -13,7 +13,7 @@ from cohortlens.operators import models as M
 from cohortlens.operators import split as S
 from cohortlens.plans.data import table
 from cohortlens.sources.tables import read_or_build, run_record
-from cohortlens.storage import materialise, shared_dir
+from cohortlens.storage import materialise, session_dir
 
 NAMES = [f"x{i}" for i in range(1, 65)]
 CURVE = [100, 200, None]
@@ -21,8 +21,7 @@ CURVE = [100, 200, None]
 
 def _session_path(spark, sf, name):
     tag = hashlib.md5(sf.encode()).hexdigest()[:12]
-    return (f"{shared_dir(spark)}/cohortlens/{spark.sparkContext.applicationId}"
-            f"-{tag}-{name}")
+    return f"{session_dir(spark)}/{name}-{tag}"
 
 
 def _examples(spark, sf):

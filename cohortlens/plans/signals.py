@@ -66,13 +66,13 @@ def zero_crossings(spark, sf):
 
 
 def spectral_centroid(spark, sf):
-    found = _waves(spark, sf).select("vec_id", S.spectra("samples", **SHORT).alias("s"))
+    found = _waves(spark, sf).select("vec_id", S.short_time("samples", **SHORT).alias("s"))
     return found.select("vec_id", F.posexplode("s.centroid").alias("frame_idx", "c")).select(
         "vec_id", "frame_idx", F.round("c", 6).alias("centroid"))
 
 
 def mfcc_features(spark, sf):
-    found = _waves(spark, sf).select("vec_id", S.spectra("samples", **SHORT).alias("s"))
+    found = _waves(spark, sf).select("vec_id", S.short_time("samples", **SHORT).alias("s"))
     return found.select("vec_id", F.posexplode("s.mfcc").alias("frame_idx", "c")).select(
         "vec_id", "frame_idx",
         *[F.round(F.col("c")[i], 6).alias(f"mfcc{i + 1}") for i in range(CEPS)])
@@ -80,7 +80,7 @@ def mfcc_features(spark, sf):
 
 def mel_spectrogram(spark, sf):
     found = _waves(spark, sf).select(
-        "vec_id", S.spectra("samples", keep_mel=True, **SHORT).alias("s"))
+        "vec_id", S.short_time("samples", keep_mel=True, **SHORT).alias("s"))
     return (found.select("vec_id", F.posexplode("s.mel").alias("frame_idx", "m"))
             .select("vec_id", "frame_idx", F.posexplode("m").alias("band", "v"))
             .select("vec_id", "frame_idx", "band", F.round("v", 6).alias("db")))

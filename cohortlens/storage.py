@@ -27,9 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/cohortlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; no two calls share one."""
-    return f"{shared_dir(spark)}/cohortlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder; no two calls share one."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote. Tables that still read it break."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
