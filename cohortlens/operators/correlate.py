@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.operators.ordering import average_ranks
-from cohortlens.storage import broadcast_if_small, materialise
+from cohortlens.storage import BROADCAST_ROWS, scratch_path
+
+
+PAIRS_PER_PASS = 15
 
 
 def _matrix(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
-    """All pairs in a single aggregate, unpivoted afterwards."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one_row = df.agg(*[F.corr(F.col(columns[i]).cast("double"),
-                              F.col(columns[j]).cast("double")).alias(f"_{i}_{j}")
-                       for i, j in pairs])
+    """Every pair in one aggregate, unpivoted afterwards.
+
+    More pairs than ``PAIRS_PER_PASS`` take several aggregates: a wider one
+    would outgrow what the JVM compiles, and run an order of magnitude slower.
+    """
+    pairs = list(combinations(range(len(columns)), 2))
+    blocks = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
 
     def cell(i: int, j: int, r: Column) -> Column:
         return F.struct(F.lit(method).alias("method"), F.lit(columns[i]).alias("a"),
                         F.lit(columns[j]).alias("b"), F.lit(i).alias("a_idx"),
                         F.lit(j).alias("b_idx"), r.alias("r"))
 
-    both = [cell(i, j, F.col(f"_{i}_{j}")) for i, j in pairs]
-    both += [cell(j, i, F.col(f"_{i}_{j}")) for i, j in pairs if i != j]
-    return one_row.select(F.inline(F.array(*both)))
+    spread = df.agg(*[(F.min(c) < F.max(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    out = spread.select(F.inline(F.array(*[
+        cell(i, i, F.when(F.col(f"_{i}"), 1.0)) for i in range(len(columns))])))
+    for block in blocks:
+        one_row = df.agg(*[F.corr(F.col(columns[i]).cast("double"),
+                                  F.col(columns[j]).cast("double")).alias(f"_{i}_{j}")
+                           for i, j in block])
+        out = out.unionByName(one_row.select(F.inline(F.array(*[
+            cell(x, y, F.col(f"_{i}_{j}")) for i, j in block for x, y in ((i, j), (j, i))]))))
+    return out
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,15 +49,23 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by its average ranks.
 
-    A column's rank table has one row per distinct value. It is written once
-    and counted: a small one is broadcast, a large one joins by shuffle, where
-    adaptive execution splits a value that holds many rows.
+    The ranks of all columns are written once, one folder per column, with one
+    row per distinct value. A column whose ranks are few is joined by
+    broadcast; otherwise by shuffle, where adaptive execution splits a value
+    that holds many rows.
     """
-    ranked = df.select(*columns)
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranks")
+    average_ranks(df, columns).write.partitionBy("column").parquet(path)
+    stored = spark.read.schema("value double, rank double, column string").parquet(path)
+    sizes = {r["column"]: r["count"] for r in stored.groupBy("column").count().collect()}
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
-        ranks = materialise(average_ranks(df, c), "ranks")
-        ranked = (ranked.join(broadcast_if_small(ranks), c)
-                  .drop(c).withColumnRenamed("rank", f"_rank_{c}"))
+        ranks = stored.where(F.col("column") == c).select(
+            F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            ranks = F.broadcast(ranks)
+        ranked = ranked.join(ranks, c).drop(c)
     return ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
 

@@ -187,8 +187,16 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float],
         *[between(i, p) for i, p in enumerate(fractions)]).alias("quantiles"))
 
 
-def average_ranks(df: DataFrame, value: str, points: int = POINTS) -> DataFrame:
-    """One row per distinct value with its average rank (ties share one)."""
-    ranked = running_totals(value_counts(df, value), value, ["n"], points=points)
-    return ranked.select(
-        value, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+def average_ranks(df: DataFrame, columns: Sequence[str], points: int = POINTS) -> DataFrame:
+    """``column, value, rank``: average ranks of the distinct values of columns.
+
+    All columns are ranked in one pass: rows become (column, value) pairs that
+    are counted before they are shuffled.
+    """
+    pairs = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(pairs.alias("_p")).select("_p.column", "_p.value")
+    ranked = running_totals(value_counts(long, "value", ["column"]), "value", ["n"],
+                            ["column"], points=points)
+    return ranked.select("column", "value", (
+        F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))

@@ -9,7 +9,7 @@ Assigning is a narrow pass over the rows. Same result for any partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from cohortlens import constants as K
 from cohortlens.functions.rates import percent, ratio
 from cohortlens.operators.ordering import HASH_DIGITS, hash_key
 from cohortlens.operators.validate import require_proportions
-from cohortlens.storage import broadcast_if_small, materialise
+from cohortlens.storage import BROADCAST_ROWS, broadcast_if_small, materialise
 
 
 def stratum_key(*columns: str) -> Column:
@@ -72,7 +72,8 @@ def _slot_counts(keyed: DataFrame, digits: int) -> DataFrame:
 
 
 def _cutoffs(keyed: DataFrame, id_col: str, slots: DataFrame, ends: DataFrame,
-             marks: int, digits: int) -> DataFrame:
+             marks: int, digits: int,
+             side: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per stratum, the key of the row at each of ``ends`` (an array of ranks).
 
     A rank of 0 has no row and no cutoff (null); a rank of the whole stratum
@@ -87,7 +88,7 @@ def _cutoffs(keyed: DataFrame, id_col: str, slots: DataFrame, ends: DataFrame,
                    i.alias("mark"), (r - F.col("_start")).alias("rank"))),
                lambda m: (m["rank"] >= 1) & (m["rank"] <= F.col("_n"))))
            .where(F.size("_here") > 0).select("stratum", "_slot", "_here"))
-    hit = broadcast_if_small(materialise(hit, "cut-slots"))
+    hit = side(hit)
     place = F.row_number().over(
         Window.partitionBy("stratum", "_slot").orderBy("_key", id_col))
     near = (keyed.select("stratum", "_key", id_col)
@@ -110,8 +111,16 @@ def _at_or_below(id_col: str, mark: int) -> Column:
 
 def _cut_rows(keyed: DataFrame, id_col: str, slots: DataFrame, ends: DataFrame,
               marks: int, digits: int) -> DataFrame:
-    cuts = materialise(_cutoffs(keyed, id_col, slots, ends, marks, digits), "cutoffs")
-    return keyed.join(broadcast_if_small(cuts), "stratum")
+    """The rows with their stratum's cutoffs.
+
+    Cutoffs and the slots they fall in number at most strata x marks. The slot
+    table tells how many strata there are, and so whether they may be broadcast
+    or must join by shuffle.
+    """
+    few = slots.select("stratum").distinct().count() * marks <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda table: table)
+    cuts = _cutoffs(keyed, id_col, slots, ends, marks, digits, side)
+    return keyed.join(side(cuts), "stratum")
 
 
 def split_sizes(slots: DataFrame, parts: Sequence[tuple[str, float]]) -> DataFrame:
