@@ -1,23 +1,27 @@
 """Short-time series of a waveform: what built-in expressions cannot do well.
 
 A small numpy helper behind an Arrow-batched pandas UDF; one call gives all the
-series, so a waveform crosses to Python once. Mel filters and the cosine basis
-are computed once per Python worker.
+series, so a waveform crosses to Python once. Window, mel filters and cosine
+basis are computed on the driver and travel with the function (about 300 kB).
 Definitions: Davis and Mermelstein (1980) for the cepstrum; McFee et al. (2015)
 for framing, mel scale and filter scaling.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 
+# workers get these functions by value: they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: mel scale (linear below the knee, logarithmic above) ------
 MEL_HZ_STEP = 200.0 / 3.0
 MEL_KNEE_HZ = 1000.0
@@ -43,7 +47,6 @@ def hz_to_mel(hz: float) -> float:
     return MEL_KNEE_HZ / MEL_HZ_STEP + np.log(hz / MEL_KNEE_HZ) / MEL_LOG_STEP
 
 
-@lru_cache(maxsize=8)
 def mel_filters(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangles of equal area, ``n_mels`` x ``n_fft // 2 + 1``."""
     bins = np.arange(n_fft // 2 + 1) * rate / n_fft
@@ -53,7 +56,6 @@ def mel_filters(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rise, fall)) * 2.0 / (high - low)
 
 
-@lru_cache(maxsize=8)
 def cosine_basis(n_out: int, n_in: int) -> np.ndarray:
     """Orthonormal DCT-II rows."""
     k, n = np.arange(n_out)[:, None], np.arange(n_in)[None, :]
@@ -62,15 +64,21 @@ def cosine_basis(n_out: int, n_in: int) -> np.ndarray:
     return basis
 
 
-def frame_spectra(y: np.ndarray, n_fft: int, hop: int, win: int, center: bool) -> np.ndarray:
-    """Magnitudes, one row per frame, under a periodic Hann window."""
+def hann_window(n_fft: int, win: int) -> np.ndarray:
+    """Periodic Hann window of ``win`` samples in the middle of ``n_fft``."""
+    window = np.zeros(n_fft)
+    at = (n_fft - win) // 2
+    window[at:at + win] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
+    return window
+
+
+def frame_spectra(y: np.ndarray, window: np.ndarray, hop: int, center: bool) -> np.ndarray:
+    """Magnitudes, one row per frame."""
+    n_fft = len(window)
     if center:
         y = np.pad(y, n_fft // 2)
     if len(y) < n_fft:
         raise ValueError(f"waveform of {len(y)} samples is shorter than a frame of {n_fft}")
-    window = np.zeros(n_fft)
-    at = (n_fft - win) // 2
-    window[at:at + win] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
     rows = np.lib.stride_tricks.sliding_window_view(y, n_fft)[::hop]
     return np.abs(np.fft.rfft(rows * window, axis=1))
 
@@ -91,21 +99,28 @@ def short_time(samples: Column | str, rate: int = K.SAMPLE_RATE, n_mfcc: int = K
             top_db: float | None = TOP_DB, keep_mel: bool = False) -> Column:
     """Struct of per-frame ``mfcc`` (frame x coefficient), ``centroid``, ``zcr``
     and, with ``keep_mel``, ``mel`` in decibels. A row that fails has ``erro``
-    set and the rest null, so one bad waveform does not end the job."""
+    set and the rest null, so one bad waveform does not end the job.
+
+    Give it a stored column: the planner cannot run a Python function whose
+    argument holds nested lambdas (see ``features.with_series``)."""
+    window = hann_window(n_fft, win)
+    filters, basis = mel_filters(rate, n_fft, n_mels).T, cosine_basis(n_mfcc, n_mels).T
+    hz = np.arange(n_fft // 2 + 1) * rate / n_fft
 
     def one(samples) -> dict:
         y = np.asarray(samples, dtype=np.float64)
         if not np.isfinite(y).all():
             raise ValueError("waveform has values that are not finite")
-        size = frame_spectra(y, n_fft, hop, win, center)
-        hz = np.arange(n_fft // 2 + 1) * rate / n_fft
+        if not len(y):
+            raise ValueError("waveform is empty")
+        size = frame_spectra(y, window, hop, center)
         weight = size.sum(axis=1)
         centroid = np.divide(size @ hz, weight, out=np.zeros(len(size)), where=weight > 0)
         mel = 10 * np.log10(np.maximum(
-            POWER_FLOOR, size ** 2 @ mel_filters(rate, n_fft, n_mels).T))
+            POWER_FLOOR, size ** 2 @ filters))
         if top_db is not None:
             mel = np.maximum(mel, mel.max() - top_db)
-        mfcc = mel @ cosine_basis(n_mfcc, n_mels).T
+        mfcc = mel @ basis
         zcr = crossing_rate(y, hop, win, center)
         return {"mfcc": list(mfcc), "centroid": centroid, "zcr": zcr,
                 "mel": list(mel) if keep_mel else None, "erro": None}

@@ -30,15 +30,20 @@ def _matrix(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
                         F.lit(columns[j]).alias("b"), F.lit(i).alias("a_idx"),
                         F.lit(j).alias("b_idx"), r.alias("r"))
 
-    spread = df.agg(*[(F.min(c) < F.max(c)).alias(f"_{i}") for i, c in enumerate(columns)])
-    out = spread.select(F.inline(F.array(*[
-        cell(i, i, F.when(F.col(f"_{i}"), 1.0)) for i in range(len(columns))])))
-    for block in blocks:
-        one_row = df.agg(*[F.corr(F.col(columns[i]).cast("double"),
-                                  F.col(columns[j]).cast("double")).alias(f"_{i}_{j}")
-                           for i, j in block])
-        out = out.unionByName(one_row.select(F.inline(F.array(*[
-            cell(x, y, F.col(f"_{i}_{j}")) for i, j in block for x, y in ((i, j), (j, i))]))))
+    def over(block: list, diagonal: bool) -> DataFrame:
+        varies = [(F.min(c) < F.max(c)).alias(f"_{i}")
+                  for i, c in enumerate(columns)] if diagonal else []
+        one_row = df.agg(*varies, *[
+            F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
+            .alias(f"_{i}_{j}") for i, j in block])
+        cells = [cell(x, y, F.col(f"_{i}_{j}")) for i, j in block for x, y in ((i, j), (j, i))]
+        if diagonal:
+            cells += [cell(i, i, F.when(F.col(f"_{i}"), 1.0)) for i in range(len(columns))]
+        return one_row.select(F.inline(F.array(*cells)))
+
+    out = over(blocks[0] if blocks else [], diagonal=True)
+    for block in blocks[1:]:
+        out = out.unionByName(over(block, diagonal=False))
     return out
 
 

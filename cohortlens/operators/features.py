@@ -83,6 +83,19 @@ def prepare(df: DataFrame, samples: str = "samples", rate: int = K.SAMPLE_RATE,
     return scaled.withColumn(samples, W.fix_length(samples, int(rate * seconds)))
 
 
+def with_series(df: DataFrame, samples: str = "samples", name: str = "series",
+                **params) -> DataFrame:
+    """Add the short-time series of a waveform column, however it was made.
+
+    The planner would merge the expressions behind ``samples`` into the call of
+    the Python function, and cannot run that when they hold nested lambdas.
+    Unpacking a one-element array keeps the two steps apart.
+    """
+    wave = F.coalesce(F.col(samples), F.array().cast("array<float>"))
+    return (df.select("*", F.explode(F.array(wave)).alias("_wave"))
+            .withColumn(name, S.short_time("_wave", **params)).drop("_wave"))
+
+
 def extract(df: DataFrame, id_col: str, samples: str = "samples",
             carry: Sequence[str] = (), rate: int = K.SAMPLE_RATE,
             n_mfcc: int = K.N_MFCC, n_fft: int = K.N_FFT, hop: int = K.HOP,
@@ -93,12 +106,12 @@ def extract(df: DataFrame, id_col: str, samples: str = "samples",
     from one row, so the partial aggregate already yields one record per
     waveform and only that is shuffled. The id must be unique.
     """
-    found = S.short_time(F.coalesce(F.col(samples), F.array().cast("array<float>")),
-                         rate, n_mfcc, n_fft, hop, win, n_mels, center)
+    found = with_series(df, samples, "_series", rate=rate, n_mfcc=n_mfcc, n_fft=n_fft,
+                        hop=hop, win=win, n_mels=n_mels, center=center)
     # for odd lengths the last crossing frame may have no spectrum, or the other way
     series = F.arrays_zip(*[F.col(f"_series.{n}").alias(n)
                             for n in ("mfcc", "centroid", "zcr")])
-    frames = df.withColumn("_series", found).select(
+    frames = found.select(
         id_col, *carry, F.col("_series.erro").alias("erro"),
         F.explode_outer(series).alias("_f"))
     coef = [F.col("_f.mfcc")[i] for i in range(n_mfcc)]

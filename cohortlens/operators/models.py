@@ -66,12 +66,27 @@ def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataF
 
 # ---- fitting and scoring --------------------------------------------------------
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in few files.
+
+    Training passes over its rows once per tree level. A table with at least as
+    many partitions as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def forest(trees: int = 100, depth: int = 30, seed: int = K.SEED, label: str = "y",
            weight: str | None = "weight", **params) -> RandomForestClassifier:
-    """The baseline learner; 30 is the deepest tree the library grows."""
+    """The baseline learner; 30 is the deepest tree the library grows.
+
+    Deep trees make the node of each row costly to find again at every level,
+    so it is kept with the row.
+    """
+    settings = {"cacheNodeIds": True, **params}
     model = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", seed=seed, **params)
+        featureSubsetStrategy="sqrt", seed=seed, **settings)
     return model.setWeightCol(weight) if weight else model
 
 
@@ -175,7 +190,7 @@ def learning_curve(samples: DataFrame, valid: DataFrame, sizes: Sequence[int | N
     for n in sizes:
         part = samples.where(F.col("sample_rows").eqNullSafe(F.lit(n).cast("bigint")))
         train = with_class_weights(part, label)
-        took, model = seconds(lambda: forest(trees, depth, seed, label).fit(train))
+        took, model = seconds(lambda: forest(trees, depth, seed, label).fit(spread_out(train)))
         rows = part.agg(F.count("*")).scalar()
         tables.append(report(with_scores(model, valid), label).select(
             rows.alias("n_train"), F.round("f1_macro", 4).alias("f1_macro"),

@@ -7,8 +7,9 @@ order is cut into slots first:
 2. slot totals (at most ``points + 1`` rows per group) give each slot's offset;
 3. the window runs inside ``(group, slot)`` and the offset is added.
 
-For values the cuts are real values: those with the smallest hashes. That is
-a uniform pick among the *distinct* values however often each occurs, and any
+For values the cuts are the values of the counted rows with the smallest
+hashes. Counted rows are distinct in ``(group, value)``, so that is a uniform
+pick whatever the counts; a group with many values gets many cuts, and any
 re-run picks the same ones. For hashed keys the leading hex digits do.
 """
 
@@ -24,16 +25,16 @@ HASH_DIGITS = 3
 
 
 def split_points(hist: DataFrame, value: str, weights: Sequence[str],
-                 points: int = POINTS) -> DataFrame:
-    """One row, one sorted array of at most ``points`` distinct values.
+                 by: Sequence[str] = (), points: int = POINTS) -> DataFrame:
+    """One row, one sorted array of at most ``points`` values to cut at.
 
     Asking for a positive weight keeps the weight columns in this branch of the
     plan, so that it reuses the shuffle of ``hist`` instead of a second scan.
     """
     weighs = sum((F.col(w) for w in weights), F.lit(0)) > 0
-    picked = (hist.where(weighs).select(value).distinct()
-              .orderBy(F.xxhash64(value), value).limit(points))
-    return picked.agg(F.sort_array(F.collect_list(value)).alias("points"))
+    picked = (hist.where(weighs).select(*by, value)
+              .orderBy(F.xxhash64(*by, value), *by, value).limit(points))
+    return picked.agg(F.sort_array(F.collect_set(value)).alias("points"))
 
 
 def slot_of(value: Column, points: Column, most: int = POINTS) -> Column:
@@ -50,9 +51,10 @@ def slot_of(value: Column, points: Column, most: int = POINTS) -> Column:
     return F.coalesce(below, F.lit(0))
 
 
-def _with_slots(hist: DataFrame, value: str, weights: Sequence[str],
-                points: int) -> DataFrame:
-    cuts = split_points(hist, value, weights, points).scalar()
+def with_slots(hist: DataFrame, value: str, weights: Sequence[str],
+               by: Sequence[str] = (), points: int = POINTS) -> DataFrame:
+    """Add ``_slot``, the place of each row's value among the split points."""
+    cuts = split_points(hist, value, weights, by, points).scalar()
     return (hist.withColumn("_points", cuts)
             .withColumn("_slot", slot_of(F.col(value), F.col("_points"), points))
             .drop("_points"))
@@ -70,7 +72,7 @@ def running_totals(hist: DataFrame, value: str, weights: Sequence[str],
     by = list(by)
     for key in (*by, value):
         hist = hist.where(F.col(key).isNotNull())
-    cut = _with_slots(hist, value, weights, points)
+    cut = with_slots(hist, value, weights, by, points)
     order = F.desc if descending else F.asc
     first = F.max_by if descending else F.min_by
 

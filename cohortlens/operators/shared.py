@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import decisions as D
 from cohortlens.functions.rates import ratio
 from cohortlens.operators.evaluate import pick_eer
-from cohortlens.operators.ordering import POINTS, _with_slots, running_totals
+from cohortlens.operators.ordering import POINTS, running_totals, with_slots
 from cohortlens.storage import materialise
 
 
@@ -89,7 +89,7 @@ def shared_negative_eer(df: DataFrame, group: str, label: str, score: str,
     hist = rows.groupBy(
         F.when(F.col(label) == 1, F.col(group)).alias("group"),
         F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    slotted = materialise(_with_slots(hist, "score", ["n"], points), "shared-scores")
+    slotted = materialise(with_slots(hist, "score", ["n"], ["group"], points), "shared-scores")
     wanted = materialise(_crossing_slots(_slot_grid(slotted)), "crossings")
 
     zero = F.lit(0).cast("bigint")

@@ -35,6 +35,8 @@ def collapse_rare(df: DataFrame, stratum: str, least: int = K.RARE_STRATUM_ROWS,
                   name: str = K.RARE_STRATUM_NAME) -> DataFrame:
     """Rename strata with fewer than ``least`` rows to one common name."""
     rare = materialise(rare_strata(df, stratum, least), "rare-strata")
+    if rare.isEmpty():
+        return df
     marked = df.join(
         broadcast_if_small(rare.withColumn("_rare", F.lit(True))), stratum, "left")
     renamed = F.when(F.col("_rare"), F.lit(name)).otherwise(F.col(stratum))

@@ -46,7 +46,7 @@ def _valid(spark, sf):
 
 def _forest(spark, sf):
     return M.fit_or_load(spark, _session_path(spark, sf, "forest"),
-                         lambda: M.forest().fit(_train(spark, sf)),
+                         lambda: M.forest().fit(M.spread_out(_train(spark, sf))),
                          RandomForestClassificationModel)
 
 

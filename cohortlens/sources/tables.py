@@ -70,6 +70,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
+
+
 def holds_table(spark: SparkSession, path: str) -> bool:
     """Whether a finished write is there: a broken one leaves no marker."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from cohortlens.operators.joins import known_to, not_done
-from cohortlens.sources.tables import holds_table
+from cohortlens.sources.tables import folders, holds_table
 from cohortlens.storage import broadcast_if_small, materialise
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -72,9 +72,15 @@ def read_stream_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_errors(spark: SparkSession, path: str) -> DataFrame:
-    """The failures that the last finished batch left open."""
-    every = spark.read.parquet(path)
-    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    """The failures that the last finished batch left open.
+
+    Found by folder: a batch without failures has no rows, yet closes the
+    errors of the batches before it.
+    """
+    batches = [int(name.split("=")[1]) for name in folders(spark, path)
+               if name.startswith("batch=")]
+    last = max(b for b in batches if holds_table(spark, _folder(path, b)))
+    return spark.read.parquet(_folder(path, last))
 
 
 def _write_batch(pending: DataFrame, batch: int, features_path: str, errors_path: str,
