@@ -16,11 +16,13 @@ from cohortlens.storage import BROADCAST_ROWS, scratch_path
 PAIRS_PER_PASS = 15
 
 
-def _matrix(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
+def _matrix(df: DataFrame, columns: Sequence[str], method: str,
+            values: DataFrame) -> DataFrame:
     """Every pair in one aggregate, unpivoted afterwards.
 
     More pairs than ``PAIRS_PER_PASS`` take several aggregates: a wider one
     would outgrow what the JVM compiles, and run an order of magnitude slower.
+    The diagonal is 1 for each column of ``values`` that varies.
     """
     pairs = list(combinations(range(len(columns)), 2))
     blocks = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
@@ -30,25 +32,20 @@ def _matrix(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
                         F.lit(columns[j]).alias("b"), F.lit(i).alias("a_idx"),
                         F.lit(j).alias("b_idx"), r.alias("r"))
 
-    def over(block: list, diagonal: bool) -> DataFrame:
-        varies = [(F.min(c) < F.max(c)).alias(f"_{i}")
-                  for i, c in enumerate(columns)] if diagonal else []
-        one_row = df.agg(*varies, *[
-            F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
-            .alias(f"_{i}_{j}") for i, j in block])
-        cells = [cell(x, y, F.col(f"_{i}_{j}")) for i, j in block for x, y in ((i, j), (j, i))]
-        if diagonal:
-            cells += [cell(i, i, F.when(F.col(f"_{i}"), 1.0)) for i in range(len(columns))]
-        return one_row.select(F.inline(F.array(*cells)))
-
-    out = over(blocks[0] if blocks else [], diagonal=True)
-    for block in blocks[1:]:
-        out = out.unionByName(over(block, diagonal=False))
+    varies = values.agg(*[(F.min(c) < F.max(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    out = varies.select(F.inline(F.array(*[
+        cell(i, i, F.when(F.col(f"_{i}"), 1.0)) for i in range(len(columns))])))
+    for block in blocks:
+        one_row = df.agg(*[F.corr(F.col(columns[i]).cast("double"),
+                                  F.col(columns[j]).cast("double")).alias(f"_{i}_{j}")
+                           for i, j in block])
+        out = out.unionByName(one_row.select(F.inline(F.array(*[
+            cell(x, y, F.col(f"_{i}_{j}")) for i, j in block for x, y in ((i, j), (j, i))]))))
     return out
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _matrix(df, columns, "pearson")
+    return _matrix(df, columns, "pearson", df)
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,7 +74,7 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson on average ranks, over the rows where all columns are present."""
     complete = df.select(*columns).dropna()
-    return _matrix(with_average_ranks(complete, columns), columns, "spearman")
+    return _matrix(with_average_ranks(complete, columns), columns, "spearman", complete)
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -117,7 +117,7 @@ def stream_new_files(spark: SparkSession, input_path: str, schema: StructType,
                     .parquet(features_path).where(F.col("batch") < batch))
             failed_before = session.read.schema(schema).parquet(_folder(retry_path, batch - 1))
             again = pending_rows(failed_before, new_rows, key)
-            pending = pending_rows(new_rows, done, key).unionByName(again)
+            pending = pending_rows(new_rows.unionByName(again), done, key)
         _write_batch(pending, batch, features_path, errors_path, retry_path, run, key)
 
     return (arriving.writeStream.foreachBatch(handle)
