@@ -14,9 +14,12 @@ from cohortlens.operators.ordering import exact_quantiles
 
 def frequency_table(df: DataFrame, column: str, digits: int = 2,
                     keep_null: bool = False) -> DataFrame:
-    """``column, n, pct``; the percentage is of all rows, nulls included."""
+    """``column, n, pct``; the percentage is of all rows, nulls included.
+
+    The total is a count of rows, which on a stored table reads no column.
+    """
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = df.agg(F.count("*")).scalar()
     table = counts.withColumn("pct", percent(F.col("n"), total, digits))
     return table if keep_null else table.where(F.col(column).isNotNull())
 
@@ -76,14 +79,16 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (),
              digits: int | None = 4, approximate: bool = False) -> DataFrame:
     """Count, mean, sample std, min, quantiles and max, per group or overall.
 
-    Quantiles are exact by default. ``approximate`` swaps them for a sketch in
-    the same single pass.
+    Null and NaN values do not count. Quantiles are exact by default;
+    ``approximate`` swaps them for a sketch in the same single pass.
     """
     by = list(by)
     names = [f"p{round(100 * p):02d}" for p in fractions]
     valid = df
     for key in (*by, value):
         valid = valid.where(F.col(key).isNotNull())
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        valid = valid.where(~F.isnan(value))
     sketch = ([F.percentile_approx(value, list(map(float, fractions)), 10000)
                .alias("quantiles")] if approximate else [])
     base = valid.groupBy(*by).agg(

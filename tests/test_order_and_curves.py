@@ -137,6 +137,12 @@ def test_describe_matches_its_sketch_on_small_data(rows):
     assert exact.asDict() == sketch.asDict()
 
 
+def test_describe_leaves_out_missing_values(rows):
+    df = rows([(1.0,), (3.0,), (None,), (float("nan"),)], "v double")
+    row = P.describe(df, "v").first()
+    assert (row["count"], row["mean"], row["p50"], row["max"]) == (2, 2.0, 2.0, 3.0)
+
+
 def test_previous_row_across_slots(rows):
     data = [("hot", i, i * 10) for i in range(50)] + [("b", 100, 1), ("b", 101, 2)]
     out = O.previous_in_order(rows(data, "g string, t long, v long"), ["g"], ["t"],
