@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import packing, quality
+from cohortlens.llm import packing, quality, toxicity
 
-MODULES = [packing, quality]
+MODULES = [packing, quality, toxicity]
 
 QUERIES = {q.__name__: q for m in MODULES for q in m.QUERIES}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
