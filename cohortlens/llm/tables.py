@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
 PIECE_BYTES = 8 << 20
@@ -27,3 +28,8 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def once(df: DataFrame, *made: Column) -> DataFrame:
+    """Add columns that later expressions read often: a generator's output is not worked out again."""
+    return df.select("*", F.inline(F.array(F.struct(*made))))
