@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import packing, quality, rules, toxicity
+from cohortlens.llm import packing, quality, rules, secrets, toxicity
 
-MODULES = [packing, quality, toxicity, rules]
+MODULES = [packing, quality, toxicity, rules, secrets]
 
 QUERIES = {q.__name__: q for m in MODULES for q in m.QUERIES}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
