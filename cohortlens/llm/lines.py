@@ -56,27 +56,19 @@ def line_bounds(raw: np.ndarray, at: np.ndarray):
     return count, first, begins, ends
 
 
-def line_numbers(column: pa.Array) -> Lines:
-    """One row of numbers for each line. A document without text has one empty line."""
-    raw, at = text_bytes(column)
-    count, first, begins, ends = line_bounds(raw, at)
-    n = len(ends)
-    document = np.repeat(np.arange(len(count)), count)
-    width = ends - begins
-    spans = width + 1
-    spans[first + count - 1] -= 1
-    line = np.repeat(np.arange(n, dtype=np.int32), spans)
-    kind = CLASSES[raw]
-    per = np.bincount(line.astype(np.int64) * 8 + kind, minlength=8 * n).reshape(n, 8).astype(float)
-    inside = kind != SPACE
-    before = np.zeros(len(raw) + 1, bool)
+def word_bounds(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of ``inside`` bytes; a run ends where its text does."""
+    before = np.zeros(len(inside) + 1, bool)
     before[1:] = inside
     before[at] = False
-    start = np.flatnonzero(inside & ~before[:-1])
-    after = np.zeros(len(raw) + 1, bool)
+    after = np.zeros(len(inside) + 1, bool)
     after[:-1] = inside
     after[at] = False
-    stop = np.flatnonzero(inside & ~after[1:]) + 1
+    return np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
+
+
+def span_hashes(raw: np.ndarray):
+    """A function from begins and ends to the spans' polynomial hashes, equal for equal bytes."""
     power = np.full(len(raw) + 1, BASE, np.uint64)
     power[:1] = 1
     power = np.cumprod(power)
@@ -85,10 +77,23 @@ def line_numbers(column: pa.Array) -> Lines:
     inverse = np.cumprod(inverse)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    return lambda a, b: (total[b] - total[a]) * inverse[a]
 
-    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (total[b] - total[a]) * inverse[a]
 
+def line_numbers(column: pa.Array) -> Lines:
+    """One row of numbers for each line. A document without text has one empty line."""
+    raw, at = text_bytes(column)
+    count, first, begins, ends = line_bounds(raw, at)
+    n = len(ends)
+    document = np.repeat(np.arange(len(count)), count)
+    width = ends - begins
+    spans = width + 1
+    spans[first + count - 1] -= 1
+    line = np.repeat(np.arange(n, dtype=np.int32), spans)
+    kind = CLASSES[raw]
+    per = np.bincount(line.astype(np.int64) * 8 + kind, minlength=8 * n).reshape(n, 8).astype(float)
+    start, stop = word_bounds(kind != SPACE, at)
+    hashes = span_hashes(raw)
     word_line = line[start] if len(start) else np.zeros(0, np.int32)
     word_hash = hashes(start, stop)
     same = np.zeros(len(start), bool)
