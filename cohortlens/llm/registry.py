@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import nearcopies, packing, quality, rules, secrets, toxicity
+from cohortlens.llm import nearcopies, packing, ppm, quality, rules, secrets, toxicity
 
-MODULES = [packing, quality, toxicity, rules, secrets, nearcopies]
+MODULES = [packing, ppm, quality, toxicity, rules, secrets, nearcopies, ppm]
 
 QUERIES = {q.__name__: q for m in MODULES for q in m.QUERIES}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
