@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.tables import pieces, table
 from cohortlens.storage import materialise
 
-ORDER = 5
+ORDER = 6
 CONTEXT_BITS, WORD_BITS = 18, 20
 FOLDS, HELD_OUT = 7, 2
 #: Not a byte of any UTF-8 text.
