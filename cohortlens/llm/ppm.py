@@ -37,14 +37,18 @@ from pyspark.sql import functions as F
 from cohortlens.llm.tables import pieces, table
 from cohortlens.storage import materialise
 
-ORDER = 6
+ORDER = 5
 CONTEXT_BITS, WORD_BITS = 18, 20
 FOLDS, HELD_OUT = 7, 2
 #: Not a byte of any UTF-8 text.
 END = 255
 SYMBOLS = 256
-#: Distinct words or n-grams that a task holds before it hands them on.
-HELD = 2_000_000
+#: Distinct words, or a quarter of the n-grams, that a task holds before it hands them on.
+HELD = 400_000
+#: Groups that the contexts are dealt to by their last two bytes.
+CONTEXT_GROUPS = 4096
+#: Bytes of text that a task works on at once.
+PIECE = 2 << 20
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +70,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
     """``word`` or ``gram`` with its count ``n`` in all training documents; the end token is the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _MODELS.clear()  # a model of an earlier query is of no use here
         words: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -83,18 +88,18 @@ def training_counts(docs: DataFrame) -> DataFrame:
                                                pa.array(n)], names=["word", "gram", "n"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 for t in texts:
                     words.update(t.lower().split())
                 words[b""] += len(texts)
                 keys, _ = byte_keys(texts)
                 grams.append(np.unique(keys, return_counts=True))
-                if len(grams) > 8:
+                if len(grams) > 16:
                     grams[:] = [merged(grams)]
                 if len(words) > HELD:
                     yield word_rows()
-                if sum(len(k) for k, _ in grams) > HELD:
+                if sum(len(k) for k, _ in grams) > 4 * HELD:
                     yield gram_rows()
         if words:
             yield word_rows()
@@ -119,14 +124,30 @@ def is_held_out():
 
 
 def trie_rows(counts: DataFrame, total: int) -> DataFrame:
-    """``k``, ``key`` and ``n``: the followers of the contexts of k bytes that are in the trie."""
-    grams = counts.where("gram is not null")
-    by_order = grams.select("n", "gram", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"))
-    mask = F.element_at(F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]), F.col("k") + 1)
-    pairs = by_order.select("k", F.col("gram").bitwiseAND(mask).alias("key"), "n").groupBy("k", "key").agg(F.sum("n").alias("n"))
-    contexts = pairs.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("_all"))
-    kept = contexts.where((F.col("k") <= 2) | (F.col("_all") * (1 << CONTEXT_BITS) >= total)).select("k", "context")
-    return pairs.withColumn("context", F.shiftright("key", 8)).join(kept, ["k", "context"], "left_semi").select("k", "key", "n")
+    """``k``, ``key`` and ``n``: the followers of the contexts of k bytes that are in the trie.
+
+    n-grams are dealt out by the two bytes before the last one, so a group has all positions of each of
+    its longer contexts. Contexts of no or one byte, a few ten thousand pairs, are summed over the groups.
+    """
+    least = max(1, -(-total >> CONTEXT_BITS))
+
+    def followers(key, group):
+        keys, n = group.column("gram").to_numpy().astype(np.uint64), group.column("n").to_numpy()
+        out = []
+        for k in range(ORDER, -1, -1):
+            keys, n = merged([(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)])
+            kept = np.ones(len(keys), bool)
+            if k > 2:
+                context = keys >> np.uint64(8)
+                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                kept = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.r_[first, len(keys)]))
+            out.append((np.full(kept.sum(), k, np.int32), keys[kept].astype(np.int64), n[kept]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k", "key", "n"])
+
+    grams = counts.where("gram is not null").select("gram", "n", (
+        F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(CONTEXT_GROUPS))).alias("group"))
+    found = grams.groupBy("group").applyInArrow(followers, "k int, key long, n long")
+    return found.groupBy("k", "key").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -152,8 +173,8 @@ class Trie:
             total = np.add.reduceat(count, first) if len(first) else np.zeros(0)
             self.keys.append(keys)
             self.contexts.append(context[first])
-            self.log_n.append(np.log10(count))
-            self.hit.append(np.log10(count) - np.repeat(np.log10(total + size), size.astype(int)))
+            self.log_n.append(np.log10(count).astype(np.float32))
+            self.hit.append((np.log10(count) - np.repeat(np.log10(total + size), size.astype(int))).astype(np.float32))
             self.escape.append(np.log10(size) - np.log10(total + size))
             if order and len(first):
                 keys_below, count_below, contexts_below, total_below, size_below = before
@@ -230,7 +251,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
         model, known = _MODELS[name]
         number, none = TaskContext.get().partitionId() << 36, float("nan")
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 keys, lengths = byte_keys(texts)
                 each, back = np.unique(keys, return_inverse=True)
