@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import nearcopies, neighbours, packing, ppm, quality, rules, secrets, toxicity
+from cohortlens.llm import (mixing, nearcopies, neighbours, packing, ppm, quality, rules, secrets, toxicity,
+                            wordpiece)
 
-MODULES = [packing, ppm, quality, toxicity, rules, secrets, nearcopies, ppm, neighbours]
+MODULES = [packing, ppm, quality, toxicity, rules, secrets, nearcopies, ppm, neighbours, mixing, wordpiece]
 
 QUERIES = {q.__name__: q for m in MODULES for q in m.QUERIES}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
