@@ -275,6 +275,23 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group, unchanged; null ids stay.
+
+    Of several rows with a kept id, the one with the smallest text stays.
+    """
+    linked = materialise(link_documents(docs, words, percent).where("doc_id = component_id")
+                         .groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    at = F.col("doc_id").cast("long")
+    single = docs.join(linked.where("_rows = 1").select(F.col("doc_id").alias("_kept")), at == F.col("_kept"), "left_semi")
+    repeated = linked.where("_rows > 1").select(F.col("doc_id").alias("_kept"))
+    if repeated.head(1):
+        order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        several = docs.join(repeated, at == F.col("_kept"), "left_semi").withColumn("_first", F.row_number().over(order))
+        single = single.unionByName(several.where("_first = 1").drop("_first"))
+    return single.unionByName(docs.where("doc_id is null"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
 
