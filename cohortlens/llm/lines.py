@@ -67,16 +67,24 @@ def word_bounds(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, ``n`` at least; kept for the next block."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[:1] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
 def span_hashes(raw: np.ndarray):
     """A function from begins and ends to the spans' polynomial hashes, equal for equal bytes."""
-    power = np.full(len(raw) + 1, BASE, np.uint64)
-    power[:1] = 1
-    power = np.cumprod(power)
-    inverse = np.full(len(raw) + 1, pow(BASE, -1, 1 << 64), np.uint64)
-    inverse[:1] = 1
-    inverse = np.cumprod(inverse)
+    power, inverse = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=total[1:])
     return lambda a, b: (total[b] - total[a]) * inverse[a]
 
 

@@ -283,12 +283,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     linked = materialise(link_documents(docs, words, percent).where("doc_id = component_id")
                          .groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
     at = F.col("doc_id").cast("long")
-    single = docs.join(linked.where("_rows = 1").select(F.col("doc_id").alias("_kept")), at == F.col("_kept"), "left_semi")
-    repeated = linked.where("_rows > 1").select(F.col("doc_id").alias("_kept"))
+    single = docs.join(linked.where("_rows = 1").select(F.col("doc_id").alias("__kept_id")), at == F.col("__kept_id"), "left_semi")
+    repeated = linked.where("_rows > 1").select(F.col("doc_id").alias("__kept_id"))
     if repeated.head(1):
         order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        several = docs.join(repeated, at == F.col("_kept"), "left_semi").withColumn("_first", F.row_number().over(order))
-        single = single.unionByName(several.where("_first = 1").drop("_first"))
+        several = docs.join(repeated, at == F.col("__kept_id"), "left_semi").withColumn("__first", F.row_number().over(order))
+        single = single.unionByName(several.where("__first = 1").drop("__first"))
     return single.unionByName(docs.where("doc_id is null"))
 
 
