@@ -7,8 +7,8 @@ so leaving out some of its parts in every possible way leaves one choice in
 which the two sets agree. A signature is what a set holds in such a choice, and
 similar sets share one. Candidates are then checked exactly.
 
-What is compared: equal sets count once. In a round, each set is compared with
-the smallest number among those with its signature; sets linked so far form
+What is compared: equal sets count once. In a first round, each set is compared
+with four pivots among those with its signature; sets linked so far form
 components. A second round looks at the pairs with a common signature that are
 in different components, and only those become rows whose parity sketches do
 not already prove them too different. So no link between different texts that
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from typing import NamedTuple
 
@@ -231,12 +231,16 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     nodes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in sketch]), "nodes")
     same = W.partitionBy("sig")
-    shared = materialise(signature_rows(docs, words, percent).select(
-        "sig", "node", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("_last"))
-        .where(F.col("first") != F.col("_last")).select("sig", "node", "first").distinct(), "signatures")
+    turned = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
+    signed = signature_rows(docs, words, percent).select(
+        "sig", "node", F.min("node").over(same).alias("pivot0"), F.max("node").over(same).alias("pivot1"),
+        F.min(turned).over(same)["pivot"].alias("pivot2"), F.max(turned).over(same)["pivot"].alias("pivot3"))
+    shared = materialise(signed.where("pivot0 != pivot1").distinct(), "signatures")
 
     known = nodes.select("node", "n", *sketch)
-    pairs = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = [shared.select(F.least("node", p).alias("a"), F.greatest("node", p).alias("b")).where("a != b").distinct()
+             for p in ("pivot0", "pivot1", "pivot2", "pivot3")]
+    pairs = reduce(DataFrame.unionByName, stars).distinct()
     pairs = pairs.join(known.select(F.struct("n", *sketch).alias("l"), F.col("node").alias("a")), "a") \
         .join(known.select(F.struct("n", *sketch).alias("r"), F.col("node").alias("b")), "b")
     tried = materialise(pairs.where(may_link(percent)).select("a", "b"), "pairs")
