@@ -10,7 +10,9 @@ document, so a lost executor does not change it.
 Topics are the forms of text that patterns tell apart (``TOPICS``), unless a
 column says otherwise. Targets are shares of tokens; by default the shares of
 the input, evened out by an exponent. A value without a target, null too, keeps
-its share of the input.
+its share of the input. No cell counts more than ``MOST`` times its tokens, so a
+few rare documents cannot make the sample small; where that bound is met, the
+shares come as near to the targets as it allows.
 
 Defined cases: null source, language and text are values of their own (a null
 or empty text has the one token that its end takes). Rows with a null
@@ -37,6 +39,8 @@ OTHER_TOPIC = "prose"
 #: Exponents of the default targets: 1 leaves the shares as they are, 0 makes them equal.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 ROUNDS, TOLERANCE = 30, 1e-6
+#: How many times its own share of the tokens a cell may count at most.
+MOST = 2.5
 SEED = 17
 
 
@@ -87,30 +91,32 @@ def settled_targets(found: DataFrame, targets: DataFrame) -> DataFrame:
             F.col("share") / F.col("_asked") * (1 - F.col("_kept"))).alias("share"))
 
 
-def rake(found: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(found: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+         most: float = MOST) -> DataFrame:
     """The cells with ``weight``: tokens scaled until every margin has its target share.
 
     Each round scales to the margins one after another and is written out, so the plan does not grow.
-    It ends when no margin's share is off by more than ``tolerance``.
+    It ends when no margin's share is off by more than ``tolerance``, or none comes nearer.
     """
-    total = found.agg(F.sum("tokens")).first()[0] or 0
-    now = materialise(found.withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), "cells")
+    total = F.lit(float(found.agg(F.sum("tokens")).first()[0] or 1))
+    now, last = materialise(found.withColumn("weight", F.col("tokens") / total), "cells"), None
     wanted = materialise(targets, "targets")
     for _ in range(rounds):
-        before = now
         for m in MARGINS:
             have = now.groupBy(F.col(m).alias("_v")).agg(F.sum("weight").alias("_have"))
             factor = have.join(wanted.where(F.col("margin") == m), F.col("_v").eqNullSafe(F.col("value"))).select(
                 "_v", F.when(F.col("_have") > 0, F.col("share") / F.col("_have")).otherwise(0.0).alias("_f"),
                 F.abs(F.col("share") - F.col("_have")).alias("_off"))
             now = now.join(factor, F.col(m).eqNullSafe(F.col("_v"))).select(
-                *MARGINS, "tokens", "documents", (F.col("weight") * F.col("_f")).alias("weight"),
+                *MARGINS, "tokens", "documents",
+                F.least(F.col("weight") * F.col("_f"), most * F.col("tokens") / total).alias("weight"),
                 F.greatest(F.col("_off"), F.col("off") if "off" in now.columns else F.lit(0.0)).alias("off"))
         now = materialise(now, "cells")
         off = now.agg(F.max("off")).first()[0]
         now = now.drop("off")
-        if off is None or off <= tolerance:
+        if off is None or off <= tolerance or last is not None and abs(last - off) <= tolerance / 10:
             break
+        last = off
     return now
 
 

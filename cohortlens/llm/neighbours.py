@@ -38,7 +38,7 @@ from cohortlens.storage import materialise
 class Search(NamedTuple):
     """Share of windows that make a collision count, share of a block verified, first half width, growth."""
     threshold: float = 0.75
-    verified: float = 0.25
+    verified: float = 0.4
     width: float = 0.08
     growth: float = 1.3
     seed: int = 11

@@ -71,4 +71,5 @@ def test_multiplicative_updates_lower_the_error():
     patterns = P.fill_patterns(counts)
     x = P.repeat_counts(patterns, counts)
     made = np.bincount(patterns.ravel(), ((patterns > 0) * x[:, None]).ravel(), 11)
-    assert (x >= 0).all() and abs(made[7] - 80) < 5 and abs(made[5] - 40) < 5
+    # 7 and 3 share a pattern: the best repeats lie between their counts
+    assert (x >= 0).all() and abs(made[7] - 90) < 1 and abs(made[5] - 40) < 1
