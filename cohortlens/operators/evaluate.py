@@ -56,7 +56,10 @@ def decide(score: str, threshold: float | Column) -> Column:
 
 def score_histogram(df: DataFrame, label: str, score: str,
                     by: Sequence[str] = ()) -> DataFrame:
-    rows = df.where(F.col(score).isNotNull())
+    """Rows per score and class. Rows without a class 0 or 1, or without a score (null, NaN), are left out."""
+    rows = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    if df.schema[score].dataType.typeName() in ("double", "float"):
+        rows = rows.where(~F.isnan(score))
     return rows.groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"))

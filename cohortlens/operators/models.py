@@ -20,7 +20,13 @@ from pyspark.sql import types as T
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
 from cohortlens.operators.ordering import hash_positions
+from cohortlens.operators.split import stratified_sample
 from cohortlens.sources.tables import holds_table
+from cohortlens.storage import broadcast_if_small, materialise
+
+#: Partitions that a model is fitted on, and labelled rows that a query's model is fitted on at most.
+FIT_PARTITIONS = 16
+FIT_ROWS = 2_000_000
 
 
 # ---- inputs -------------------------------------------------------------------
@@ -57,23 +63,26 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Every row gets its class's weight, from a map of one entry per class."""
-    table = class_weights(df, label).agg(F.map_from_entries(
-        F.collect_list(F.struct(label, "weight")))).scalar()
-    return (df.withColumn("_weights", table)
-            .withColumn(name, F.element_at("_weights", F.col(label))).drop("_weights"))
+    """Every row gets its class's weight; a table of classes too large to share joins by shuffle."""
+    table = materialise(class_weights(df, label).select(label, F.col("weight").alias(name)), "class-weights")
+    return df.join(broadcast_if_small(table), label, "left").select(*df.columns, name)
 
 
 # ---- fitting and scoring --------------------------------------------------------
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in few files.
+def placed(df: DataFrame, id_col: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Put every row where its id says, in id order.
 
-    Training passes over its rows once per tree level. A table with at least as
-    many partitions as cores is left as it is.
+    The learner draws its samples partition by partition, so the same rows must lie in the same places
+    for the same seed to give the same model, on any number of cores and files. The number of
+    partitions is therefore a parameter of the model.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions, id_col).sortWithinPartitions(id_col)
+
+
+def bounded(df: DataFrame, id_col: str, label: str, rows: int = FIT_ROWS, seed: int = K.SEED) -> DataFrame:
+    """At most ``rows`` labelled rows to fit on, an exact sample of each class; a smaller table as it is."""
+    return df if df.count() <= rows else stratified_sample(df, id_col, [label], rows, seed)
 
 
 def forest(trees: int = 100, depth: int = 30, seed: int = K.SEED, label: str = "y",
@@ -152,7 +161,11 @@ def scoring_time(model, df: DataFrame) -> dict[str, float]:
 
 
 def report(scored: DataFrame, label: str = "y") -> DataFrame:
-    """The one-row baseline report: metrics, baseline, error rate, matrix."""
+    """The one-row baseline report: metrics, baseline, error rate, matrix.
+
+    The scored rows are stored first, so the model scores each row once.
+    """
+    scored = materialise(scored.select(label, "predicted", "score"), "scored")
     table = E.confusion_metrics(scored, label, "predicted")
     rate = E.equal_error_rate(E.score_histogram(scored, label, "score"))
     return (table.withColumn("_eer", rate.select(F.struct("*")).scalar())
@@ -171,14 +184,16 @@ def leak_test(train: DataFrame, valid: DataFrame, column: str, label: str = "y",
     model = shallow_tree(seed=seed, label=label).fit(weighted)
     scored = with_scores(model, assembled(valid, [column]))
     out = report(scored, label)
+    n_train = train.agg(F.count("*")).scalar()
     return out.select(
-        F.lit(column).alias("feature"), "tn", "fp", "fn", "tp",
+        F.lit(column).alias("feature"), n_train.alias("n_train"),
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_valid"), "tn", "fp", "fn", "tp",
         F.round("f1_macro", 4).alias("f1_macro"), F.round("eer", 4).alias("eer"),
         (F.col("f1_macro") > limit).alias("shortcut"))
 
 
 def learning_curve(samples: DataFrame, valid: DataFrame, sizes: Sequence[int | None],
-                   label: str = "y", trees: int = 100, depth: int = 30,
+                   id_col: str, label: str = "y", trees: int = 100, depth: int = 30,
                    seed: int = K.SEED) -> DataFrame:
     """One model per sample size, scored on the same validation rows.
 
@@ -190,7 +205,7 @@ def learning_curve(samples: DataFrame, valid: DataFrame, sizes: Sequence[int | N
     for n in sizes:
         part = samples.where(F.col("sample_rows").eqNullSafe(F.lit(n).cast("bigint")))
         train = with_class_weights(part, label)
-        took, model = seconds(lambda: forest(trees, depth, seed, label).fit(spread_out(train)))
+        took, model = seconds(lambda: forest(trees, depth, seed, label).fit(placed(train, id_col)))
         rows = part.agg(F.count("*")).scalar()
         tables.append(report(with_scores(model, valid), label).select(
             rows.alias("n_train"), F.round("f1_macro", 4).alias("f1_macro"),
@@ -211,9 +226,13 @@ def permutation_importance(model, valid: DataFrame, id_col: str, vector: str,
     its partner's value. All features are scored in one job.
     """
     rows = valid.select(id_col, label, F.col(vector).alias("_own"))
-    mine = hash_positions(rows, id_col, seed, name="_place")
-    theirs = hash_positions(rows.select(id_col, "_own"), id_col, seed + 1, name="_place")
-    paired = mine.join(theirs.select("_place", F.col("_own").alias("_other")), "_place")
+    # places are worked out on ids alone; each vector is then fetched twice
+    ids = valid.select(id_col)
+    mine = hash_positions(ids, id_col, seed, name="_place")
+    theirs = hash_positions(ids, id_col, seed + 1, name="_place").withColumnRenamed(id_col, "_partner")
+    pairs = mine.join(theirs, "_place").drop("_place")
+    paired = rows.join(pairs, id_col).join(
+        rows.select(F.col(id_col).alias("_partner"), F.col("_own").alias("_other")), "_partner")
     which = F.col("_j")
     swapped = F.transform(F.col("_own"), lambda v, i: F.when(
         i == which, F.element_at("_other", i + 1)).otherwise(v))
@@ -234,12 +253,12 @@ def from_array_expr(values: Column) -> Column:
 
 def random_search(train: DataFrame, fold: str, folds: int, draws: int,
                   space: dict[str, Sequence], label: str = "y", seed: int = K.SEED,
-                  trees: int = 20, parallelism: int = 4) -> DataFrame:
+                  trees: int = 100, depth: int = 30, parallelism: int = 4) -> DataFrame:
     """Mean cross-validated ROC area of random draws from a parameter space.
 
     Folds come from a column, so every draw sees the same stratified folds.
     """
-    model = forest(trees=trees, depth=5, seed=seed, label=label)
+    model = forest(trees=trees, depth=depth, seed=seed, label=label)
     rng = random.Random(seed)
     names = sorted(space)
     combos = 1

@@ -113,9 +113,9 @@ def previous_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str],
     A long series is cut into slots of its order, so no task sorts a whole one;
     a slot's first row takes the last value of the slot before. ``order`` must
     be unique within the table, which also makes the result deterministic.
+    Rows without an order key come first.
     """
-    keyed = (df.where(F.col(order[0]).isNotNull())
-             .select("*", F.struct(*order).alias("_order"), value.alias("_value")))
+    keyed = df.select("*", F.struct(*order).alias("_order"), value.alias("_value"))
     cuts = (keyed.select("_order").orderBy(F.xxhash64(*[F.col(f"_order.{o}") for o in order]),
                                            "_order").limit(points)
             .agg(F.sort_array(F.collect_list("_order"))).scalar())
@@ -165,12 +165,27 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float],
                     by: Sequence[str] = (), points: int = POINTS) -> DataFrame:
     """Linear-interpolated quantiles per group, as an array in given order.
 
-    The value counts are ranked in slots and only the rows at the wanted ranks
-    are kept, so no group's values are ever gathered in one place.
+    Slot totals tell which slots hold the wanted ranks; only the value counts of
+    those are sorted, and no group's values are ever gathered in one place.
     """
     by = list(by)
-    ranked = running_totals(value_counts(df, value, by), value, ["n"], by,
-                            points=points)
+    hist = value_counts(df, value, by)
+    for key in by:
+        hist = hist.where(F.col(key).isNotNull())
+    cut = with_slots(hist, value, ["n"], by, points)
+    before = (Window.partitionBy(*by).orderBy("_slot")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    slots = cut.groupBy(*by, "_slot").agg(F.sum("n").alias("_here")).select(
+        *by, "_slot", "_here", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"),
+        F.sum("_here").over(Window.partitionBy(*by)).alias("total_n"))
+    edges = F.array(*[edge(F.lit(float(p)) * (F.col("total_n") - 1)).cast("bigint")
+                      for p in fractions for edge in (F.floor, F.ceil)])
+    wanted = slots.where(F.exists(edges, lambda e: (e >= F.col("_before"))
+                                  & (e < F.col("_before") + F.col("_here")))).drop("_here")
+    inside = (Window.partitionBy(*by, "_slot").orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cut.join(wanted, [*by, "_slot"]).withColumn(
+        "cum_n", F.col("_before") + F.sum("n").over(inside))
     low, high = [], []
     for i, p in enumerate(fractions):
         at = F.lit(float(p)) * (F.col("total_n") - 1)

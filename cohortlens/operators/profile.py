@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.functions.rates import percent, ratio
 from cohortlens.operators.ordering import exact_quantiles
+from cohortlens.storage import broadcast_if_small, materialise
 
 
 def frequency_table(df: DataFrame, column: str, digits: int = 2,
@@ -151,13 +152,10 @@ def density_histogram(df: DataFrame, value: str, by: str,
     spans = spans.select(
         by, "_n", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    # one map entry per class reaches the rows: no shuffle of the rows
-    by_class = spans.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col(by), F.struct("_lo", "_hi"))))).scalar()
-    span = F.element_at(F.col("_spans"), F.col(by))
-    counts = (rows.select(by, value).withColumn("_spans", by_class)
+    spans = materialise(spans, "spans")
+    counts = (rows.select(by, value).join(broadcast_if_small(spans), by)
               .withColumn("bin", F.least(F.width_bucket(
-                  F.col(value).cast("double"), span["_lo"], span["_hi"], F.lit(bins)),
+                  F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), F.lit(bins)),
                   F.lit(bins)).cast("int"))
               .groupBy(by, "bin").agg(F.count("*").alias("n")))
     grid = spans.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))

@@ -22,7 +22,15 @@ from cohortlens.storage import BROADCAST_ROWS, broadcast_if_small, materialise
 
 
 def stratum_key(*columns: str) -> Column:
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
+    """The values joined by ``_``; one that holds the sign, and a missing one, are marked by a backslash.
+
+    So different rows of values never share a key.
+    """
+    def part(column: str) -> Column:
+        text = F.replace(F.col(column).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit("_"), F.lit("\\_")), F.lit("\\N"))
+
+    return F.concat_ws("_", *[part(c) for c in columns])
 
 
 def rare_strata(df: DataFrame, stratum: str,
@@ -193,6 +201,9 @@ def sized_samples(df: DataFrame, id_col: str, strata: Sequence[str],
     slots = materialise(_slot_counts(keyed.select("stratum", "_key"), digits), "slots")
     quotas = slots.groupBy("stratum").agg(F.sum("_n").alias("_n"))
     fixed = [s for s in sizes if s is not None]
+    there = slots.agg(F.sum("_n")).first()[0] or 0
+    if any(n > there for n in fixed):
+        raise ValueError(f"a sample of {max(fixed)} rows is asked for, the table has {there}")
     for i, n in enumerate(fixed):
         quotas = apportion(quotas, "_n", F.lit(n), f"_q{i}")
     ends = quotas.select("stratum", F.array(*[

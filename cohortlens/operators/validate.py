@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 
+#: Values that a guard's message names.
+SHOWN = 20
+
 
 def id_report(df: DataFrame, column: str, pattern: str = K.ID_PATTERN) -> DataFrame:
     """One row: rows, ids that miss the pattern (null ids miss it), verdict."""
@@ -39,9 +42,12 @@ def require_ids(df: DataFrame, column: str, pattern: str = K.ID_PATTERN) -> Data
 
 
 def require_domain(df: DataFrame, column: str, domain: Sequence[str]) -> DataFrame:
-    extra = [r["value"] for r in unexpected_values(df, column, domain).take(20)]
+    found = unexpected_values(df, column, domain)
+    extra = [r["value"] for r in found.orderBy("value").take(SHOWN)]
     if extra:
-        raise ValueError(f"unexpected values in '{column}': {extra}")
+        total = len(extra) if len(extra) < SHOWN else found.count()
+        first = f", the first {SHOWN} of them" if total > SHOWN else ""
+        raise ValueError(f"{total} unexpected values in '{column}'{first}: {extra}")
     return df
 
 

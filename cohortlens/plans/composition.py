@@ -45,10 +45,21 @@ def describe_all(spark, sf):
 
 
 def describe_sketched(spark, sf):
-    """The single-pass form: no exact quantiles, so only stable columns show."""
-    return P.describe(table(spark, sf, "events"), "value", ["event_type"],
-                      approximate=True).select("event_type", "count", "mean", "std",
-                                               "min", "max")
+    """The single-pass form. Its quantiles are judged by rank: how far off their share of the rows is."""
+    rows = table(spark, sf, "events")
+    found = P.describe(rows, "value", ["event_type"], digits=None, approximate=True)
+    shares = rows.join(F.broadcast(found), "event_type").groupBy("event_type").agg(*[
+        F.struct(F.avg((F.col("value") < F.col(p)).cast("int")).alias("low"),
+                 F.avg((F.col("value") <= F.col(p)).cast("int")).alias("high")).alias(f"_{p}")
+        for p in ("p25", "p50", "p75")])
+
+    def near(p: str) -> F.Column:
+        share = float(p[1:]) / 100
+        return ((F.col(f"_{p}.low") <= share + 0.001) & (F.col(f"_{p}.high") >= share - 0.001)).alias(f"{p}_near")
+
+    return found.join(shares, "event_type").select(
+        "event_type", "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")],
+        *[near(p) for p in ("p25", "p50", "p75")])
 
 
 def subset_median(spark, sf):
@@ -109,7 +120,7 @@ def strong_pairs(spark, sf):
 
 
 def correlation_wide(spark, sf):
-    wide = C.wide_matrix(C.pearson_matrix(_measures(spark, sf), COLUMNS), COLUMNS)
+    wide = C.wide_matrix(C.correlation_table(_measures(spark, sf), COLUMNS), COLUMNS)
     return wide.select("method", "row", *[six(c) for c in COLUMNS])
 
 
@@ -188,7 +199,7 @@ ORACLES = {
     "describe_sketched": """
         SELECT event_type, count(value) AS count, round(avg(value), 4) AS mean,
                round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min,
-               round(max(value), 4) AS max
+               round(max(value), 4) AS max, true AS p25_near, true AS p50_near, true AS p75_near
         FROM events GROUP BY event_type""",
     "subset_median": """
         SELECT count(*) AS count, round(avg(l_extendedprice), 6) AS mean,
@@ -233,8 +244,8 @@ ORACLES = {
         SELECT method, a, b, r
         FROM ({_long('m', 'pearson')} UNION ALL {_long('r', 'spearman')})
         WHERE i < j AND abs(r) > 0.3""",
-    "correlation_wide": f"WITH {_MEASURES} " + " UNION ALL ".join(
-        f"SELECT 'pearson' AS method, '{a}' AS row, " + ", ".join(
-            f"round(corr({a}, {b}), 6) AS {b}" for b in COLUMNS) + " FROM m"
-        for a in COLUMNS),
+    "correlation_wide": f"WITH {_MEASURES}, {_RANKS} " + " UNION ALL ".join(
+        f"SELECT '{method}' AS method, '{a}' AS row, " + ", ".join(
+            f"round(corr({a}, {b}), 6) AS {b}" for b in COLUMNS) + f" FROM {source}"
+        for method, source in (("pearson", "m"), ("spearman", "r")) for a in COLUMNS),
 }

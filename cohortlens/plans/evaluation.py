@@ -55,6 +55,22 @@ def roc_points_all(spark, sf):
     return _shown_roc(E.roc_points(_fine_hist(spark, sf), drop_intermediate=False))
 
 
+def _partly_labelled(spark, sf):
+    """Every third order has no class."""
+    rows = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderstatus") == "F").cast("int")).alias("y"),
+        F.col("o_totalprice").alias("score"))
+    return E.score_histogram(rows, "y", "score")
+
+
+def roc_points_partly_labelled(spark, sf):
+    return _shown_roc(E.roc_points(_partly_labelled(spark, sf)))
+
+
+def auc_pr_partly_labelled(spark, sf):
+    return _rounded(E.pr_auc(_partly_labelled(spark, sf)))
+
+
 def equal_error_rate(spark, sf):
     return _rounded(E.equal_error_rate(_stepped_hist(spark, sf)))
 
@@ -143,7 +159,7 @@ def metrics_vs_shared_negatives_continuous(spark, sf):
                     "attack", "n")
 
 
-QUERIES = [confusion_metrics, confusion_rows, roc_points, roc_points_continuous,
+QUERIES = [roc_points_partly_labelled, auc_pr_partly_labelled, confusion_metrics, confusion_rows, roc_points, roc_points_continuous,
            roc_points_all, equal_error_rate, equal_error_rate_continuous, auc_roc, pr_curve,
            auc_pr, threshold_sweep, best_threshold, score_granularity, metrics_by_group,
            band_means, band_contrast, hardest_and_easiest, report_order,
@@ -151,6 +167,9 @@ QUERIES = [confusion_metrics, confusion_rows, roc_points, roc_points_continuous,
 
 # ---- SQL ---------------------------------------------------------------------------
 
+_LABELLED_PART = """scored AS (
+  SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_totalprice AS score
+  FROM orders WHERE o_orderkey % 3 <> 0)"""
 _CELLS = """count(*) FILTER (y = 0 AND predicted = 0) AS tn,
        count(*) FILTER (y = 0 AND predicted = 1) AS fp,
        count(*) FILTER (y = 1 AND predicted = 0) AS fn,
@@ -258,6 +277,7 @@ ORACLES = {
         FROM scored GROUP BY y, predicted""",
     "roc_points": f"WITH {STEPPED}, {_roc(True)} {_SHOW_ROC}",
     "roc_points_continuous": f"WITH {FINE}, {_roc(True)} {_SHOW_ROC}",
+    "roc_points_partly_labelled": f"WITH {_LABELLED_PART}, {_roc(True)} {_SHOW_ROC}",
     "roc_points_all": f"WITH {FINE}, {_roc(False)} {_SHOW_ROC}",
     "equal_error_rate": f"""
         WITH {STEPPED}, {_roc(True)}, {_best()}
@@ -275,6 +295,14 @@ ORACLES = {
         SELECT round(coalesce(threshold, -1.0), 6) AS threshold,
                round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0), 6) AS precision,
                round(tpr, 6) AS recall FROM roc""",
+    "auc_pr_partly_labelled": f"""
+        WITH {_LABELLED_PART}, {_roc(False)},
+        pr AS (SELECT place, tpr AS r,
+                      coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0) AS pre FROM roc),
+        step AS (SELECT r - lag(r) OVER w AS dx, pre + lag(pre) OVER w AS yy
+                 FROM pr WINDOW w AS (ORDER BY place))
+        SELECT round(sum(dx * yy / 2), 6) AS auc_pr,
+               (SELECT round(avg(y), 6) FROM scored) AS prevalence FROM step""",
     "auc_pr": f"""
         WITH {FINE}, {_roc(False)},
         pr AS (SELECT place, tpr AS r,

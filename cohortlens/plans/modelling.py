@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
 from cohortlens.operators import models as M
+from cohortlens.operators import shared as SN
 from cohortlens.operators import split as S
 from cohortlens.plans.data import table
+from cohortlens.plans.splitting import _split_sql
 from cohortlens.sources.tables import read_or_build, run_record
 from cohortlens.storage import materialise, session_dir
 
 NAMES = [f"x{i}" for i in range(1, 65)]
 CURVE = [100, 200, None]
+#: Trees of each candidate that the search compares; a chosen setting is then fitted with all 100.
+SEARCH_TREES = 10
 
 
 def _session_path(spark, sf, name):
@@ -28,7 +32,7 @@ def _examples(spark, sf):
     """Vectors with a class weight of the training part, split by class."""
     def build():
         rows = table(spark, sf, "embeddings").select(
-            "vec_id", "embedding", (F.col("label") != 0).cast("int").alias("y"))
+            "vec_id", "embedding", "label", (F.col("label") != 0).cast("int").alias("y"))
         return S.stratified_split(rows, "vec_id", ["y"])
     stored = read_or_build(spark, _session_path(spark, sf, "examples"), build,
                            partition_by=["conjunto"])
@@ -46,28 +50,81 @@ def _valid(spark, sf):
 
 def _forest(spark, sf):
     return M.fit_or_load(spark, _session_path(spark, sf, "forest"),
-                         lambda: M.forest().fit(M.spread_out(_train(spark, sf))),
+                         lambda: _timed_fit(spark, sf),
                          RandomForestClassificationModel)
 
 
+def _timed_fit(spark, sf):
+    """The model, and beside it how long the fit took and on how many rows."""
+    train = materialise(M.placed(M.bounded(_train(spark, sf), "vec_id", "y"), "vec_id"), "train")
+    rows = M.placed(train, "vec_id")
+    took, model = M.seconds(lambda: M.forest().fit(rows))
+    facts = spark.createDataFrame([(took, train.count())], "fit_seconds double, n_train long")
+    facts.write.mode("overwrite").parquet(_session_path(spark, sf, "forest-facts"))
+    return model
+
+
+def _scored(spark, sf):
+    """The validation rows with their scores, worked out once per session."""
+    return read_or_build(spark, _session_path(spark, sf, "forest-scores"), lambda: M.with_scores(
+        _forest(spark, sf), _valid(spark, sf)).select("vec_id", "label", "y", "predicted", "score"))
+
+
 def forest_scores(spark, sf):
-    scored = M.with_scores(_forest(spark, sf), _valid(spark, sf))
-    return scored.select("vec_id", "y", "predicted", "score")
+    return _scored(spark, sf).select("vec_id", "y", "predicted", "score")
 
 
 def forest_report(spark, sf):
-    return M.report(M.with_scores(_forest(spark, sf), _valid(spark, sf)))
+    return M.report(_scored(spark, sf))
+
+
+def forest_by_group(spark, sf):
+    """The forest's metrics within groups of rows (here by id, as a stand-in for the codec)."""
+    rows = _scored(spark, sf).withColumn("group", F.concat(F.lit("g"), (F.col("vec_id") % 3).cast("string")))
+    return E.metrics_by_group(rows, "group", "y", "predicted", "score")
+
+
+def forest_by_attack(spark, sf):
+    """Each positive class against all negatives, on the forest's scores."""
+    rows = _scored(spark, sf).withColumn("attack", F.concat(F.lit("c"), F.col("label").cast("string")))
+    return SN.shared_negative_report(rows, "attack", "y", "predicted", "score")
+
+
+def forest_thresholds(spark, sf):
+    """Metrics of the forest's scores over the decision thresholds."""
+    return E.threshold_sweep(_scored(spark, sf), "y", "score")
 
 
 def forest_record(spark, sf):
+    """Every published field of a run: parameters, rows, times, metrics, matrix, top features."""
     model, valid = _forest(spark, sf), _valid(spark, sf)
     times = M.scoring_time(model, valid)
-    report = M.report(M.with_scores(model, valid)).select(F.struct("*")).scalar()
+    facts = spark.read.parquet(_session_path(spark, sf, "forest-facts")).first()
+    report = M.report(_scored(spark, sf)).select(F.struct("*")).scalar()
+    top = M.feature_importance(spark, model, NAMES).agg(F.map_from_entries(
+        F.collect_list(F.struct("feature", "importance")))).scalar()
     return run_record(spark, {
-        "model": "forest", "seed": K.SEED, "stratification": "y", "metrics": report,
+        "model": "forest", "trees": 100, "depth": 30, "seed": K.SEED, "stratification": "y",
+        "n_train": facts["n_train"], "n_valid": valid.count(), "n_features": len(NAMES),
+        "fit_seconds": facts["fit_seconds"], "metrics": report, "top_features": top,
         "score_seconds": times["seconds"], "score_ms_per_row": times["ms_per_row"]})
 
 
+def forest_identities(spark, sf):
+    """What must hold whatever the model: the cells are the rows of each class, importances sum to one."""
+    whole = M.feature_importance(spark, _forest(spark, sf), NAMES, k=None).agg(
+        F.count("*").alias("n_features"), F.round(F.sum("importance"), 3).alias("importance"))
+    cells = M.report(_scored(spark, sf)).select(
+        (F.col("tn") + F.col("fp")).alias("n_0"), (F.col("fn") + F.col("tp")).alias("n_1"),
+        F.struct(*[F.col(c) for c in ("tn", "fp", "fn", "tp")]).alias("_c"))
+    table_ = _scored(spark, sf).agg(
+        F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+        F.bool_and((F.col("score") > 0.5).cast("int") <= F.col("predicted")).alias("decisions_fit"))
+    one = F.lit(1).alias("_one")
+    return (cells.select("n_0", "n_1", one).join(whole.select("*", one), "_one")
+            .join(table_.select("*", one), "_one").drop("_one"))
+
+
 def feature_importance(spark, sf):
     return M.feature_importance(spark, _forest(spark, sf), NAMES)
 
@@ -89,7 +146,7 @@ def _curve(spark, sf):
     def build():
         train = _examples(spark, sf).where(F.col("conjunto") == "treino")
         samples = materialise(S.sized_samples(train, "vec_id", ["y"], CURVE), "samples")
-        return M.learning_curve(samples, _valid(spark, sf), CURVE, trees=20, depth=10)
+        return M.learning_curve(samples, _valid(spark, sf), CURVE, "vec_id")
     return read_or_build(spark, _session_path(spark, sf, "curve"), build)
 
 
@@ -102,21 +159,30 @@ def saturation_point(spark, sf):
 
 
 def linear_svm(spark, sf):
-    model = M.scaled_svm(maxIter=20).fit(_train(spark, sf))
+    model = M.scaled_svm().fit(_train(spark, sf))
     return M.report(M.with_scores(model, _valid(spark, sf)))
 
 
 def random_search(spark, sf):
-    folds = 3
+    folds = K.FOLDS
     rows = S.stratified_folds(_examples(spark, sf).where(F.col("conjunto") == "treino"),
                               "vec_id", ["y"], folds)
-    train = M.with_class_weights(materialise(rows, "folds"), "y")
-    return M.random_search(train, "fold", folds, draws=4, trees=10, space={
-        "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5],
-        "featureSubsetStrategy": ["sqrt", "onethird"]})
+    train = M.placed(M.with_class_weights(materialise(rows, "folds"), "y"), "vec_id")
+    return M.random_search(train, "fold", folds, draws=30, trees=SEARCH_TREES, space={
+        "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 5],
+        "featureSubsetStrategy": ["sqrt", "log2", "onethird"]})
 
 
-QUERIES = [forest_scores, forest_report, forest_record, feature_importance,
+QUERIES = [forest_identities, forest_by_group, forest_by_attack, forest_thresholds, forest_scores, forest_report, forest_record, feature_importance,
            permutation_importance, one_feature_leak_test, learning_curve,
            saturation_point, linear_svm, random_search]
-ORACLES: dict[str, str] = {}
+_FOREST_ROWS = _split_sql(
+    "(SELECT vec_id, CASE WHEN label <> 0 THEN 1 ELSE 0 END AS y FROM embeddings)", "vec_id",
+    "CAST(y AS VARCHAR)", False)
+
+ORACLES = {
+    "forest_identities": f"""{_FOREST_ROWS}
+        SELECT count(*) FILTER (y = 0) AS n_0, count(*) FILTER (y = 1) AS n_1, 64 AS n_features,
+               1.0::DOUBLE AS importance, count(*) AS n, true AS in_range, true AS decisions_fit
+        FROM split WHERE conjunto = 'validacao'""",
+}

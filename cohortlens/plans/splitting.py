@@ -90,7 +90,19 @@ def split_overlap(spark, sf):
     return A.split_overlap(_split(spark, sf), "conjunto", ["lang", "source", "doc_id"])
 
 
-QUERIES = [stratified_split, stratified_split_many, split_conformity, fold_assignment,
+def split_odd_strata(spark, sf):
+    """Strata with missing values and with the sign that joins their parts."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit("a_b")).when(
+            F.col("o_orderkey") % 3 == 0, F.lit("a")).alias("left"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("c")).when(
+            F.col("o_orderkey") % 3 == 0, F.lit("b_c")).when(
+            F.col("o_orderkey") % 5 == 0, F.lit("a")).alias("right"))
+    split = S.stratified_split(rows, "o_orderkey", ["left", "right"])
+    return split.groupBy("left", "right", "conjunto").agg(F.count("*").alias("n"))
+
+
+QUERIES = [split_odd_strata, stratified_split, stratified_split_many, split_conformity, fold_assignment,
            stratum_position, rare_collapse, stratified_subsample, persisted_subsample,
            sized_samples, split_fingerprint, leave_one_group_out, split_overlap]
 
@@ -143,7 +155,17 @@ _SUBSAMPLE = f"""
     SELECT doc_id, quality, lang FROM ranked JOIN cut USING (stratum) WHERE pos <= q"""
 _SIZES = [s for s in SAMPLE_SIZES if s]
 
+_ODD = _split_sql(
+    """(SELECT o_orderkey,
+          CASE WHEN o_orderkey % 2 = 0 THEN 'a_b' WHEN o_orderkey % 3 = 0 THEN 'a' END AS lef,
+          CASE WHEN o_orderkey % 2 = 0 THEN 'c' WHEN o_orderkey % 3 = 0 THEN 'b_c'
+               WHEN o_orderkey % 5 = 0 THEN 'a' END AS righ FROM orders)""", "o_orderkey",
+    " || '_' || ".join(f"coalesce(replace(replace({c}, '\\', '\\\\'), '_', '\\_'), '\\N')"
+                       for c in ("lef", "righ")), False)
+
 ORACLES = {
+    "split_odd_strata": f"""{_ODD} SELECT lef AS "left", righ AS "right", conjunto, count(*) AS n
+        FROM split GROUP BY ALL""",
     "stratified_split": f"{_DOCS} SELECT doc_id, quality, conjunto FROM split",
     "stratified_split_many": _split_sql(
         "orders", "o_orderkey", "o_orderstatus || '_' || o_orderpriority", False)

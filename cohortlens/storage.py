@@ -2,7 +2,8 @@
 
 On a cluster it is the one named by ``spark.checkpoint.dir``; every executor
 can reach it, so what is written there outlives a lost executor. Only a session
-that names none (a local test) gets a folder of its own.
+that names none gets a folder of its own when it runs on this machine alone,
+and an error otherwise.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")

@@ -89,8 +89,18 @@ def test_samples_have_exact_sizes_and_nest(people):
     assert ids[120] <= ids[600]
 
 
-def test_a_sample_larger_than_the_table_is_the_table(people):
-    assert S.stratified_sample(people, "id", ["kind"], 5000).count() == 1200
+def test_a_sample_larger_than_the_table_is_refused(people):
+    """It used to be the whole table under the wrong name."""
+    with pytest.raises(ValueError, match="5000 rows"):
+        S.stratified_sample(people, "id", ["kind"], 5000)
+    assert S.stratified_sample(people, "id", ["kind"], 1200).count() == 1200
+
+
+def test_strata_with_missing_and_joining_values_stay_apart(rows):
+    table = rows([(i, *[("a_b", "c"), ("a", "b_c"), (None, "a"), ("a", None)][i % 4]) for i in range(80)],
+                 "id int, left string, right string")
+    out = S.stratified_split(table, "id", ["left", "right"], [("x", 0.5), ("y", 0.5)])
+    assert [r["count"] for r in out.groupBy("left", "right", "conjunto").count().collect()] == [10] * 8
 
 
 def test_rare_strata_are_merged(people):
