@@ -8,8 +8,8 @@ which the two sets agree. A signature is what a set holds in such a choice, and
 similar sets share one. Candidates are then checked exactly.
 
 What is compared: equal sets count once. In a first round, each set is compared
-with four pivots among those with its signature; sets linked so far form
-components. A second round looks at the pairs with a common signature that are
+with the nearest of four pivots of each of its signatures; sets linked so far
+form components. A second round looks at the pairs with a common signature that are
 in different components, and only those become rows whose parity sketches do
 not already prove them too different. So no link between different texts that
 matters for a component is lost, and no group is expanded into all its pairs.
@@ -23,6 +23,7 @@ items are 64-bit hashes. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -44,6 +45,8 @@ from cohortlens.storage import materialise
 LEAST_ITEMS, LEAST_ITEMS_SMALL = 2.0, 4.5
 #: Bits of the filter that tells which sets a check needs; its size is fixed, whatever the input.
 FILTER_BITS = 1 << 25
+#: Pivots that a set is checked against in the first round, those whose sketches look nearest.
+NEAREST = 2
 
 
 class Scheme(NamedTuple):
@@ -177,11 +180,25 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(sign, "sig long, node long")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose sets are similar, checked item by item."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the shuffles of finished steps go.
+
+    Spark deletes a shuffle's files once the driver's collector finds it unreachable, which may be long
+    after its table was written. Between two large steps it is worth asking for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose sets are similar, checked item by item.
+
+    A set is read from the document that stands for it (``doc`` in ``nodes``).
+    """
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                         .join(nodes.select("node", "doc"), "node"), "wanted")
     bits = FILTER_BITS
-    place = F.pmod(F.col("node"), F.lit(bits))
+    place = F.pmod(F.col("node").bitwiseXOR(F.col("doc")), F.lit(bits))
     found = wanted.select(F.shiftright(place, 6).cast("int").alias("word"),
                           F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")) \
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
@@ -194,22 +211,26 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         bitmap, done = shared.value, set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                nodes, sets = [], []
-                for items in shingle_sets(part.column("text"), words):
+                nodes, ids, sets = [], [], []
+                for doc, items in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), words)):
+                    if doc is None or not len(items):
+                        continue
                     node = int(set_number(items))
-                    at = node % bits
-                    if len(items) and bitmap[at >> 3] >> (at & 7) & 1 and node not in done:
+                    at = (node ^ doc) % bits
+                    if bitmap[at >> 3] >> (at & 7) & 1 and node not in done:
                         done.add(node)
                         nodes.append(node)
+                        ids.append(doc)
                         sets.append(items.astype(np.int64))
                 ends = np.cumsum([0] + [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.LargeListArray.from_arrays(ends, pa.array(
+                    [pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), pa.LargeListArray.from_arrays(ends, pa.array(
                         np.concatenate(sets) if sets else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))],
-                    names=["node", "items"])
+                    names=["node", "doc", "items"])
 
-    sets = materialise(_texts(docs).mapInArrow(collect, "node long, items array<bigint>")
-                       .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialise(_texts(docs).mapInArrow(collect, "node long, doc long, items array<bigint>")
+                       .join(wanted, ["node", "doc"], "left_semi").dropDuplicates(["node", "doc"]).drop("doc"), "sets")
+    forget_shuffles(docs.sparkSession)
     common = F.size(F.array_intersect("x", "y"))
     joined = (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
               .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
@@ -217,11 +238,15 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         .where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def differing() -> Column:
+    """Items in which the sets ``l`` and ``r`` differ at least, by their parity sketches."""
+    return sum((F.bit_count(F.col(f"l.p{i}").bitwiseXOR(F.col(f"r.p{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+
+
 def may_link(percent: int) -> Column:
     """False where sizes or parity sketches prove the sets ``l`` and ``r`` too different."""
     most = F.floor((100 - percent) * (F.col("l.n") + F.col("r.n")) / (100 + percent))
-    differ = sum((F.bit_count(F.col(f"l.p{i}").bitwiseXOR(F.col(f"r.p{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    return (differ <= most) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
+    return (differing() <= most) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -236,20 +261,27 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         "sig", "node", F.min("node").over(same).alias("pivot0"), F.max("node").over(same).alias("pivot1"),
         F.min(turned).over(same)["pivot"].alias("pivot2"), F.max(turned).over(same)["pivot"].alias("pivot3"))
     shared = materialise(signed.where("pivot0 != pivot1").distinct(), "signatures")
+    forget_shuffles(docs.sparkSession)
 
     known = nodes.select("node", "n", *sketch)
-    stars = [shared.select(F.least("node", p).alias("a"), F.greatest("node", p).alias("b")).where("a != b").distinct()
+    stars = [shared.select("node", F.col(p).alias("pivot")).where("node != pivot")
              for p in ("pivot0", "pivot1", "pivot2", "pivot3")]
     pairs = reduce(DataFrame.unionByName, stars).distinct()
-    pairs = pairs.join(known.select(F.struct("n", *sketch).alias("l"), F.col("node").alias("a")), "a") \
-        .join(known.select(F.struct("n", *sketch).alias("r"), F.col("node").alias("b")), "b")
-    tried = materialise(pairs.where(may_link(percent)).select("a", "b"), "pairs")
+    pairs = pairs.join(known.select(F.struct("n", *sketch).alias("l"), "node"), "node") \
+        .join(known.select(F.struct("n", *sketch).alias("r"), F.col("node").alias("pivot")), "pivot")
+    # the pivots that look nearest; the others come up again in the second round
+    nearest = W.partitionBy("node").orderBy(differing(), "pivot")
+    tried = materialise(pairs.where(may_link(percent)).withColumn("_r", F.row_number().over(nearest))
+                        .where(F.col("_r") <= NEAREST)
+                        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    forget_shuffles(docs.sparkSession)
     # sets of one document belong together, whatever they hold
     twins = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
     kin = rows.join(twins.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("n > 0 and a != node")
-    first = components(similar(tried, docs, words, percent).unionByName(kin))
+    first = components(similar(tried, docs, nodes, words, percent).unionByName(kin))
     first = materialise(first, "components")
+    forget_shuffles(docs.sparkSession)
 
     placed = shared.select("sig", "node").join(first, "node", "left").select(
         "sig", "node", F.coalesce("component", "node").alias("component"))
@@ -261,7 +293,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                       & (F.col("l.component") != F.col("r.component")) & may_link(percent)).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = similar(cross, docs, words, percent)
+    more = similar(cross, docs, nodes, words, percent)
     of = first.select(F.col("node"), F.col("component"))
     more = (more.join(of.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left")
             .join(of.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
