@@ -2,122 +2,148 @@
 
 Pairing every group with all negatives would copy the negatives once per group.
 Only the equal error rate needs the pairing, and it looks at one place of the
-curve: where the falling miss rate meets the rising false-alarm rate. So:
-
-1. scores are counted once and cut into at most 1,024 slots;
-2. slot totals alone tell in which slot a group's rates cross;
-3. negatives are paired with a group in that slot and its neighbours only,
-   reaching as far as needed to hold a curve point that straight-line dropping
-   keeps, on either side of the crossing.
-
-The result equals the full pairing for every group.
+curve: where the falling miss rate meets the rising false-alarm rate. So
+nothing is paired:
+
+1. the negatives form one curve; every positive score is ranked in it, which
+   gives its false alarms;
+2. between two neighbouring positives of a group there are only negatives. The
+   curve's kept points beside the crossing are positives, the last negative
+   before one, or, in the one run that holds the crossing, the negatives' own
+   bends next to it, which their running counts find;
+3. the best of these few points per group is the equal error rate.
+
+Work: positives plus negatives plus one lookup per group. The result equals the
+full pairing for every group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import decisions as D
 from cohortlens.functions.rates import ratio
-from cohortlens.operators.evaluate import pick_eer
-from cohortlens.operators.ordering import POINTS, running_totals, with_slots
+from cohortlens.operators.ordering import POINTS, previous_in_order, running_totals
 from cohortlens.storage import materialise
 
+#: Parts that the negatives' running counts are cut into for lookups.
+PARTS = 1024
+
+
+def _ranked_positives(pos: DataFrame, neg: DataFrame, points: int) -> DataFrame:
+    """Each group's positive scores with both running counts and the next lower score's.
+
+    ``tp`` and ``fp`` count the rows at or above the score, ``m`` and ``n`` those right at it.
+    """
+    scores = neg.unionByName(pos.select("score", F.lit(0).cast("bigint").alias("n")))
+    shared = running_totals(scores.groupBy("score").agg(F.sum("n").alias("n")), "score", ["n"],
+                            descending=True, points=points).select("score", "n", F.col("cum_n").alias("fp"))
+    own = running_totals(pos, "score", ["m"], ["group"], descending=True, points=points).select(
+        "group", "score", "m", F.col("cum_m").alias("tp"), F.col("total_m").alias("all_pos"))
+    rows = own.join(shared, "score")
+    return previous_in_order(rows, ["group"], ["score"], F.struct("m", "n", "tp", "fp"), "next", points)
+
 
-def _slot_grid(slotted: DataFrame) -> DataFrame:
-    """Per group and slot: both classes' counts, and whether it surely bends.
+def _run_bends(runs: DataFrame, negs: DataFrame, all_neg: Column) -> DataFrame:
+    """For each crossing run, the negatives' own bends on both sides of the crossing.
 
-    A slot surely holds a kept point when two rows in it step differently:
-    negatives of unequal counts, positives of unequal counts, or both classes
-    at different scores. Groups get every slot, which bounds the grid by
-    groups x slots.
+    ``runs`` has one row per group: the run lies between the running counts ``low`` and ``high``, the
+    crossing is after ``at``. Bends and crossings are sorted together, part by part of the counts.
     """
-    step = [F.sum("n").alias("n"), F.count("*").alias("rows"),
-            (F.min("n") < F.max("n")).alias("uneven")]
-
-    def named(table: DataFrame, tag: str) -> DataFrame:
-        return table.select(*[c for c in table.columns if c in ("_slot", "group")],
-                            *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "rows", "uneven")])
-
-    neg = named(slotted.where(F.col("group").isNull()).groupBy("_slot").agg(*step), "neg")
-    pos = named(slotted.where(F.col("group").isNotNull())
-                .groupBy("group", "_slot").agg(*step), "pos")
-    slots = slotted.agg(F.collect_set("_slot")).scalar()
-    grid = (pos.select("group").distinct()
-            .withColumn("_all", slots)
-            .select("group", F.explode("_all").alias("_slot"))
-            # at most one row per slot
-            .join(F.broadcast(neg), "_slot", "left")
-            .join(pos, ["group", "_slot"], "left")
-            .na.fill(0, ["neg_n", "neg_rows", "pos_n", "pos_rows"])
-            .na.fill(False, ["neg_uneven", "pos_uneven"]))
-    mixed = ((F.col("pos_rows") > 0) & (F.col("neg_rows") > 0)
-             & (F.col("pos_rows") != F.col("neg_rows")))
-    return grid.withColumn("sure", F.col("neg_uneven") | F.col("pos_uneven") | mixed)
-
-
-def _crossing_slots(grid: DataFrame) -> DataFrame:
-    """The slots each group needs, with the totals above and overall."""
-    group = Window.partitionBy("group")
-    down = group.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, 0)
-    slot = F.col("_slot")
-    summed = grid.select(
-        "*", F.sum("pos_n").over(down).alias("cum_pos"),
-        F.sum("neg_n").over(down).alias("cum_neg"),
-        F.sum("pos_n").over(group).alias("all_pos"), F.sum("neg_n").over(group).alias("all_neg"))
-    gap = (1 - ratio("cum_pos", "all_pos")) - ratio("cum_neg", "all_neg")
-    crossed = summed.withColumn("_at", F.max(F.when(gap < 0, slot)).over(group))
-    ends = crossed.select(
-        "*",
-        F.coalesce(F.min(F.when(F.col("sure") & (slot > F.col("_at")), slot)).over(group),
-                   F.max(slot).over(group)).alias("_top"),
-        F.coalesce(F.max(F.when(F.col("sure") & (slot < F.col("_at")), slot)).over(group),
-                   F.min(slot).over(group)).alias("_bottom"))
-    wanted = ends.where((slot <= F.col("_top")) & (slot >= F.col("_bottom")))
-    return wanted.select("group", "_slot", "all_pos", "all_neg",
-                         (F.col("cum_pos") - F.col("pos_n")).alias("above_pos"),
-                         (F.col("cum_neg") - F.col("neg_n")).alias("above_neg"))
+    def part(count: str) -> Column:
+        return F.floor(F.col(count) * PARTS / F.greatest(all_neg, F.lit(1))).cast("int")
+
+    bends = negs.where(F.col("next_n").isNull() | (F.col("n") != F.col("next_n"))).select(F.col("cum_n").alias("at"))
+    bends = bends.withColumn("part", part("at"))
+    ends = bends.groupBy("part").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    wanted = runs.select("group", "at", part("at").alias("part"))
+    # a bend at the crossing's own count comes before it
+    both = bends.join(F.broadcast(wanted.select("part").distinct()), "part").select(
+        "part", "at", F.lit(0).alias("kind"), F.lit(None).cast(runs.schema["group"].dataType).alias("group"))
+    both = both.unionByName(wanted.select("part", "at", F.lit(1).alias("kind"), "group"))
+    bend = F.when(F.col("kind") == 0, F.col("at"))
+    order = Window.partitionBy("part").orderBy("at", "kind")
+    near = both.select(
+        "part", "kind", "group",
+        F.last(bend, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
+        F.first(bend, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+    # at most PARTS + 1 rows say what lies in the parts to the left and right
+    grid = negs.sparkSession.range(PARTS + 1).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
+    line = Window.orderBy("part")
+    sides = grid.select(
+        "part", F.max("most").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
+        F.min("least").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+    found = near.where("kind = 1").join(F.broadcast(sides), "part").select(
+        "group", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
+    inside = runs.join(found, "group")
+
+    def within(bend: str) -> Column:
+        return F.when((F.col(bend) > F.col("low")) & (F.col(bend) <= F.col("high")), F.col(bend))
+
+    side = F.explode(F.array(within("before"), within("after"))).alias("fp")
+    return inside.select("group", "tp", side).where("fp is not null")
 
 
 def shared_negative_eer(df: DataFrame, group: str, label: str, score: str,
                         points: int = POINTS) -> DataFrame:
     """``group, eer, eer_threshold``: the group's positives and all negatives."""
     kind = df.schema[score].dataType
-    rows = df.where(F.col(score).isNotNull() & (
-        (F.col(label) == 0) | ((F.col(label) == 1) & F.col(group).isNotNull())))
-    hist = rows.groupBy(
-        F.when(F.col(label) == 1, F.col(group)).alias("group"),
-        F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    slotted = materialise(with_slots(hist, "score", ["n"], ["group"], points), "shared-scores")
-    wanted = materialise(_crossing_slots(_slot_grid(slotted)), "crossings")
-
-    zero = F.lit(0).cast("bigint")
-    near_neg = (slotted.where(F.col("group").isNull()).drop("group")
-                .join(wanted.select("group", "_slot"), "_slot")
-                .select("group", "score", zero.alias("pos"), F.col("n").alias("neg")))
-    near_pos = (slotted.join(wanted.select("group", "_slot"), ["group", "_slot"])
-                .select("group", "score", F.col("n").alias("pos"), zero.alias("neg")))
-    near = near_neg.unionByName(near_pos).groupBy("group", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-    frame = wanted.groupBy("group").agg(
-        F.min("above_pos").alias("above_pos"), F.min("above_neg").alias("above_neg"),
-        F.max("all_pos").alias("all_pos"), F.max("all_neg").alias("all_neg"))
-    curve = running_totals(near, "score", ["pos", "neg"], ["group"], descending=True,
-                           points=points, follow=True).join(frame, "group")
-    tp, fp = F.col("above_pos") + F.col("cum_pos"), F.col("above_neg") + F.col("cum_neg")
-    first = (tp == F.col("pos")) & (fp == F.col("neg"))
-    last = (tp == F.col("all_pos")) & (fp == F.col("all_neg"))
-    bends = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-    kept = curve.where(first | last | F.coalesce(bends, F.lit(False))).select(
-        "group", F.col("score").alias("threshold"),
-        ratio(fp, "all_neg").alias("fpr"), ratio(tp, "all_pos").alias("tpr"))
-    anchor = frame.select("group", F.lit(None).cast(kind).alias("threshold"),
-                          ratio(zero, "all_neg").alias("fpr"),
-                          ratio(zero, "all_pos").alias("tpr"))
-    best = pick_eer(kept.unionByName(anchor), ["group"])
-    return best.withColumnRenamed("group", group)
+    rows = df.where(F.col(score).isNotNull())
+    if kind.typeName() in ("double", "float"):
+        rows = rows.where(~F.isnan(score))
+    neg = rows.where(F.col(label) == 0).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
+    pos = rows.where((F.col(label) == 1) & F.col(group).isNotNull()).groupBy(
+        F.col(group).alias("group"), F.col(score).alias("score")).agg(F.count("*").alias("m"))
+    neg, pos = materialise(neg, "negatives"), materialise(pos, "positives")
+    whole = neg.agg(F.sum("n")).first()[0] or 0
+    all_neg = F.lit(whole).cast("bigint")
+    negs = materialise(running_totals(neg, "score", ["n"], descending=True, points=points, follow=True)
+                       .select("score", "n", "cum_n", "next_n"), "negative-curve")
+    ranked = materialise(_ranked_positives(pos, neg, points), "ranked-positives")
+
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast(kind)
+    before_next = F.col("next.fp") - F.col("next.n")
+    straight = (before_next == F.col("fp")) & (F.col("next.m") == F.col("m")) & (F.col("next.n") == F.col("n"))
+    first = (F.col("tp") == F.col("m")) & (F.col("fp") == F.col("n"))
+
+    def over(tp: Column, fp: Column) -> Column:
+        """The curve is past its crossing: fewer misses than false alarms, in whole numbers."""
+        big = "decimal(38,0)"
+        return fp.cast(big) * F.col("all_pos").cast(big) > all_neg.cast(big) * (F.col("all_pos") - tp).cast(big)
+
+    kept = ranked.where(first | ~F.coalesce(straight, F.lit(False))).select("group", "tp", "fp", "score")
+    ahead = ranked.where(before_next > F.col("fp")).select("group", "tp", before_next.alias("fp"), none.alias("score"))
+    top = ranked.where(F.col("tp") == F.col("m"))
+    ahead = ahead.unionByName(top.where(F.col("fp") > F.col("n")).select(
+        "group", zero.alias("tp"), (F.col("fp") - F.col("n")).alias("fp"), none.alias("score")))
+    # the run of negatives that holds the crossing, if any does
+    end = F.coalesce(before_next, all_neg)
+    runs = ranked.where(~over(F.col("tp"), F.col("fp")) & (
+        F.col("next").isNull() | over(F.col("next.tp"), F.col("next.fp")))).select(
+        "group", "all_pos", "tp", F.col("fp").alias("low"), end.alias("high"))
+    runs = runs.unionByName(top.where(over(F.col("tp"), F.col("fp"))).select(
+        "group", "all_pos", zero.alias("tp"), zero.alias("low"), (F.col("fp") - F.col("n")).alias("high")))
+    crossing = F.expr("cast(floor(cast(%d as decimal(38,0)) * (all_pos - tp) / all_pos) as bigint)" % whole)
+    runs = materialise(runs.where("high > low").withColumn("at", crossing), "runs")
+    bends = _run_bends(runs, negs, all_neg).select("group", "tp", "fp", none.alias("score"))
+    start = negs.where(F.col("cum_n") == F.col("n")).select(F.col("n").alias("_n"))
+    head = top.where(F.col("fp") > F.col("n")).select("group").withColumn("_n", start.agg(F.max("_n")).scalar()).select(
+        "group", zero.alias("tp"), F.col("_n").alias("fp"), none.alias("score"))
+    anchor = top.select("group", zero.alias("tp"), zero.alias("fp"), none.alias("score"))
+
+    sizes = top.select("group", "all_pos")
+    every = kept.unionByName(ahead).unionByName(bends).unionByName(head).unionByName(anchor).join(sizes, "group")
+    fpr, fnr = ratio(F.col("fp"), all_neg), 1 - ratio(F.col("tp"), F.col("all_pos"))
+    gap = F.abs(fnr - fpr)
+    best = every.where(gap.isNotNull()).groupBy("group").agg(F.min_by(
+        F.struct(((fpr + fnr) / 2).alias("eer"), "score", "fp", (F.col("tp") + F.col("fp")).alias("at")),
+        F.struct(gap, F.col("tp") + F.col("fp"))).alias("_b"))
+    # a negative's threshold is the score whose running count it is
+    scores = negs.select(F.col("cum_n").alias("_fp"), F.col("score").alias("_score"))
+    named = best.select("group", "_b.*").join(scores, (F.col("fp") == F.col("_fp")) & F.col("score").isNull() & (F.col("at") > 0), "left")
+    return sizes.select("group").join(named, "group", "left").select(
+        F.col("group").alias(group), "eer", F.coalesce("score", "_score").alias("eer_threshold"))
 
 
 def shared_negative_report(df: DataFrame, group: str, label: str, predicted: str,

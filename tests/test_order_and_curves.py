@@ -173,3 +173,28 @@ def test_many_columns_take_several_passes(rows):
     df = rows([tuple(map(float, r)) for r in rng.normal(size=(30, 8))],
               ", ".join(f"{n} double" for n in names))
     assert C.pearson_matrix(df, names).count() == 64
+
+
+def test_rare_groups_pair_nothing(spark, monkeypatch):
+    """With one row per group the stored tables stay near negatives + positives."""
+    sizes = []
+    keep = H.materialise
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "materialise", counted)
+    neg = spark.range(3000).select(F.lit(0).alias("y"), F.lit("-").alias("grp"), (F.xxhash64("id") % 1000003).cast("double").alias("score"))
+    pos = spark.range(40).select(F.lit(1).alias("y"), F.concat(F.lit("g"), F.col("id")).alias("grp"),
+                                 (F.xxhash64("id", F.lit(1)) % 1000003).cast("double").alias("score"))
+    table = neg.unionByName(pos)
+    out = {r["grp"]: r["eer"] for r in H.shared_negative_eer(table, "grp", "y", "score").collect()}
+    assert sum(sizes) <= 2 * 3000 + 4 * 40
+    negatives = sorted((r["score"] for r in neg.collect()), reverse=True)
+    for r in pos.collect():
+        above = sum(s > r["score"] for s in negatives) / len(negatives)
+        # one positive: missed until it is reached, then the false alarms above it
+        assert out[r["grp"]] == pytest.approx(min((abs(x - f), (f + x) / 2) for f, x in (
+            (0, 1), (above, 1), (above, 0), (1 / 3000 if above else 0, 1), (1, 0)))[1], abs=1e-3)
