@@ -37,7 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import components
-from cohortlens.llm.shingles import SKETCH_WORDS, mixed, parities, set_number, shingle_sets
+from cohortlens.llm.shingles import (SKETCH_WORDS, long_parities, mixed, parities, set_number,
+                                      shingle_sets)
 from cohortlens.llm.tables import pieces, table
 from cohortlens.storage import materialise
 
@@ -141,7 +142,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, the set's size ``n``, its ``node`` number and its parity sketch."""
+    """``doc_id``, the set's size ``n``, its ``node`` number and its parity sketches, a short and a long one."""
     names = [f"p{i}" for i in range(SKETCH_WORDS)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +150,17 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             for part in pieces(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), words))
                 sketch = np.stack([parities(x) for x in sets])
+                bits = [long_parities(x) for x in sets]
+                ends = np.cumsum([0] + [len(x) for x in bits])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.array([len(x) for x in sets], np.int64)),
                      pa.array(np.array([set_number(x) for x in sets], np.int64))]
-                    + [pa.array(sketch[:, i].copy()) for i in range(SKETCH_WORDS)],
-                    names=["doc_id", "n", "node"] + names)
+                    + [pa.array(sketch[:, i].copy()) for i in range(SKETCH_WORDS)]
+                    + [pa.LargeListArray.from_arrays(ends, pa.array(np.concatenate(bits))).cast(pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "node"] + names + ["bits"])
 
-    return _texts(docs).mapInArrow(describe, "doc_id long, n long, node long, " + ", ".join(f"{c} long" for c in names))
+    return _texts(docs).mapInArrow(describe, "doc_id long, n long, node long, " + ", ".join(f"{c} long" for c in names)
+                                   + ", bits array<bigint>")
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -180,6 +185,21 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(sign, "sig long, node long")
 
 
+def sketches_agree(percent: int) -> Column:
+    """False where the long sketches prove the sets ``l`` and ``r`` too different."""
+    x, y = F.col("l.bits"), F.col("r.bits")
+    words = F.least(F.size(x), F.size(y))
+
+    def word(bits: Column, i: Column) -> Column:
+        # sizes of similar sets differ too little for more than one fold
+        return F.when(F.size(bits) > words, F.get(bits, i).bitwiseXOR(F.get(bits, i + words))).otherwise(F.get(bits, i))
+
+    differ = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0),
+                         lambda n, i: n + F.bit_count(word(x, i).bitwiseXOR(word(y, i))))
+    most = F.floor((100 - percent) * (F.col("l.n") + F.col("r.n")) / (100 + percent))
+    return (F.greatest(F.size(x), F.size(y)) > 2 * words) | (differ <= most)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Let the shuffles of finished steps go.
 
@@ -193,8 +213,13 @@ def forget_shuffles(spark: SparkSession) -> None:
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose sets are similar, checked item by item.
 
-    A set is read from the document that stands for it (``doc`` in ``nodes``).
+    A set is read from the document that stands for it (``doc`` in ``nodes``), and only when the long
+    sketches leave its pair open.
     """
+    side = nodes.select("node", "n", "bits")
+    pairs = pairs.join(side.select(F.col("node").alias("a"), F.struct("n", "bits").alias("l")), "a") \
+        .join(side.select(F.col("node").alias("b"), F.struct("n", "bits").alias("r")), "b")
+    pairs = materialise(pairs.where(sketches_agree(percent)).select("a", "b"), "open-pairs")
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                          .join(nodes.select("node", "doc"), "node"), "wanted")
     bits = FILTER_BITS
@@ -251,10 +276,11 @@ def may_link(percent: int) -> Column:
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row."""
-    rows = materialise(document_sets(docs, words), "document-sets")
+    every = materialise(document_sets(docs, words), "document-sets")
+    rows = every.drop("bits")
     sketch = [f"p{i}" for i in range(SKETCH_WORDS)]
-    nodes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in sketch]), "nodes")
+    nodes = materialise(every.where("n > 0 and doc_id is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in sketch], F.max("bits").alias("bits")), "nodes")
     same = W.partitionBy("sig")
     turned = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
     signed = signature_rows(docs, words, percent).select(

@@ -62,3 +62,13 @@ def parities(items: np.ndarray) -> np.ndarray:
     bucket = (items >> np.uint64(11)) % np.uint64(64 * SKETCH_WORDS)
     odd = np.bincount(bucket.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def long_parities(items: np.ndarray) -> np.ndarray:
+    """The same over a power of two of buckets, at least as many as items: large sets stay apart.
+
+    A sketch of twice as many buckets folds to a shorter one by the exclusive or of its halves.
+    """
+    buckets = max(64, 1 << (len(items) - 1).bit_length())
+    odd = np.bincount(((items >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
