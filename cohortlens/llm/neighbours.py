@@ -6,7 +6,7 @@ widens all of them step by step (virtual rehashing: the arrays stay as they
 are). A vector that lies in enough windows is verified with the true measure.
 The search of a block of vectors ends when a share of the block is verified, or
 earlier when no vector outside can be near enough: one at distance d lies
-outside fewer than d^2 / w^2 of the windows of half width w.
+outside at most d^2 / w^2 of the windows of half width w.
 
 Largest inner product becomes smallest distance by one more coordinate that
 gives all vectors the same length. All rows are indexed, in blocks whose size
@@ -38,13 +38,15 @@ from cohortlens.storage import materialise
 class Search(NamedTuple):
     """Share of windows that make a collision count, share of a block verified, first half width, growth."""
     threshold: float = 0.75
-    verified: float = 0.4
-    width: float = 0.08
+    verified: float = 0.25
+    width: float = 0.15
     growth: float = 1.3
     seed: int = 11
 
 
 BLOCK, LEAST_BLOCKS, SMALL_BLOCK, CHUNK = 65_536, 8, 2048, 4096
+#: Queries whose window ends are found at once.
+TOGETHER = 256
 
 
 def usable(vector: Column) -> Column:
@@ -77,13 +79,17 @@ def block_search(vectors: np.ndarray, queries: np.ndarray, k: int, longest: floa
         w *= how.growth
     widths.append(2.1)  # covers everything: coordinates lie between -1 and 1
     for q in range(len(queries)):
+        if q % TOGETHER == 0:  # window ends of a few hundred queries at once, one step when it is first needed
+            mine, ends = at[q:q + TOGETHER], []
         count = np.zeros(n, np.int64)
         done = np.zeros(n, bool)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
         low = high = None
-        for width in widths:
-            new_low = np.array([np.searchsorted(ranked[j], at[q, j] - width) for j in range(m)])
-            new_high = np.array([np.searchsorted(ranked[j], at[q, j] + width, side="right") for j in range(m)])
+        for step, width in enumerate(widths):
+            if step == len(ends):
+                ends.append((np.stack([np.searchsorted(ranked[j], mine[:, j] - width) for j in range(m)], axis=1),
+                             np.stack([np.searchsorted(ranked[j], mine[:, j] + width, side="right") for j in range(m)], axis=1)))
+            new_low, new_high = (e[q % TOGETHER].tolist() for e in ends[step])
             if low is None:
                 parts = [order[j, new_low[j]:new_high[j]] for j in range(m)]
             else:
@@ -93,16 +99,21 @@ def block_search(vectors: np.ndarray, queries: np.ndarray, k: int, longest: floa
             if parts:
                 count += np.bincount(np.concatenate(parts), minlength=n)
             fresh = np.flatnonzero((count >= needed) & ~done)
+            if len(fresh) > enough - len(places):  # those in most windows first
+                fresh = fresh[np.argsort(-count[fresh], kind="stable")[:enough - len(places)]]
             if len(fresh):
                 done[fresh] = True
                 places = np.concatenate([places, fresh])
-                scores = np.concatenate([scores, (vectors[fresh] * queries[q]).sum(axis=1)])
+                scores = np.concatenate([scores, vectors[fresh] @ queries[q]])
             if len(places) >= min(enough, n):
                 break
             if len(places) >= k:
                 worst = np.partition(scores, len(scores) - k)[len(scores) - k]
                 if 2 - 2 * worst / lengths[q] <= (m - needed) * width ** 2:
                     break
+        # equal products must come out equal, whatever stood beside them
+        best = np.argsort(-scores, kind="stable")[:2 * k]
+        places, scores = places[best], (vectors[places[best]] * queries[q]).sum(axis=1)
         best = np.lexsort((places, -scores))[:k]
         yield places[best], scores[best]
 
