@@ -9,7 +9,7 @@ earlier when no vector outside can be near enough: one at distance d lies
 outside at most d^2 / w^2 of the windows of half width w.
 
 Largest inner product becomes smallest distance by one more coordinate that
-gives all vectors the same length. All rows are indexed, in blocks whose size
+gives all vectors of a band of lengths the same length. All rows are indexed, in blocks whose size
 has a bound; each block meets the stated queries, in chunks, and its best go on
 to a merge. Equal vectors are searched once.
 
@@ -45,6 +45,8 @@ class Search(NamedTuple):
 
 
 BLOCK, LEAST_BLOCKS, SMALL_BLOCK, CHUNK = 65_536, 8, 2048, 4096
+#: Vectors searched together differ in length by this factor at most; this many are compared outright.
+BAND, FEW = 1.2, 256
 #: Queries whose window ends are found at once.
 TOGETHER = 256
 
@@ -61,8 +63,30 @@ def widened(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([scaled, rest])
 
 
-def block_search(vectors: np.ndarray, queries: np.ndarray, k: int, longest: float, how: Search):
-    """For each query, the places in ``vectors`` that were verified best, and their inner products."""
+def block_search(vectors: np.ndarray, queries: np.ndarray, k: int, how: Search):
+    """For each query, the places in ``vectors`` that were verified best, and their inner products.
+
+    Vectors of unlike lengths are searched apart, as a few long ones would make all others look alike.
+    """
+    length = np.linalg.norm(vectors, axis=1)
+    band = np.floor(np.log(length / length.min()) / math.log(BAND) + 1e-9).astype(int)
+    parts = [np.flatnonzero(band == b) for b in np.unique(band)]
+    found = [band_search(vectors[p], queries, k, length[p].max() * (1 + 1e-12), how) if len(p) > FEW
+             else compare_all(vectors[p], queries) for p in parts]
+    for of_query in zip(*found):
+        places = np.concatenate([p[x] for p, (x, _) in zip(parts, of_query)])
+        scores = np.concatenate([y for _, y in of_query])
+        best = np.lexsort((places, -scores))[:k]
+        yield places[best], scores[best]
+
+
+def compare_all(vectors: np.ndarray, queries: np.ndarray):
+    for q in queries:
+        yield np.arange(len(vectors)), (vectors * q).sum(axis=1)
+
+
+def band_search(vectors: np.ndarray, queries: np.ndarray, k: int, longest: float, how: Search):
+    """The same for vectors none of which is longer than ``longest``."""
     n, m = len(vectors), vectors.shape[1] + 1
     turn = np.linalg.qr(np.random.default_rng(how.seed).standard_normal((m, m)))[0]
     spread = widened(vectors, longest) @ turn
@@ -133,14 +157,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Search = Sea
     # a query needs k others: the k + 1 smallest ids of equal vectors are enough
     few = rows.withColumn("_r", F.row_number().over(W.partitionBy("_v").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     groups = materialise(few.groupBy("_v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = groups.agg(F.count("*").alias("n"), F.max(length).alias("longest")).first()
+    n = groups.count()
     asked = materialise(rows.where(is_query).join(
         groups.select("_v", F.element_at("ids", 1).alias("rep")), "_v").select("vec_id", "rep", "_v"), "queries")
     reps = asked.groupBy("rep").agg(F.first("_v").alias("_v"))
-    blocks = max(-(-facts["n"] // BLOCK), min(LEAST_BLOCKS, -(-facts["n"] // SMALL_BLOCK)))
+    blocks = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // SMALL_BLOCK)))
     chunks = max(1, -(-asked.count() // CHUNK))
-    longest = facts["longest"] * (1 + 1e-12)
 
     def spot(key: str, kinds: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(kinds)).cast("int")
@@ -159,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Search = Sea
             left = left.take(pa.array(first))
             ids = left.column("ids").to_pylist()
             for rep, (places, scores) in zip(right.column("rep").to_pylist(),
-                                             block_search(matrix(left), matrix(right), k + 1, longest, how)):
+                                             block_search(matrix(left), matrix(right), k + 1, how)):
                 pairs = sorted((-s, i) for p, s in zip(places, scores.tolist()) for i in ids[p])[:k + 1]
                 out["rep"].append(rep)
                 out["ids"].append([i for _, i in pairs])

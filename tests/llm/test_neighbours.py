@@ -65,10 +65,18 @@ def test_empty_tables(spark):
     assert V.nearest(table(spark, [(1, [1.0]), (2, [2.0])]), F.lit(False)).count() == 0
 
 
-def test_windows_that_cover_all_find_all():
+def test_windows_that_cover_all_find_all(monkeypatch):
+    monkeypatch.setattr(V, "FEW", 0)
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 8))
-    how = V.Search(verified=1.0)
-    longest = np.linalg.norm(x, axis=1).max() * (1 + 1e-12)
-    for q, (places, scores) in zip(x[:5], V.block_search(x, x[:5], 10, longest, how)):
+    for q, (places, scores) in zip(x[:5], V.block_search(x, x[:5], 10, V.Search(verified=1.0))):
         assert list(places) == list(np.argsort(-(x @ q), kind="stable")[:10])
+
+
+def test_recall_of_large_blocks_of_unlike_lengths():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 24)) * r.lognormal(0, 0.5, size=(6000, 1))
+    queries = r.normal(size=(40, 24))
+    want = np.argsort(-(queries @ x.T), axis=1)[:, :20]
+    got = [set(places) for places, _ in V.block_search(x, queries, 20, V.Search())]
+    assert np.mean([len(g & set(w)) / 20 for g, w in zip(got, want)]) >= 0.9
