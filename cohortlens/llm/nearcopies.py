@@ -242,8 +242,9 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
                         continue
                     node = int(set_number(items))
                     at = (node ^ doc) % bits
-                    if bitmap[at >> 3] >> (at & 7) & 1 and node not in done:
-                        done.add(node)
+                    # a copy that the filter lets through by accident must not hide the document that stands
+                    if bitmap[at >> 3] >> (at & 7) & 1 and (node, doc) not in done:
+                        done.add((node, doc))
                         nodes.append(node)
                         ids.append(doc)
                         sets.append(items.astype(np.int64))

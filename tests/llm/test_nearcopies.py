@@ -87,6 +87,17 @@ def test_hot_group_of_near_copies(documents):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.itertuples()} == by_hand(rows, 3, 90)
 
 
+def test_copies_read_before_the_standing_document_lose_no_link(documents, monkeypatch):
+    monkeypatch.setattr(N, "FILTER_BITS", 64)  # nearly every copy passes by accident
+    texts = []
+    for group in range(20):
+        text = [f"g{group}w{i}" for i in range(40)]
+        texts += [" ".join(text)] * 6 + [" ".join(text[:-1] + ["other"])] * 6
+    rows = list(enumerate(texts))[::-1]
+    out = N.link_documents(documents(rows).coalesce(1), 3, 90).toPandas()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.itertuples()} == by_hand(rows, 3, 90)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
 def test_similar_sets_share_a_signature(percent):
     r = np.random.default_rng(percent)
