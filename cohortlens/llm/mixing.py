@@ -10,9 +10,10 @@ document, so a lost executor does not change it.
 Topics are the forms of text that patterns tell apart (``TOPICS``), unless a
 column says otherwise. Targets are shares of tokens; by default the shares of
 the input, evened out by an exponent. A value without a target, null too, keeps
-its share of the input. No cell counts more than ``MOST`` times its tokens, so a
-few rare documents cannot make the sample small; where that bound is met, the
-shares come as near to the targets as it allows.
+its share of the input. The targets are met, so a rare value that is wanted much
+can make the sample small. A caller may bound that (``most``): then no cell
+counts more than so many times its tokens. What a bound, or targets that no
+weights can meet, leave open is logged and returned by ``unmet``.
 
 Defined cases: null source, language and text are values of their own (a null
 or empty text has the one token that its end takes). Rows with a null
@@ -23,6 +24,8 @@ the others share its weight. Extra columns stay.
 
 from __future__ import annotations
 
+import logging
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.tables import table
 from cohortlens.storage import materialise
 
+LOG = logging.getLogger(__name__)
 MARGINS = ["source", "lang", "topic"]
 #: Topic and pattern; the first that is found counts.
 TOPICS = [("notice", r"(?i)licen[cs]e|copyright|all rights reserved"), ("table", r" \| "),
@@ -39,8 +43,10 @@ OTHER_TOPIC = "prose"
 #: Exponents of the default targets: 1 leaves the shares as they are, 0 makes them equal.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 ROUNDS, TOLERANCE = 30, 1e-6
-#: How many times its own share of the tokens a cell may count at most.
-MOST = 2.5
+#: How many times its own share of the tokens a cell may count at most; not bounded unless a caller asks.
+MOST = math.inf
+#: Margins that are off by more than this are logged.
+LOGGED = 1e-4
 SEED = 17
 
 
@@ -96,8 +102,10 @@ def rake(found: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
     """The cells with ``weight``: tokens scaled until every margin has its target share.
 
     Each round scales to the margins one after another and is written out, so the plan does not grow.
-    It ends when no margin's share is off by more than ``tolerance``, or none comes nearer.
+    It ends when no margin's share is off by more than ``tolerance``. ``most`` bounds a cell's weight to so
+    many times its share of the tokens; with a bound it also ends when no margin comes nearer.
     """
+    bounded = most < math.inf
     total = F.lit(float(found.agg(F.sum("tokens")).first()[0] or 1))
     now, last = materialise(found.withColumn("weight", F.col("tokens") / total), "cells"), None
     wanted = materialise(targets, "targets")
@@ -109,17 +117,28 @@ def rake(found: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
                 F.abs(F.col("share") - F.col("_have")).alias("_off"))
             now = now.join(factor, F.col(m).eqNullSafe(F.col("_v"))).select(
                 *MARGINS, "tokens", "documents",
-                F.least(F.col("weight") * F.col("_f"), most * F.col("tokens") / total).alias("weight"),
+                (F.least(F.col("weight") * F.col("_f"), most * F.col("tokens") / total) if bounded
+                 else F.col("weight") * F.col("_f")).alias("weight"),
                 F.greatest(F.col("_off"), F.col("off") if "off" in now.columns else F.lit(0.0)).alias("off"))
         now = materialise(now, "cells")
         off = now.agg(F.max("off")).first()[0]
         now = now.drop("off")
-        if off is None or off <= tolerance or last is not None and abs(last - off) <= tolerance / 10:
+        if off is None or off <= tolerance or bounded and last is not None and abs(last - off) <= tolerance / 10:
             break
         last = off
     return now
 
 
+def unmet(raked: DataFrame, targets: DataFrame, tolerance: float = LOGGED) -> DataFrame:
+    """``margin``, ``value``, the target ``share`` and what was ``reached``, where they differ by more than ``tolerance``."""
+    whole = raked.agg(F.sum("weight").alias("_all"))
+    each = [raked.groupBy(F.col(m).alias("_v")).agg(F.sum("weight").alias("_w")).select(F.lit(m).alias("_m"), "_v", "_w") for m in MARGINS]
+    reached = reduce(DataFrame.unionByName, each).crossJoin(F.broadcast(whole)).select(
+        "_m", "_v", F.when(F.col("_all") > 0, F.col("_w") / F.col("_all")).otherwise(0.0).alias("reached"))
+    return targets.join(reached, (F.col("margin") == F.col("_m")) & F.col("value").eqNullSafe(F.col("_v"))).select(
+        "margin", "value", "share", "reached").where(F.abs(F.col("share") - F.col("reached")) > tolerance)
+
+
 def probabilities(raked: DataFrame) -> DataFrame:
     """``_cell`` and ``p``: weight per token, scaled so that the most wanted cell is kept whole."""
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
@@ -137,12 +156,16 @@ def celled(docs: DataFrame, topic: Column | None = None) -> DataFrame:
             F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))).alias("_number"))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None = None):
+def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None = None, most: float = MOST):
     """The cells with their probabilities, and ``docs`` as rows of ``_row``, ``_cell``, ``_tokens``, ``p``, ``kept``."""
     every = celled(docs, topic)
     found = materialise(cells(every), "cells")
     targets = even_targets(found) if targets is None else targets
-    raked = rake(found, settled_targets(found, targets))
+    settled = materialise(settled_targets(found, targets), "targets")
+    raked = rake(found, settled, most=most)
+    missed = unmet(raked, settled).orderBy(F.abs(F.col("share") - F.col("reached")).desc())
+    for r in missed.limit(20).collect():
+        LOG.warning("mixing: %s %r has %.6f of the tokens, the target is %.6f", r["margin"], r["value"], r["reached"], r["share"])
     p = materialise(probabilities(raked), "probabilities")
     # a uniform number from 53 bits of the hash
     draw = F.pmod("_number", F.lit(1 << 53)) / F.lit(float(1 << 53))

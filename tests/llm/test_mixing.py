@@ -55,6 +55,34 @@ def test_a_rare_row_does_not_shrink_the_sample(docs, spark):
     assert frame.p.mean() > 1 / M.MOST and frame[frame.doc_id == 5000].p.iloc[0] == 1
 
 
+def test_rare_values_reach_their_targets(docs, spark):
+    rare = [(6000 + i, "one two three", "xx" if i % 2 else "en", "tiny" if i % 3 else "big", 0.0, "k", 1) for i in range(6)]
+    whole = docs.unionByName(spark.createDataFrame(rare + [(900, None, None, None, 0.1, "y", 2)], SCHEMA))
+    frame = flat(whole)
+    frame["one"] = 1.0
+    for margin in M.MARGINS:
+        have, made = shares(frame, "one", margin), shares(frame, "p", margin)
+        even = {v: s ** M.EVEN[margin] for v, s in have.items()}
+        assert made == pytest.approx({v: s / sum(even.values()) for v, s in even.items()}, abs=1e-5)
+    wanted = {"tiny": 0.2, "big": 0.5} | {f"s{i}": 0.06 for i in range(5)}
+    targets = spark.createDataFrame([("source", v, s) for v, s in wanted.items()], "margin string, value string, share double")
+    made = shares(flat(whole.where("source is not null"), targets), "p", "source")
+    assert made == pytest.approx(wanted, abs=1e-5)
+
+
+def test_a_bound_is_asked_for_and_what_it_leaves_open_is_told(docs, spark, caplog):
+    wanted = {"s0": 0.6, "big": 0.2} | {f"s{i}": 0.05 for i in range(1, 5)}
+    targets = spark.createDataFrame([("source", v, s) for v, s in wanted.items()], "margin string, value string, share double")
+    raked, _ = M.mix(docs, targets, most=1.5)
+    cells = raked.toPandas()
+    assert (cells.weight <= 1.5 * cells.tokens / cells.tokens.sum() + 1e-9).all()
+    assert "source 's0'" in caplog.text
+    settled = M.settled_targets(M.cells(M.celled(docs)), targets)
+    left = {(r["margin"], r["value"]): r for r in M.unmet(raked, settled).collect()}
+    reached = cells.weight[cells.source == "s0"].sum() / cells.weight.sum()
+    assert left["source", "s0"]["share"] == pytest.approx(0.6) and left["source", "s0"]["reached"] == pytest.approx(reached)
+
+
 def test_own_targets(docs, spark):
     targets = spark.createDataFrame([("source", "big", 0.3), ("source", "absent", 0.5), ("lang", "en", 0.6), ("lang", "de", 0.2)],
                                     "margin string, value string, share double")
