@@ -7,12 +7,15 @@ different followers) and is looked up in the next shorter context, where the
 followers of the longer one no longer count (exclusion). The end of a text is
 a byte of its own. Text probabilities therefore sum to one or less.
 
-Word counts, n-gram counts and the trie's followers come from all training
-documents. Contexts of up to two bytes are always in the trie. A longer one is
-when it makes up ``2 ** -CONTEXT_BITS`` of all training positions: a share, so
-the rule is the same at every size, and so a bound on what is broadcast. Words
-that make up ``2 ** -WORD_BITS`` of all training tokens are broadcast, at most
-``2 ** WORD_BITS`` of them; the others are counted by a join.
+Word counts and n-gram counts come from all training documents, and every
+context that occurs there is known, however rare, so the model grows with the
+input. Contexts of up to ``SHORT`` bytes are broadcast; the longer ones stay
+distributed by their last bytes, and each group works out the costs of the
+different keys (context and byte) of all texts that fall to it. Keys that make
+up ``2 ** -KEY_BITS`` of all positions are then broadcast with their costs, at
+most ``2 ** KEY_BITS`` of them, and the others are joined to the texts. Words
+are treated the same way with ``WORD_BITS``. So these two bound what is sent to
+every task and leave nothing out.
 
 Defined cases: a null text counts as empty: one end token. A null ``doc_id``
 is in no held-out part, so it trains. Repeated rows train and are scored each.
@@ -34,18 +37,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.nearcopies import forget_shuffles
 from cohortlens.llm.tables import pieces, table
 from cohortlens.storage import materialise
 
-ORDER = 5
-CONTEXT_BITS, WORD_BITS = 18, 20
+ORDER = 6
+KEY_BITS, WORD_BITS = 22, 20
+#: Contexts of up to so many bytes are few enough to be broadcast with their followers.
+SHORT = 2
+#: With a number, a context longer than ``SHORT`` needs a share of ``2 ** -CONTEXT_BITS`` of all positions.
+CONTEXT_BITS: int | None = None
 FOLDS, HELD_OUT = 7, 2
 #: Not a byte of any UTF-8 text.
 END = 255
 SYMBOLS = 256
 #: Distinct words, or a quarter of the n-grams, that a task holds before it hands them on.
 HELD = 400_000
-#: Groups that the contexts are dealt to by their last two bytes.
+#: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes.
 CONTEXT_GROUPS = 4096
 #: Bytes of text that a task works on at once.
 PIECE = 2 << 20
@@ -67,7 +75,10 @@ def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_counts(docs: DataFrame) -> DataFrame:
-    """``word`` or ``gram`` with its count ``n`` in all training documents; the end token is the empty word."""
+    """``word`` or ``gram`` with its count ``n`` in all training documents; the end token is the empty word.
+
+    ``seen`` counts a gram in all documents; one that only held-out ones have counts 0 times in training.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _MODELS.clear()  # a model of an earlier query is of no use here
@@ -77,7 +88,8 @@ def training_counts(docs: DataFrame) -> DataFrame:
         def word_rows() -> pa.RecordBatch:
             n = len(words)
             out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()),
-                                              pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
+                                              pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.int64())],
+                                             names=["word", "gram", "n", "seen"])
             words.clear()
             return out
 
@@ -85,16 +97,23 @@ def training_counts(docs: DataFrame) -> DataFrame:
             keys, n = merged(grams)
             grams.clear()
             return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)),
-                                               pa.array(n)], names=["word", "gram", "n"])
+                                               pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())],
+                                              names=["word", "gram", "n", "seen"])
 
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
-                for t in texts:
-                    words.update(t.lower().split())
-                words[b""] += len(texts)
-                keys, _ = byte_keys(texts)
-                grams.append(np.unique(keys, return_counts=True))
+                out = part.column("held_out").to_pylist()
+                for trains in (True, False):
+                    own = [t for t, h in zip(texts, out) if h != trains]
+                    if not own:
+                        continue
+                    if trains:
+                        for t in own:
+                            words.update(t.lower().split())
+                        words[b""] += len(own)
+                    keys, n = np.unique(byte_keys(own)[0], return_counts=True)
+                    grams.append((keys, np.stack([n * trains, n], axis=1)))
                 if len(grams) > 16:
                     grams[:] = [merged(grams)]
                 if len(words) > HELD:
@@ -106,12 +125,13 @@ def training_counts(docs: DataFrame) -> DataFrame:
         if grams:
             yield gram_rows()
 
-    seen = docs.where(~F.coalesce(is_held_out(), F.lit(False))).select(F.col("text").cast("binary").alias("text"))
-    return seen.mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    own = docs.select(F.col("text").cast("binary").alias("text"), F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
+    return own.mapInArrow(count, "word binary, gram long, n long, seen long").groupBy("word", "gram").agg(
+        F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def merged(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by key of several sorted blocks."""
+    """Counts, or rows of counts, by key of several sorted blocks."""
     keys, n = np.concatenate([k for k, _ in blocks]), np.concatenate([c for _, c in blocks])
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
@@ -123,31 +143,49 @@ def is_held_out():
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
 
 
-def trie_rows(counts: DataFrame, total: int) -> DataFrame:
-    """``k``, ``key`` and ``n``: the followers of the contexts of k bytes that are in the trie.
+def short_trie(counts: DataFrame) -> Trie:
+    """The contexts of up to ``SHORT`` bytes and their followers in all training documents."""
+    key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")
+    found = counts.where("gram is not null and n > 0").groupBy(key).agg(F.sum("n").alias("n")).toArrow()
+    return Trie(*followers(found.column("key").to_numpy(), found.column("n").to_numpy(), SHORT, -1))
+
+
+def followers(key: np.ndarray, n: np.ndarray, high: int, low: int, least: int = 1) -> list[np.ndarray]:
+    """k, key and count of what follows the contexts of k bytes, from ``high`` down to above ``low``."""
+    keys, out = key.astype(np.uint64), []
+    for k in range(high, low, -1):
+        keys, n = merged([(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)])
+        kept = np.ones(len(keys), bool)
+        if least > 1 and k > SHORT and len(keys):
+            context = keys >> np.uint64(8)
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            kept = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.r_[first, len(keys)]))
+        out.append((np.full(kept.sum(), k, np.int32), keys[kept], n[kept]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def key_costs(counts: DataFrame) -> DataFrame:
+    """``gram``, how often it is ``seen`` in all documents, and the ``cost`` of its last byte after the others.
 
-    n-grams are dealt out by the two bytes before the last one, so a group has all positions of each of
-    its longer contexts. Contexts of no or one byte, a few ten thousand pairs, are summed over the groups.
+    Grams are dealt out by the ``SHORT + 1`` bytes before the last one, so a group has all positions of each
+    of its longer contexts. The shorter ones are the same for all groups.
     """
-    least = max(1, -(-total >> CONTEXT_BITS))
-
-    def followers(key, group):
-        keys, n = group.column("gram").to_numpy().astype(np.uint64), group.column("n").to_numpy()
-        out = []
-        for k in range(ORDER, -1, -1):
-            keys, n = merged([(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)])
-            kept = np.ones(len(keys), bool)
-            if k > 2:
-                context = keys >> np.uint64(8)
-                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-                kept = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.r_[first, len(keys)]))
-            out.append((np.full(kept.sum(), k, np.int32), keys[kept].astype(np.int64), n[kept]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k", "key", "n"])
-
-    grams = counts.where("gram is not null").select("gram", "n", (
-        F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(CONTEXT_GROUPS))).alias("group"))
-    found = grams.groupBy("group").applyInArrow(followers, "k int, key long, n long")
-    return found.groupBy("k", "key").agg(F.sum("n").alias("n"))
+    least = 1
+    if CONTEXT_BITS is not None:
+        total = counts.where("gram is not null").agg(F.sum("n")).first()[0] or 0
+        least = max(1, -(-total >> CONTEXT_BITS))
+    shared = counts.sparkSession.sparkContext.broadcast(short_trie(counts))
+
+    def cost(key, group):
+        gram, n = group.column("gram").to_numpy(), group.column("n").to_numpy()
+        trie = Trie(*followers(gram[n > 0], n[n > 0], ORDER, SHORT, least), shared.value)
+        return pa.table([pa.array(gram), group.column("seen"), pa.array(trie.costs(gram.astype(np.uint64)))],
+                        names=["gram", "seen", "cost"])
+
+    last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    grams = counts.where("gram is not null").select(
+        "gram", "n", "seen", F.pmod(F.xxhash64(last), F.lit(CONTEXT_GROUPS)).alias("group"))
+    return grams.groupBy("group").applyInArrow(cost, "gram long, seen long, cost double")
 
 
 class Trie:
@@ -158,11 +196,16 @@ class Trie:
     that context, and both denominators there depend on the longer context alone.
     """
 
-    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray):
+    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray, short: Trie | None = None):
+        """With ``short``, contexts of up to ``SHORT`` bytes are taken from there."""
         self.keys, self.hit, self.log_n = [], [], []
         self.contexts, self.escape, self.below, self.escape_below = [], [], [], []
-        before = None
-        for order in range(ORDER + 1):
+        before = self.before = None
+        if short is not None:
+            for name in ("keys", "hit", "log_n", "contexts", "escape", "below", "escape_below"):
+                setattr(self, name, getattr(short, name)[:SHORT + 1])
+            before = short.before
+        for order in range(len(self.keys), ORDER + 1):
             at = k == order
             keys, count = key[at].astype(np.uint64), n[at].astype(float)
             sort = np.argsort(keys)
@@ -189,6 +232,8 @@ class Trie:
                 self.below.append(np.zeros(0))
                 self.escape_below.append(np.zeros(0))
             before = keys, count, context[first], total, size
+            if order == SHORT:
+                self.before = before
         self.unseen = SYMBOLS - len(self.keys[0])
 
     def costs(self, key: np.ndarray) -> np.ndarray:
@@ -234,28 +279,41 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     words = counts.where("word is not null").select("word", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals["n"] or 0, totals["v"]
-    positions = counts.where("gram is not null").agg(F.sum("n").alias("n")).first()["n"] or 0
-    rows = trie_rows(counts, positions).toArrow()
-    trie = Trie(*(rows.column(c).to_numpy() for c in ("k", "key", "n")))
+    forget_shuffles(spark)
+    costs = materialise(key_costs(counts), "costs")
+    forget_shuffles(spark)
+    common = max(1, -(-(costs.agg(F.sum("seen")).first()[0] or 0) >> KEY_BITS))
+    found = costs.where(F.col("seen") >= common).select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most
+    order = np.argsort(found.column("gram").to_numpy())
+    frequent = found.column("gram").to_numpy()[order].astype(np.uint64), found.column("cost").to_numpy()[order]
     often = words.where(F.col("n") * (1 << WORD_BITS) >= tokens).toArrow()  # 2 ** WORD_BITS rows at most
     logs = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist()))
     ends = next((r["n"] for r in words.where(F.length("word") == 0).collect()), 0)
     logs.pop(b"", None)
-    shared = spark.sparkContext.broadcast((trie, logs))
+    shared = spark.sparkContext.broadcast((frequent, logs))
     name, one_end, spread = uuid.uuid4().hex, math.log10(ends + 1), math.log10(tokens + kinds + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # once per worker process
             _MODELS.clear()
             _MODELS[name] = shared.value
-        model, known = _MODELS[name]
+        (often, cost), known = _MODELS[name]
         number, none = TaskContext.get().partitionId() << 36, float("nan")
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 keys, lengths = byte_keys(texts)
                 each, back = np.unique(keys, return_inverse=True)
-                value = np.add.reduceat(model.costs(each)[back], np.cumsum(lengths) - lengths)
+                n, at = len(texts), np.searchsorted(often, each)
+                here = np.zeros(len(each), bool)
+                here[at < len(often)] = often[at[at < len(often)]] == each[at < len(often)]
+                own = np.zeros(len(each))
+                own[here] = cost[at[here]]
+                value = np.add.reduceat(own[back], np.cumsum(lengths) - lengths)
+                lack = np.flatnonzero(~here[back])
+                which, gram_times = np.unique(np.repeat(np.arange(n), lengths)[lack] * len(each) + back[lack], return_counts=True)
+                ends_at = pa.array(np.searchsorted(which, np.arange(n + 1) * len(each)).astype(np.int32))
+                odd_grams = each[which % len(each)].astype(np.int64)
                 count, base, seen, rare, times = [], [], [], [], []
                 for t in texts:
                     every = t.lower().split()
@@ -267,28 +325,33 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     seen.append(len(every) - len(lost) + (ends > 0))
                     rare.append(list(odd))
                     times.append(list(odd.values()))
-                n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(number, number + n)),
                      pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+                     pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
+                     pa.ListArray.from_arrays(ends_at, pa.array(odd_grams)), pa.ListArray.from_arrays(ends_at, pa.array(gram_times))],
+                    names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times",
+                           "grams", "gram_times"])
                 number += n
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                       F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
     part = materialise(own.mapInArrow(
         score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<binary>, times array<bigint>"), "scores")
+        "score double, rare array<binary>, times array<bigint>, grams array<bigint>, gram_times array<bigint>"), "scores")
     each = part.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
     # none of these words is frequent, so no key of this join is hot
     rare = each.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
-    return part.drop("rare", "times").join(rare, "row", "left").select(
+    keys = part.select("row", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_times").alias("times"))))
+    lacked = keys.join(costs.where(F.col("seen") < common).select("gram", "cost"), "gram").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("cost")).alias("_score"))
+    return part.drop("rare", "times", "grams", "gram_times").join(rare, "row", "left").join(lacked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

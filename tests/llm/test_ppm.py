@@ -86,6 +86,19 @@ def test_both_models_by_hand(documents, monkeypatch, bits):
                        and r.score == pytest.approx(score(t), rel=1e-5) for t in texts)
 
 
+@pytest.mark.parametrize("bits", [22, 3])
+def test_rare_contexts_are_known_in_a_large_corpus(documents, monkeypatch, bits):
+    monkeypatch.setattr(P, "KEY_BITS", bits)  # with 3 most keys take the join
+    filler = [(100 + i, "z" * 60_000) for i in range(20)]
+    rows = [(0, "qwertyu"), (1, "qwertyu"), (3, "awexrtk"), (4, "awexrtk")]
+    out = run(documents, rows + filler)
+    monkeypatch.setattr(P, "CONTEXT_BITS", 62, raising=False)  # by hand: every context is known
+    score = ppm_by_hand(rows + filler)
+    assert P.ORDER >= 6
+    for r in out[out.doc_id < 2].itertuples():
+        assert r.score == pytest.approx(score("qwertyu"), rel=1e-5)
+
+
 def test_empty_table_and_no_training_rows(documents):
     assert len(run(documents, [])) == 0
     only = next(i for i in range(100) if held(i))
