@@ -2,11 +2,12 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from conftest import SMALL
 from cohortlens.llm import registry
 from cohortlens.llm.tables import table
 from cohortlens.storage import materialise
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def steps(spark):
@@ -52,7 +53,7 @@ def test_run_equals_its_stages(spark, steps):
 
 def test_registration():
     queries = __spark_entry__.queries()
-    assert "pipeline" in queries and all(sum(q.startswith(f"op{n}_") for q in queries) == 1 for n in range(1, 11))
+    assert "pipeline" in queries and all(sum(q.startswith(f"op{n}_") for q in queries) == 1 for n in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -62,5 +63,9 @@ def test_queries_run_on_whole_tables(spark, name):
         assert frame.select("query_id").distinct().count() == 25
     elif name == "op10_best_fit_packing":
         assert frame.select("doc_id").distinct().count() == table(spark, SMALL, "documents").count()
+    elif name == "op12_prefix_trie":
+        assert frame.where("depth = 0").first()["n_convs"] == 20
+    elif name == "op13_spelling_variants":
+        assert 0 < frame.where("form is not null").count() < frame.select("word").distinct().count()
     else:
         assert frame.count() == table(spark, SMALL, "documents").count()
