@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens import constants as K
 from cohortlens.functions import spectra as S
+from cohortlens.functions import utterances as U
 from cohortlens.functions import waves as W
 from cohortlens.operators.ordering import previous_in_order
 
@@ -128,6 +130,28 @@ def extract(df: DataFrame, id_col: str, samples: str = "samples",
     ).select(id_col, *carry, *feature_names(n_mfcc), "erro")
 
 
+def extract_raw(df: DataFrame, id_col: str, samples: str = "samples", carry: Sequence[str] = (),
+                rate: int = K.SAMPLE_RATE, seconds: float = K.SECONDS, vad: bool = True,
+                loud_rms: float = LOUD_RMS, frame_ms: int = K.VAD_FRAME_MS, n_mfcc: int = K.N_MFCC,
+                n_fft: int = K.N_FFT, hop: int = K.HOP, win: int = K.WIN, n_mels: int = K.N_MELS,
+                center: bool = True, top_db: float | None = S.TOP_DB) -> DataFrame:
+    """From raw waveforms to id, carried columns, ``prop_fala``, the features and ``erro``, without a shuffle.
+
+    The same numbers as ``extract`` on ``prepare``, in one Arrow pass: a wave goes to Python once and only
+    its row comes back. Ids need not be unique. A wave that fails has ``erro`` and no features; null and
+    empty waves, samples that are null or not finite, and channels of different lengths fail.
+    """
+    if vad and rate not in K.VAD_RATES:
+        raise ValueError(f"sample rate {rate} is not one of {K.VAD_RATES}")
+    names, kept = feature_names(n_mfcc), [id_col, *carry]
+    run = U.extractor(kept, names, rate, seconds, vad, loud_rms, frame_ms, K.SILENT_PEAK, n_mfcc, n_fft, hop, win,
+                      n_mels, center, top_db)
+    own = df.select(*kept, F.col(samples).alias("_wave"))
+    schema = T.StructType([*own.drop("_wave").schema.fields, T.StructField("prop_fala", T.DoubleType()),
+                           *[T.StructField(c, T.FloatType()) for c in names], T.StructField("erro", T.StringType())])
+    return own.mapInArrow(run, schema).withColumn("prop_fala", F.round("prop_fala", 4))
+
+
 def stage_probe(df: DataFrame, id_col: str, samples: str = "samples",
                 rate: int = K.SAMPLE_RATE, seconds: float = K.SECONDS,
                 **options) -> DataFrame:

@@ -8,7 +8,7 @@ from cohortlens.functions import spectra as S
 from cohortlens.functions import waves as W
 from cohortlens.operators import features as X
 from cohortlens.plans.data import six, table
-from cohortlens.sources.tables import write_table
+from cohortlens.sources.tables import features_schema, read_table, write_table
 from cohortlens.storage import scratch_path
 from cohortlens.streaming import incremental as I
 
@@ -126,7 +126,8 @@ def _with_bad_waves(spark, sf):
 
 
 def _run(df):
-    return X.extract(df, "vec_id", carry=["label"], **SHORT)
+    """Preparation and features, in one pass."""
+    return X.extract_raw(df, "vec_id", carry=["label"], **PREP, **{k: v for k, v in SHORT.items() if k != "rate"})
 
 
 def _final_state(features, errors):
@@ -156,7 +157,35 @@ def stream_extract(spark, sf):
                         I.latest_errors(spark, errors))
 
 
-QUERIES = [mix_down, peak_normalize, fix_length, frame_filter, short_frames, zero_crossings,
+def _utterances(spark, sf):
+    """Raw waves of 1,024 samples: a quiet frame, a frame with the embedding in it, and a tail."""
+    def silence(n):
+        return F.array_repeat(F.lit(0.0).cast("float"), n)
+
+    wave, quiet = F.col("embedding"), F.slice(F.flatten(F.array_repeat("embedding", 8)), 1, 480)
+    return table(spark, sf, "embeddings").select(
+        F.format_string("LA_E_%07d", "vec_id").alias("arquivo"),
+        F.when(F.col("label") == 0, "bonafide").otherwise("spoof").alias("label"),
+        (F.col("label") != 0).cast("int").alias("classe_binaria"),
+        F.concat(F.transform(quiet, lambda x: (x * 0.001).cast("float")), silence(150), wave, silence(266), wave).alias("samples"))
+
+
+def extracted_features(spark, sf):
+    """The whole extraction at its default parameters, in two runs: 44 features and the four carried columns."""
+    features, errors = scratch_path(spark, "features"), scratch_path(spark, "errors")
+    waves = _utterances(spark, sf)
+
+    def run(df):
+        return X.extract_raw(df, "arquivo", carry=["label", "classe_binaria"])
+
+    I.extract_pending(waves.where("label = 'bonafide'"), features, errors, run, "arquivo")
+    I.extract_pending(waves, features, errors, run, "arquivo")
+    done = read_table(spark, features, features_schema())
+    return done.select("arquivo", "label", "classe_binaria", "prop_fala", *[
+        F.round(F.col(c).cast("double"), 3).alias(c) for c in X.feature_names()])
+
+
+QUERIES = [extracted_features, mix_down, peak_normalize, fix_length, frame_filter, short_frames, zero_crossings,
            spectral_centroid, mfcc_features, mel_spectrogram, feature_vector,
            prepared_waveform, stage_quality_probe, series_summary, sign_changes,
            long_to_wide, incremental_extract, stream_extract]
@@ -225,12 +254,66 @@ kept AS (SELECT vec_id, pos, v, keep, count(*) FILTER (keep) OVER (PARTITION BY
 cut AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS INTEGER)
                AS pos, v, round(n / 64.0, 4) AS prop_fala FROM kept WHERE keep OR n = 0),
 shares AS (SELECT DISTINCT vec_id, prop_fala FROM cut)"""
+# the same features at the default parameters. A prepared wave is silent but for the 64 samples from 150 on, so
+# only the first two of its 251 frames differ from silence
+_BIG = 512
+_MEL_END = "(15 + ln(8.0) / (ln(6.4) / 27))"
+_UTTERANCES = f"""smp AS (
+  SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS j,
+         CAST(CAST(CAST(embedding[i] AS DOUBLE) / max(abs(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS FLOAT) AS DOUBLE) AS v
+  FROM embeddings, generate_series(1, 64) AS g(i)),
+fr AS (SELECT vec_id, f, 406 - 256 * f + j AS n, v FROM smp, generate_series(0, 1) AS h(f)),
+dft AS (
+  SELECT vec_id, f, k, sqrt(power(sum(w * cos(2 * pi() * k * n / {_BIG})), 2) + power(sum(w * sin(2 * pi() * k * n / {_BIG})), 2)) AS mag
+  FROM (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * (n - 56) / 400)) AS w FROM fr WHERE n >= 56 AND n < 456),
+       generate_series(0, {_BIG // 2}) AS b(k) GROUP BY 1, 2, 3),
+cent AS (SELECT vec_id, f, sum(mag * k * 16000 / {_BIG}) / sum(mag) AS c FROM dft GROUP BY 1, 2),
+edge AS (
+  SELECT j, CASE WHEN m < 15 THEN m * 200.0 / 3 ELSE 1000 * exp((ln(6.4) / 27) * (m - 15)) END AS hz
+  FROM (SELECT j, j * {_MEL_END} / 129 AS m FROM generate_series(0, 129) AS e(j))),
+tri AS (
+  SELECT a.j AS band, k, greatest(0.0, least((k * 31.25 - a.hz) / (b.hz - a.hz), (c.hz - k * 31.25) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w
+  FROM edge a JOIN edge b ON b.j = a.j + 1 JOIN edge c ON c.j = a.j + 2, generate_series(0, {_BIG // 2}) AS g(k)),
+raw AS (SELECT vec_id, f, band, 10 * log10(greatest(1e-10, sum(mag * mag * w))) AS db FROM dft JOIN tri USING (k) GROUP BY 1, 2, 3),
+every AS (SELECT * FROM raw UNION ALL SELECT vec_id, 2, band, -100.0 FROM (SELECT DISTINCT vec_id, band FROM raw)),
+mel AS (SELECT vec_id, f, band, greatest(db, max(db) OVER (PARTITION BY vec_id) - 80) AS db FROM every),
+cep AS (SELECT vec_id, f, c AS i, sum(db * cos(pi() * c * (2 * band + 1) / 256)) * sqrt(2.0 / 128) / CASE WHEN c = 0 THEN sqrt(2.0) ELSE 1 END AS x
+        FROM mel, generate_series(0, 19) AS q(c) GROUP BY 1, 2, 3),
+sign AS (SELECT vec_id, p, below, lag(below) OVER (PARTITION BY vec_id ORDER BY p) AS before
+         FROM (SELECT vec_id, 150 + j AS p, v < -1e-10 AS below FROM smp
+               UNION ALL SELECT DISTINCT vec_id, q, false FROM smp, (VALUES (149), (214)) AS ends(q))),
+zcr AS (SELECT vec_id, f, count(*) FILTER (below <> before AND (f = 1 OR f = 0 AND p <= 199)) / 400.0 AS x
+        FROM sign, generate_series(0, 2) AS h(f) GROUP BY 1, 2),
+series AS (
+  SELECT vec_id, f, 'mfcc' || (i + 1) AS name, x FROM cep
+  UNION ALL SELECT vec_id, f, 'zcr', x FROM zcr
+  UNION ALL SELECT vec_id, f, 'centroide', c FROM cent
+  UNION ALL SELECT DISTINCT vec_id, 2, 'centroide', 0.0 FROM cent),
+means AS (SELECT vec_id, name, sum(x * CASE WHEN f = 2 THEN 249 ELSE 1 END) / 251 AS mean FROM series GROUP BY 1, 2),
+stats AS (SELECT s.vec_id, s.name, any_value(mean) AS mean,
+                 sqrt(sum((x - mean) * (x - mean) * CASE WHEN f = 2 THEN 249 ELSE 1 END) / 251) AS std
+          FROM series s JOIN means m ON m.vec_id = s.vec_id AND m.name = s.name GROUP BY 1, 2)"""
+
+
+def _stat(column: str) -> str:
+    name, _, which = column.rpartition("_")
+    value = f"max({'mean' if which == 'media' else 'std'}) FILTER (name = '{name}')"
+    return f"round(CAST(CAST({value} AS FLOAT) AS DOUBLE), 3) AS {column}"
+
+
 _STATE = f"""
     SELECT vec_id, CASE WHEN label = 9 THEN 'failed' ELSE 'done' END AS state,
            CASE WHEN label = 9 THEN '{BAD_WAVE.replace("'", "''")}' ELSE '' END AS erro
     FROM embeddings"""
 
 ORACLES = {
+    "extracted_features": f"""
+        WITH {_UTTERANCES}
+        SELECT 'LA_E_' || lpad(CAST(s.vec_id AS VARCHAR), 7, '0') AS arquivo,
+               CASE WHEN any_value(e.label) = 0 THEN 'bonafide' ELSE 'spoof' END AS label,
+               CAST(any_value(e.label) <> 0 AS INTEGER) AS classe_binaria, round(480 / 1024.0, 4) AS prop_fala,
+               {', '.join(_stat(c) for c in X.feature_names())}
+        FROM stats s JOIN embeddings e ON e.vec_id = s.vec_id GROUP BY s.vec_id""",
     "mix_down": """
         SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(CAST(
                (CAST(embedding[i] AS DOUBLE) + CAST(embedding[65 - i] AS DOUBLE)) / 2

@@ -82,6 +82,13 @@ def holds_table(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
+def finished_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that are in a folder, also those that finished tasks of a broken write left there."""
+    if exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), order_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:

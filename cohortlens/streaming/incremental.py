@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from cohortlens.operators.joins import known_to, not_done
-from cohortlens.sources.tables import folders, holds_table
+from cohortlens.sources.tables import exists, finished_parts, folders, holds_table
 from cohortlens.storage import broadcast_if_small, materialise
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -52,13 +52,18 @@ def extract_pending(source: DataFrame, features_path: str, errors_path: str,
     ``run`` maps source rows to rows with the key, the features and a nullable
     ``erro``. Rows done earlier are skipped, new ones are appended, and the
     error table is replaced by this run's failures, so it empties itself.
+
+    Each task's rows count as done when the task is: its file moves to its place
+    at once, not when the job ends. A run that breaks off half-way loses only
+    the tasks that were at work.
     """
     spark = source.sparkSession
     pending = source
-    if holds_table(spark, features_path):
-        pending = pending_rows(source, spark.read.parquet(features_path), key)
+    if exists(spark, features_path):
+        known = StructType([f for f in source.schema.fields if f.name == key])
+        pending = pending_rows(source, finished_parts(spark, features_path, known), key)
     good = run(pending).where(F.col("erro").isNull()).drop("erro")
-    good.write.mode("append").parquet(features_path)
+    good.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(features_path)
     _, reasons = _failures(pending, spark.read.parquet(features_path), run, key)
     reasons.write.mode("overwrite").parquet(errors_path)
 
