@@ -37,6 +37,12 @@ def split_points(hist: DataFrame, value: str, weights: Sequence[str],
     return picked.agg(F.sort_array(F.collect_set(value)).alias("points"))
 
 
+def even_quantiles(value: str, n: int) -> Column:
+    """About the ``n`` inner quantiles of a column, as an array; for cuts, where any values would do."""
+    fractions = ", ".join(f"{(i + 1) / (n + 1)}D" for i in range(n))  # one text: each literal would be a call
+    return F.expr(f"percentile_approx(`{value}`, array({fractions}), {4 * (n + 1)})")
+
+
 def slot_of(value: Column, points: Column, most: int = POINTS) -> Column:
     """How many split points lie below ``value`` (binary search by halving)."""
     jumps = [1 << k for k in reversed(range(most.bit_length()))]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import decisions as D
 from cohortlens.functions.rates import ratio
-from cohortlens.operators.ordering import POINTS, running_totals, slot_of
+from cohortlens.operators.ordering import POINTS, even_quantiles, running_totals, slot_of
 from cohortlens.storage import materialise
 
 #: Most cuts between slots, and rows that a slot should hold.
@@ -48,19 +48,16 @@ def _slotted(rows: DataFrame, points: int) -> tuple[DataFrame, int, int]:
     counting and opening use the same. Any cuts give the same result, so an eighth of the scores is enough.
     """
     some = F.when(F.pmod(F.xxhash64("score"), F.lit(8)) == 0, F.col("score").cast("double"))
-
-    def quantiles(n: int) -> Column:
-        return F.percentile_approx(some, [(i + 1) / (n + 1) for i in range(n)], 4 * (n + 1))
-
-    first = rows.agg(quantiles(points).alias("cuts"), F.approx_count_distinct("group").alias("groups"),
+    rows = rows.withColumn("_some", some)
+    first = rows.agg(even_quantiles("_some", points).alias("cuts"), F.approx_count_distinct("group").alias("groups"),
                      F.count("*").alias("n"), F.count_if(F.col("group").isNull()).alias("neg")).first()
     found, wanted = first["cuts"], min(MOST_POINTS, max(4 * first["groups"], first["n"] // SLOT_ROWS))
     if wanted > points:
-        found = rows.agg(quantiles(wanted)).first()[0]
+        found = rows.agg(even_quantiles("_some", wanted)).first()[0]
     inner = sorted({c for c in found or [0.0] if math.isfinite(c)} or {0.0})
     cut = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_score", outputCol="_bucket")
     out = cut.transform(rows.withColumn("_score", F.col("score").cast("double")))
-    return out.select(*rows.columns, (len(inner) - F.col("_bucket").cast("int")).alias("slot")), len(inner) + 1, first["neg"]
+    return out.select("group", "score", (len(inner) - F.col("_bucket").cast("int")).alias("slot")), len(inner) + 1, first["neg"]
 
 
 def _negative_ends(totals: DataFrame, slots: int) -> DataFrame:
