@@ -28,11 +28,11 @@ import logging
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.tables import table
-from cohortlens.storage import materialise
+from cohortlens.storage import BROADCAST_ROWS, materialise
 
 LOG = logging.getLogger(__name__)
 MARGINS = ["source", "lang", "topic"]
@@ -42,7 +42,8 @@ TOPICS = [("notice", r"(?i)licen[cs]e|copyright|all rights reserved"), ("table",
 OTHER_TOPIC = "prose"
 #: Exponents of the default targets: 1 leaves the shares as they are, 0 makes them equal.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-ROUNDS, TOLERANCE = 30, 1e-6
+#: Rounds between two writes, and how far a margin's share may be off in the end.
+ROUNDS, TOLERANCE = 5, 1e-6
 #: How many times its own share of the tokens a cell may count at most; not bounded unless a caller asks.
 MOST = math.inf
 #: Margins that are off by more than this are logged.
@@ -97,36 +98,37 @@ def settled_targets(found: DataFrame, targets: DataFrame) -> DataFrame:
             F.col("share") / F.col("_asked") * (1 - F.col("_kept"))).alias("share"))
 
 
-def rake(found: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
-         most: float = MOST) -> DataFrame:
+def rake(found: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, most: float = MOST) -> DataFrame:
     """The cells with ``weight``: tokens scaled until every margin has its target share.
 
-    Each round scales to the margins one after another and is written out, so the plan does not grow.
-    It ends when no margin's share is off by more than ``tolerance``. ``most`` bounds a cell's weight to so
-    many times its share of the tokens; with a bound it also ends when no margin comes nearer.
+    A cell carries its three targets, so a round is a window for each margin and joins nothing. Few cells are
+    held in one partition, where no window moves a row; every ``ROUNDS`` rounds the weights are written out, so
+    the plan does not grow. It ends when no margin's share is off by more than ``tolerance``, or when no margin
+    comes nearer. ``most`` bounds a cell's weight to so many times its share of the tokens.
     """
-    bounded = most < math.inf
-    total = F.lit(float(found.agg(F.sum("tokens")).first()[0] or 1))
-    now, last = materialise(found.withColumn("weight", F.col("tokens") / total), "cells"), None
-    wanted = materialise(targets, "targets")
-    for _ in range(rounds):
-        for m in MARGINS:
-            have = now.groupBy(F.col(m).alias("_v")).agg(F.sum("weight").alias("_have"))
-            factor = have.join(wanted.where(F.col("margin") == m), F.col("_v").eqNullSafe(F.col("value"))).select(
-                "_v", F.when(F.col("_have") > 0, F.col("share") / F.col("_have")).otherwise(0.0).alias("_f"),
-                F.abs(F.col("share") - F.col("_have")).alias("_off"))
-            now = now.join(factor, F.col(m).eqNullSafe(F.col("_v"))).select(
-                *MARGINS, "tokens", "documents",
-                (F.least(F.col("weight") * F.col("_f"), most * F.col("tokens") / total) if bounded
-                 else F.col("weight") * F.col("_f")).alias("weight"),
-                F.greatest(F.col("_off"), F.col("off") if "off" in now.columns else F.lit(0.0)).alias("off"))
+    now = found.withColumn("weight", F.col("tokens") / F.lit(float(found.agg(F.sum("tokens")).first()[0] or 1)))
+    now = now.withColumn("bound", F.col("weight") * most if most < math.inf else F.lit(None).cast("double"))
+    for m in MARGINS:
+        wanted = targets.where(F.col("margin") == m).select(F.col("value").alias("_v"), F.col("share").alias(f"_to_{m}"))
+        now = now.join(wanted, F.col(m).eqNullSafe(F.col("_v"))).drop("_v")
+    now, last = materialise(now, "cells"), None
+    few = now.count() <= BROADCAST_ROWS
+    while True:
+        now = now.repartition(1) if few else now
+        for _ in range(ROUNDS):
+            off = F.lit(0.0)
+            for m in MARGINS:
+                have = f"_have_{m}"
+                now = now.withColumn(have, F.sum("weight").over(Window.partitionBy(m)))
+                scaled = F.when(F.col(have) > 0, F.col("weight") * F.col(f"_to_{m}") / F.col(have)).otherwise(0.0)
+                now = now.withColumn("weight", F.least(scaled, "bound"))  # no bound: null, which least leaves out
+                off = F.greatest(off, F.abs(F.col(f"_to_{m}") - F.col(have)))
+            now = now.withColumn("off", off).drop(*[f"_have_{m}" for m in MARGINS])
         now = materialise(now, "cells")
         off = now.agg(F.max("off")).first()[0]
-        now = now.drop("off")
-        if off is None or off <= tolerance or bounded and last is not None and abs(last - off) <= tolerance / 10:
-            break
-        last = off
-    return now
+        if off is None or off <= tolerance or last is not None and last - off <= tolerance / 10:
+            return now.select(*MARGINS, "tokens", "documents", "weight")
+        now, last = now.drop("off"), off
 
 
 def unmet(raked: DataFrame, targets: DataFrame, tolerance: float = LOGGED) -> DataFrame:
