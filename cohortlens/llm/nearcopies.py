@@ -46,6 +46,8 @@ from cohortlens.storage import materialise
 LEAST_ITEMS, LEAST_ITEMS_SMALL = 2.0, 4.5
 #: Bits of the filter that tells which sets a check needs; its size is fixed, whatever the input.
 FILTER_BITS = 1 << 25
+#: Words of the sketch that pairs of the second round are compared by; it is shorter for small sets.
+WIDE_WORDS = 16
 #: Pivots that a set is checked against in the first round, those whose sketches look nearest.
 NEAREST = 2
 
@@ -264,6 +266,15 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
         .where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def folded(bits: Column, words: int = WIDE_WORDS) -> Column:
+    """A long sketch of at most ``words`` words; folded sketches of two sets differ in no more bits than the sets do."""
+    def word(i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(bits) - 1, F.lit(words)), F.lit(0).cast("long"),
+                           lambda x, j: x.bitwiseXOR(F.get(bits, j)))
+
+    return F.when(F.size(bits) <= words, bits).otherwise(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word))
+
+
 def differing() -> Column:
     """Items in which the sets ``l`` and ``r`` differ at least, by their parity sketches."""
     return sum((F.bit_count(F.col(f"l.p{i}").bitwiseXOR(F.col(f"r.p{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
@@ -314,10 +325,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         "sig", "node", F.coalesce("component", "node").alias("component"))
     mixed_sigs = placed.groupBy("sig").agg(F.min("component").alias("_x"), F.max("component").alias("_y")) \
         .where("_x != _y").select("sig")
-    open_rows = materialise(placed.join(mixed_sigs, "sig", "left_semi").join(known, "node"), "open")
+    # large sets differ in more items than the short sketch has bits, so here they bring a wider one
+    wide = nodes.select("node", "n", *sketch, folded(F.col("bits")).alias("bits"))
+    open_rows = materialise(placed.join(mixed_sigs, "sig", "left_semi").join(wide, "node"), "open")
     left, right = open_rows.alias("l"), open_rows.alias("r")
     cross = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node"))
-                      & (F.col("l.component") != F.col("r.component")) & may_link(percent)).select(
+                      & (F.col("l.component") != F.col("r.component")) & may_link(percent) & sketches_agree(percent)).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = similar(cross, docs, nodes, words, percent)
