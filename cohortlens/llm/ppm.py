@@ -51,8 +51,10 @@ FOLDS, HELD_OUT = 7, 2
 #: Not a byte of any UTF-8 text.
 END = 255
 SYMBOLS = 256
+SHORT_MASK = (1 << 8 * (SHORT + 1)) - 1
 #: Distinct words, or a quarter of the n-grams, that a task holds before it hands them on.
-HELD = 400_000
+HELD = 250_000
+ROWS_AT_ONCE = 10_000
 #: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes.
 CONTEXT_GROUPS = 4096
 #: Bytes of text that a task works on at once.
@@ -74,60 +76,113 @@ def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], lengths
 
 
+def batches_of(columns: list[pa.Array], names: list[str]) -> list[pa.RecordBatch]:
+    """Rows in batches that the other side can hold beside its own work."""
+    return pa.table(columns, names=names).to_batches(max_chunksize=ROWS_AT_ONCE)
+
+
 def training_counts(docs: DataFrame) -> DataFrame:
-    """``word`` or ``gram`` with its count ``n`` in all training documents; the end token is the empty word.
+    """``word`` or short ``key`` with its count ``n`` in all training documents; the end token is the empty word.
 
-    ``seen`` counts a gram in all documents; one that only held-out ones have counts 0 times in training.
+    A key is a byte with the ``SHORT`` bytes before it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _MODELS.clear()  # a model of an earlier query is of no use here
         words: Counter = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        short: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def word_rows() -> pa.RecordBatch:
+        def rows() -> list[pa.RecordBatch]:
             n = len(words)
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()),
-                                              pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.int64())],
-                                             names=["word", "gram", "n", "seen"])
+            keys, times = merged(short)
+            out = batches_of([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()),
+                              pa.array(list(words.values()), pa.int64())], ["word", "key", "n"])
+            out += batches_of([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)),
+                               pa.array(times)], ["word", "key", "n"])
             words.clear()
+            short.clear()
             return out
 
-        def gram_rows() -> pa.RecordBatch:
-            keys, n = merged(grams)
-            grams.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)),
-                                               pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())],
-                                              names=["word", "gram", "n", "seen"])
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE):
+                texts = [t or b"" for t in part.column("text").to_pylist()]
+                for t in texts:
+                    words.update(t.lower().split())
+                words[b""] += len(texts)
+                short.append(np.unique(byte_keys(texts)[0] & np.uint64(SHORT_MASK), return_counts=True))
+                if len(short) > 16:
+                    short[:] = [merged(short)]
+                if len(words) > HELD:
+                    yield from rows()
+        if words:
+            yield from rows()
+
+    own = docs.where(~F.coalesce(is_held_out(), F.lit(False))).select(F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(count, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
+
+def turned(key: np.ndarray) -> np.ndarray:
+    """The bytes before the last one in reverse, so that contexts with the same ending sort together; its own inverse."""
+    out = key & np.uint64(255)
+    for j in range(1, ORDER + 1):
+        out |= (key >> np.uint64(8 * j) & np.uint64(255)) << np.uint64(8 * (ORDER + 1 - j))
+    return out
+
+
+def packed(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted turned grams and their two counts, as one small block for each group of contexts.
+
+    A block holds the steps from gram to gram and the counts, byte plane by byte plane, compressed.
+    """
+    last = grams >> np.uint64(8 * (ORDER - SHORT))
+    group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(CONTEXT_GROUPS) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    grams, n, group = grams[order], n[order].astype(np.uint64), group[order]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    step = np.r_[grams[:1], grams[1:] - grams[:-1]]
+    step[first] = grams[first]
+    numbers, codec, blocks = np.column_stack([step, n]), pa.Codec("zstd"), []
+    for a, b in zip(first, np.r_[first[1:], len(grams)]):
+        planes = numbers[a:b].T.copy().view(np.uint8).reshape(-1, 8).T
+        blocks.append(codec.compress(planes.tobytes(), asbytes=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group[first]), pa.array(np.diff(np.r_[first, len(grams)]).astype(np.int64)), pa.array(blocks, pa.binary())],
+        names=["group", "size", "block"])
+
+
+def unpacked(size: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(block, decompressed_size=24 * size, asbytes=True)
+    numbers = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(3, size)
+    return np.cumsum(numbers[0], dtype=np.uint64), numbers[1:].T.astype(np.int64)
+
+
+def gram_blocks(docs: DataFrame) -> DataFrame:
+    """The grams of all documents with their counts in training and in all, packed by ``group`` of contexts.
+
+    A gram that only held-out documents have counts 0 times in training.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 out = part.column("held_out").to_pylist()
                 for trains in (True, False):
                     own = [t for t, h in zip(texts, out) if h != trains]
-                    if not own:
-                        continue
-                    if trains:
-                        for t in own:
-                            words.update(t.lower().split())
-                        words[b""] += len(own)
-                    keys, n = np.unique(byte_keys(own)[0], return_counts=True)
-                    grams.append((keys, np.stack([n * trains, n], axis=1)))
-                if len(grams) > 16:
-                    grams[:] = [merged(grams)]
-                if len(words) > HELD:
-                    yield word_rows()
-                if sum(len(k) for k, _ in grams) > 4 * HELD:
-                    yield gram_rows()
-        if words:
-            yield word_rows()
-        if grams:
-            yield gram_rows()
+                    if own:
+                        keys, n = np.unique(turned(byte_keys(own)[0]), return_counts=True)
+                        held.append((keys, np.stack([n * trains, n], axis=1)))
+                if len(held) > 4:
+                    held[:] = [merged(held)]
+                if sum(len(k) for k, _ in held) > 4 * HELD:
+                    yield packed(*merged(held))
+                    held.clear()
+        if held:
+            yield packed(*merged(held))
 
     own = docs.select(F.col("text").cast("binary").alias("text"), F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
-    return own.mapInArrow(count, "word binary, gram long, n long, seen long").groupBy("word", "gram").agg(
-        F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return own.mapInArrow(count, "group int, size long, block binary")
 
 
 def merged(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +200,7 @@ def is_held_out():
 
 def short_trie(counts: DataFrame) -> Trie:
     """The contexts of up to ``SHORT`` bytes and their followers in all training documents."""
-    key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")
-    found = counts.where("gram is not null and n > 0").groupBy(key).agg(F.sum("n").alias("n")).toArrow()
+    found = counts.where("key is not null").select("key", "n").toArrow()  # 2 ** 24 kinds of three bytes at most
     return Trie(*followers(found.column("key").to_numpy(), found.column("n").to_numpy(), SHORT, -1))
 
 
@@ -164,28 +218,43 @@ def followers(key: np.ndarray, n: np.ndarray, high: int, low: int, least: int =
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def key_costs(counts: DataFrame) -> DataFrame:
+def key_costs(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``gram``, how often it is ``seen`` in all documents, and the ``cost`` of its last byte after the others.
 
     Grams are dealt out by the ``SHORT + 1`` bytes before the last one, so a group has all positions of each
-    of its longer contexts. The shorter ones are the same for all groups.
+    of its longer contexts. The shorter ones are the same for all groups. A task takes its groups one after the
+    other and adds their blocks up as they come: it holds the different grams of one group.
     """
     least = 1
     if CONTEXT_BITS is not None:
-        total = counts.where("gram is not null").agg(F.sum("n")).first()[0] or 0
+        total = counts.where("key is not null").agg(F.sum("n")).first()[0] or 0
         least = max(1, -(-total >> CONTEXT_BITS))
     shared = counts.sparkSession.sparkContext.broadcast(short_trie(counts))
 
-    def cost(key, group):
-        gram, n = group.column("gram").to_numpy(), group.column("n").to_numpy()
+    def priced(held: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.RecordBatch]:
+        grams, times = merged(held)
+        gram, n = turned(grams), times[:, 0]
         trie = Trie(*followers(gram[n > 0], n[n > 0], ORDER, SHORT, least), shared.value)
-        return pa.table([pa.array(gram), group.column("seen"), pa.array(trie.costs(gram.astype(np.uint64)))],
-                        names=["gram", "seen", "cost"])
+        return batches_of([pa.array(gram.astype(np.int64)), pa.array(times[:, 1].copy()), pa.array(trie.costs(gram))],
+                          ["gram", "seen", "cost"])
 
-    last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
-    grams = counts.where("gram is not null").select(
-        "gram", "n", "seen", F.pmod(F.xxhash64(last), F.lit(CONTEXT_GROUPS)).alias("group"))
-    return grams.groupBy("group").applyInArrow(cost, "gram long, seen long, cost double")
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, waiting = [], None, 0
+        for batch in batches:
+            for group, size, block in zip(*(batch.column(c) for c in ("group", "size", "block"))):
+                if now is not None and group.as_py() != now:
+                    yield from priced(held)
+                    held, waiting = [], 0
+                now = group.as_py()
+                held.append(unpacked(size.as_py(), block.as_py()))
+                waiting += size.as_py()
+                if waiting > max(HELD, len(held[0][0])):
+                    held, waiting = [merged(held)], 0
+        if held:
+            yield from priced(held)
+
+    blocks = gram_blocks(docs).repartition("group").sortWithinPartitions("group")
+    return blocks.mapInArrow(cost, "gram long, seen long, cost double")
 
 
 class Trie:
@@ -280,7 +349,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals["n"] or 0, totals["v"]
     forget_shuffles(spark)
-    costs = materialise(key_costs(counts), "costs")
+    costs = materialise(key_costs(docs, counts), "costs")
     forget_shuffles(spark)
     common = max(1, -(-(costs.agg(F.sum("seen")).first()[0] or 0) >> KEY_BITS))
     found = costs.where(F.col("seen") >= common).select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most

@@ -120,3 +120,35 @@ def test_probabilities_of_the_next_byte_sum_to_one_at_most():
         front = np.uint64(int.from_bytes(context, "big") << 8)
         total = (10 ** trie.costs(np.arange(256, dtype=np.uint64) | front)).sum()
         assert 0.5 < total <= 1 + 1e-6
+
+
+def test_blocks_give_back_grams_counts_and_keep_a_group_together():
+    rng = np.random.default_rng(5)
+    common = np.uint64(int.from_bytes(b" th", "big")) << np.uint64(8)  # a third of the grams end alike
+    keys = np.concatenate([rng.integers(0, 1 << 56, 2000, np.uint64),
+                           rng.integers(0, 1 << 24, 1000, np.uint64) << np.uint64(32) | common | np.uint64(101)])
+    assert (P.turned(P.turned(keys)) == keys).all()
+    grams = np.unique(P.turned(keys))
+    n = np.stack([rng.integers(0, 5, len(grams)), rng.integers(5, 1 << 40, len(grams))], axis=1)
+    batch = P.packed(grams, n)
+    got = {}
+    for group, size, block in zip(*(batch.column(c).to_pylist() for c in ("group", "size", "block"))):
+        own, times = P.unpacked(size, block)
+        assert (np.diff(own.astype(np.int64)) > 0).all()
+        for g, t in zip(own.tolist(), times.tolist()):
+            assert g not in got
+            got[g] = (group, t)
+    assert {g: t for g, (_, t) in got.items()} == dict(zip(grams.tolist(), n.tolist()))
+    by_end = {}
+    for g, (group, _) in got.items():
+        assert by_end.setdefault(g >> 32, group) == group
+
+
+def test_counts_handed_on_in_many_parts_are_the_same(documents, monkeypatch):
+    whole = run(documents, ROWS).sort_values("doc_id").reset_index(drop=True)
+    monkeypatch.setattr(P, "HELD", 3)
+    monkeypatch.setattr(P, "PIECE", 20)
+    monkeypatch.setattr(P, "CONTEXT_GROUPS", 2)
+    parts = run(documents, ROWS).sort_values("doc_id").reset_index(drop=True)
+    assert parts.score.to_numpy() == pytest.approx(whole.score.to_numpy(), rel=1e-6)
+    assert (parts.n_known == whole.n_known).all()
