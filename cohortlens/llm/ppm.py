@@ -13,8 +13,9 @@ input. Contexts of up to ``SHORT`` bytes are broadcast; the longer ones stay
 distributed by their last bytes, and each group works out the costs of the
 different keys (context and byte) of all texts that fall to it. Keys that make
 up ``2 ** -KEY_BITS`` of all positions are then broadcast with their costs, at
-most ``2 ** KEY_BITS`` of them, and the others are joined to the texts. Words
-are treated the same way with ``WORD_BITS``. So these two bound what is sent to
+most ``2 ** KEY_BITS`` of them; each piece of text asks the groups for the
+others, in small blocks of sorted keys. Rare words are joined, the others
+broadcast in the same way with ``WORD_BITS``. So these two bound what is sent to
 every task and leave nothing out.
 
 Defined cases: a null text counts as empty: one end token. A null ``doc_id``
@@ -129,30 +130,31 @@ def turned(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Sorted turned grams and their two counts, as one small block for each group of contexts.
+def packed(grams: np.ndarray, beside: np.ndarray) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
+    """Sorted turned grams and the numbers beside them as one small block for each group of contexts.
 
-    A block holds the steps from gram to gram and the counts, byte plane by byte plane, compressed.
+    Gives groups, sizes, blocks and the order in which the blocks have the grams. A block holds the steps from
+    gram to gram and the numbers, byte plane by byte plane, compressed.
     """
     last = grams >> np.uint64(8 * (ORDER - SHORT))
     group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(CONTEXT_GROUPS) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(group, kind="stable")
-    grams, n, group = grams[order], n[order].astype(np.uint64), group[order]
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    grams, group = grams[order], group[order]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(grams) else np.zeros(0, np.int64)
     step = np.r_[grams[:1], grams[1:] - grams[:-1]]
     step[first] = grams[first]
-    numbers, codec, blocks = np.column_stack([step, n]), pa.Codec("zstd"), []
-    for a, b in zip(first, np.r_[first[1:], len(grams)]):
+    numbers, codec, blocks = np.column_stack([step, beside[order].astype(np.uint64)]), pa.Codec("zstd"), []
+    ends = np.r_[first[1:], len(grams)].astype(np.int64)
+    for a, b in zip(first, ends):
         planes = numbers[a:b].T.copy().view(np.uint8).reshape(-1, 8).T
         blocks.append(codec.compress(planes.tobytes(), asbytes=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(group[first]), pa.array(np.diff(np.r_[first, len(grams)]).astype(np.int64)), pa.array(blocks, pa.binary())],
-        names=["group", "size", "block"])
+    return group[first].tolist(), (ends - first).tolist(), blocks, order
 
 
-def unpacked(size: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.Codec("zstd").decompress(block, decompressed_size=24 * size, asbytes=True)
-    numbers = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(3, size)
+def unpacked(size: int, block: bytes, beside: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's turned grams and the ``beside`` numbers of each."""
+    raw = pa.Codec("zstd").decompress(block, decompressed_size=8 * (1 + beside) * size, asbytes=True)
+    numbers = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(1 + beside, size)
     return np.cumsum(numbers[0], dtype=np.uint64), numbers[1:].T.astype(np.int64)
 
 
@@ -164,6 +166,12 @@ def gram_blocks(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            groups, sizes, blocks, _ = packed(*merged(held))
+            return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(sizes, pa.int64()),
+                                               pa.array(blocks, pa.binary())], names=["group", "size", "block"])
+
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
@@ -176,10 +184,10 @@ def gram_blocks(docs: DataFrame) -> DataFrame:
                 if len(held) > 4:
                     held[:] = [merged(held)]
                 if sum(len(k) for k, _ in held) > 4 * HELD:
-                    yield packed(*merged(held))
+                    yield rows()
                     held.clear()
         if held:
-            yield packed(*merged(held))
+            yield rows()
 
     own = docs.select(F.col("text").cast("binary").alias("text"), F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
     return own.mapInArrow(count, "group int, size long, block binary")
@@ -218,25 +226,36 @@ def followers(key: np.ndarray, n: np.ndarray, high: int, low: int, least: int =
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def key_costs(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``gram``, how often it is ``seen`` in all documents, and the ``cost`` of its last byte after the others.
+def key_costs(docs: DataFrame, counts: DataFrame, common: int) -> DataFrame:
+    """The ``cost`` of a gram's last byte after the others, for all grams of the documents.
 
-    Grams are dealt out by the ``SHORT + 1`` bytes before the last one, so a group has all positions of each
-    of its longer contexts. The shorter ones are the same for all groups. A task takes its groups one after the
-    other and adds their blocks up as they come: it holds the different grams of one group.
+    Grams that occur ``common`` times or more have a row each, the others are packed by ``group`` with the bits
+    of their costs. Grams are dealt out by the ``SHORT + 1`` bytes before the last one, so a group has all
+    positions of each of its longer contexts. The shorter ones are the same for all groups. A task takes its
+    groups one after the other and adds their blocks up as they come: it holds the different grams of one group.
     """
     least = 1
     if CONTEXT_BITS is not None:
         total = counts.where("key is not null").agg(F.sum("n")).first()[0] or 0
         least = max(1, -(-total >> CONTEXT_BITS))
     shared = counts.sparkSession.sparkContext.broadcast(short_trie(counts))
+    names = ["gram", "cost", "group", "size", "block"]
 
-    def priced(held: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.RecordBatch]:
+    def priced(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         grams, times = merged(held)
         gram, n = turned(grams), times[:, 0]
         trie = Trie(*followers(gram[n > 0], n[n > 0], ORDER, SHORT, least), shared.value)
-        return batches_of([pa.array(gram.astype(np.int64)), pa.array(times[:, 1].copy()), pa.array(trie.costs(gram))],
-                          ["gram", "seen", "cost"])
+        costs = trie.costs(gram)
+        often = times[:, 1] >= common
+        k = int(often.sum())
+        yield from batches_of([pa.array(gram[often].astype(np.int64)), pa.array(costs[often]), pa.nulls(k, pa.int32()),
+                               pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+        bits = costs[~often].astype(np.float32).view(np.uint32)[:, None]
+        for a in range(0, len(bits), 4 * HELD):
+            groups, sizes, blocks, _ = packed(grams[~often][a:a + 4 * HELD], bits[a:a + 4 * HELD])
+            k = len(groups)
+            yield from batches_of([pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(groups, pa.int32()),
+                                   pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, waiting = [], None, 0
@@ -246,7 +265,7 @@ def key_costs(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     yield from priced(held)
                     held, waiting = [], 0
                 now = group.as_py()
-                held.append(unpacked(size.as_py(), block.as_py()))
+                held.append(unpacked(size.as_py(), block.as_py(), 2))
                 waiting += size.as_py()
                 if waiting > max(HELD, len(held[0][0])):
                     held, waiting = [merged(held)], 0
@@ -254,7 +273,54 @@ def key_costs(docs: DataFrame, counts: DataFrame) -> DataFrame:
             yield from priced(held)
 
     blocks = gram_blocks(docs).repartition("group").sortWithinPartitions("group")
-    return blocks.mapInArrow(cost, "gram long, seen long, cost double")
+    return blocks.mapInArrow(cost, "gram long, cost double, group int, size long, block binary")
+
+
+def answers(costs: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each block of grams that a piece of text asks for, the costs in the block's order.
+
+    Costs of a group come before what is asked of it, so a task holds the grams of one group again.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, grams, cost = None, [], np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for batch in batches:
+            piece, start, out = [], [], []
+            for row in zip(*(batch.column(c) for c in ("group", "piece", "start", "size", "block"))):
+                group, asker, at, size, block = (v.as_py() for v in row)
+                if group != now:
+                    now, known, grams = group, [], None
+                if asker is None:
+                    known.append(unpacked(size, block, 1))
+                    continue
+                if grams is None:
+                    grams = np.concatenate([g for g, _ in known])
+                    order = np.argsort(grams)
+                    grams = grams[order]
+                    cost = np.concatenate([c[:, 0] for _, c in known])[order].astype(np.uint32).view(np.float32)
+                    known = []
+                piece.append(asker)
+                start.append(at)
+                out.append(cost[np.searchsorted(grams, unpacked(size, block, 0)[0])].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(start, pa.int64()),
+                                              pa.array(out, pa.binary())], names=["piece", "start", "costs"])
+
+    both = costs.where("block is not null").select(
+        "group", F.lit(None).cast("long").alias("piece"), F.lit(None).cast("long").alias("start"), "size", "block").unionByName(
+        asked.select("group", "piece", "start", "size", "block"))
+    sorted_ = both.repartition("group").sortWithinPartitions("group", F.col("piece").asc_nulls_first())
+    return sorted_.mapInArrow(answer, "piece long, start long, costs binary")
+
+
+def added(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
+    """``row`` and the sum of its grams' costs, for the texts of one piece and the answers to it."""
+    order = np.argsort(found.column("start").to_numpy())
+    blocks = found.column("costs").to_pylist()
+    costs = np.frombuffer(b"".join([blocks[i] for i in order]), np.float32).astype(float)
+    grams = texts.column("grams").combine_chunks()
+    each = costs[grams.flatten().to_numpy()] * texts.column("gram_times").combine_chunks().flatten().to_numpy()
+    text = np.repeat(np.arange(len(texts)), grams.value_lengths().to_numpy())
+    return pa.table([texts.column("row"), pa.array(np.bincount(text, each, len(texts)))], names=["row", "_score"])
 
 
 class Trie:
@@ -349,10 +415,11 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals["n"] or 0, totals["v"]
     forget_shuffles(spark)
-    costs = materialise(key_costs(docs, counts), "costs")
+    positions = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)) + F.lit(1))).first()[0] or 0
+    common = max(1, -(-positions >> KEY_BITS))
+    costs = materialise(key_costs(docs, counts, common), "costs")
     forget_shuffles(spark)
-    common = max(1, -(-(costs.agg(F.sum("seen")).first()[0] or 0) >> KEY_BITS))
-    found = costs.where(F.col("seen") >= common).select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most
+    found = costs.where("gram is not null").select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most
     order = np.argsort(found.column("gram").to_numpy())
     frequent = found.column("gram").to_numpy()[order].astype(np.uint64), found.column("cost").to_numpy()[order]
     often = words.where(F.col("n") * (1 << WORD_BITS) >= tokens).toArrow()  # 2 ** WORD_BITS rows at most
@@ -362,6 +429,17 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((frequent, logs))
     name, one_end, spread = uuid.uuid4().hex, math.log10(ends + 1), math.log10(tokens + kinds + 1)
 
+    layout = pa.schema([
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
+        ("grams", pa.list_(pa.int32())), ("gram_times", pa.list_(pa.int32())), ("piece", pa.int64()), ("group", pa.int32()),
+        ("start", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
+
+    def asks(piece: int, groups: list[int], starts: np.ndarray, sizes: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+        own = [pa.array(np.full(len(groups), piece)), pa.array(groups, pa.int32()), pa.array(starts),
+               pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(groups), f.type) for f in list(layout)[:-len(own)]] + own, schema=layout)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # once per worker process
             _MODELS.clear()
@@ -379,10 +457,17 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 own = np.zeros(len(each))
                 own[here] = cost[at[here]]
                 value = np.add.reduceat(own[back], np.cumsum(lengths) - lengths)
+                grams = turned(each[~here])
+                sort = np.argsort(grams)
+                groups, sizes, blocks, deal = packed(grams[sort], np.zeros((len(grams), 0), np.uint64))
+                place = np.zeros(len(each), np.int32)
+                place[np.flatnonzero(~here)[sort[deal]]] = np.arange(len(grams))
                 lack = np.flatnonzero(~here[back])
-                which, gram_times = np.unique(np.repeat(np.arange(n), lengths)[lack] * len(each) + back[lack], return_counts=True)
-                ends_at = pa.array(np.searchsorted(which, np.arange(n + 1) * len(each)).astype(np.int32))
-                odd_grams = each[which % len(each)].astype(np.int64)
+                which, gram_times = np.unique((np.repeat(np.arange(n), lengths)[lack] << 32) + place[back[lack]], return_counts=True)
+                ends_at = pa.array(np.searchsorted(which, np.arange(n + 1) << 32).astype(np.int32))
+                odd_grams = (which & 0xFFFFFFFF).astype(np.int32)
+                starts = (np.cumsum(sizes) - sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+                yield asks(number, groups, starts, sizes, blocks)
                 count, base, seen, rare, times = [], [], [], [], []
                 for t in texts:
                     every = t.lower().split()
@@ -394,29 +479,31 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     seen.append(len(every) - len(lost) + (ends > 0))
                     rare.append(list(odd))
                     times.append(list(odd.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(number, number + n)),
-                     pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-                     pa.ListArray.from_arrays(ends_at, pa.array(odd_grams)), pa.ListArray.from_arrays(ends_at, pa.array(gram_times))],
-                    names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times",
-                           "grams", "gram_times"])
+                own = [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(number, number + n)),
+                       pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
+                       pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
+                       pa.ListArray.from_arrays(ends_at, pa.array(odd_grams)),
+                       pa.ListArray.from_arrays(ends_at, pa.array(gram_times.astype(np.int32))),
+                       pa.array(np.full(n, number))]
+                yield pa.RecordBatch.from_arrays(own + [pa.nulls(n, f.type) for f in list(layout)[len(own):]], schema=layout)
                 number += n
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                       F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
-    part = materialise(own.mapInArrow(
+    stored = materialise(own.mapInArrow(
         score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<binary>, times array<bigint>, grams array<bigint>, gram_times array<bigint>"), "scores")
+        "score double, rare array<binary>, times array<bigint>, grams array<int>, gram_times array<int>, piece long, "
+        "group int, start long, size long, block binary"), "scores")
+    part = stored.where("row is not null").drop("group", "start", "size", "block")
     each = part.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
     # none of these words is frequent, so no key of this join is hot
     rare = each.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
-    keys = part.select("row", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_times").alias("times"))))
-    lacked = keys.join(costs.where(F.col("seen") < common).select("gram", "cost"), "gram").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("cost")).alias("_score"))
-    return part.drop("rare", "times", "grams", "gram_times").join(rare, "row", "left").join(lacked, "row", "left").select(
+    replies = answers(costs, stored.where("block is not null"))
+    asking = part.where(F.size("grams") > 0).select("piece", "row", "grams", "gram_times")
+    lacked = asking.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(added, "row long, _score double")
+    return part.drop("rare", "times", "grams", "gram_times", "piece").join(rare, "row", "left").join(lacked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),

@@ -130,10 +130,11 @@ def test_blocks_give_back_grams_counts_and_keep_a_group_together():
     assert (P.turned(P.turned(keys)) == keys).all()
     grams = np.unique(P.turned(keys))
     n = np.stack([rng.integers(0, 5, len(grams)), rng.integers(5, 1 << 40, len(grams))], axis=1)
-    batch = P.packed(grams, n)
+    *blocks, order = P.packed(grams, n)
+    assert len(order) == len(grams)
     got = {}
-    for group, size, block in zip(*(batch.column(c).to_pylist() for c in ("group", "size", "block"))):
-        own, times = P.unpacked(size, block)
+    for group, size, block in zip(*blocks):
+        own, times = P.unpacked(size, block, 2)
         assert (np.diff(own.astype(np.int64)) > 0).all()
         for g, t in zip(own.tolist(), times.tolist()):
             assert g not in got
