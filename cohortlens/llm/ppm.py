@@ -56,10 +56,10 @@ SHORT_MASK = (1 << 8 * (SHORT + 1)) - 1
 #: Distinct words, or a quarter of the n-grams, that a task holds before it hands them on.
 HELD = 250_000
 ROWS_AT_ONCE = 10_000
-#: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes.
-CONTEXT_GROUPS = 4096
-#: Bytes of text that a task works on at once.
-PIECE = 2 << 20
+#: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes: one for so many positions, up to the most.
+GROUP_POSITIONS, MOST_GROUPS = 1 << 18, 4096
+#: Bytes of text that a task works on at once when it counts and when it scores.
+PIECE, SCORED = 2 << 20, 6 << 20
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,35 +130,44 @@ def turned(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(grams: np.ndarray, beside: np.ndarray) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
-    """Sorted turned grams and the numbers beside them as one small block for each group of contexts.
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of one type, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def restored(block: bytes, kind: type, shape: tuple[int, int]) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(block, decompressed_size=width * shape[0] * shape[1], asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).reshape(shape)
+
+
+def packed(grams: np.ndarray, beside: np.ndarray, among: int) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
+    """Sorted turned grams and the numbers beside them as one small block for each of ``among`` groups of contexts.
 
     Gives groups, sizes, blocks and the order in which the blocks have the grams. A block holds the steps from
     gram to gram and the numbers, byte plane by byte plane, compressed.
     """
     last = grams >> np.uint64(8 * (ORDER - SHORT))
-    group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(CONTEXT_GROUPS) >> np.uint64(32)).astype(np.int32)
+    group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(among) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(group, kind="stable")
     grams, group = grams[order], group[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(grams) else np.zeros(0, np.int64)
     step = np.r_[grams[:1], grams[1:] - grams[:-1]]
     step[first] = grams[first]
-    numbers, codec, blocks = np.column_stack([step, beside[order].astype(np.uint64)]), pa.Codec("zstd"), []
+    numbers = np.column_stack([step, beside[order].astype(np.uint64)])
     ends = np.r_[first[1:], len(grams)].astype(np.int64)
-    for a, b in zip(first, ends):
-        planes = numbers[a:b].T.copy().view(np.uint8).reshape(-1, 8).T
-        blocks.append(codec.compress(planes.tobytes(), asbytes=True))
+    blocks = [squeezed(numbers[a:b].T) for a, b in zip(first, ends)]
     return group[first].tolist(), (ends - first).tolist(), blocks, order
 
 
 def unpacked(size: int, block: bytes, beside: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's turned grams and the ``beside`` numbers of each."""
-    raw = pa.Codec("zstd").decompress(block, decompressed_size=8 * (1 + beside) * size, asbytes=True)
-    numbers = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(1 + beside, size)
+    numbers = restored(block, np.uint64, (1 + beside, size))
     return np.cumsum(numbers[0], dtype=np.uint64), numbers[1:].T.astype(np.int64)
 
 
-def gram_blocks(docs: DataFrame) -> DataFrame:
+def gram_blocks(docs: DataFrame, among: int) -> DataFrame:
     """The grams of all documents with their counts in training and in all, packed by ``group`` of contexts.
 
     A gram that only held-out documents have counts 0 times in training.
@@ -168,7 +177,7 @@ def gram_blocks(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
-            groups, sizes, blocks, _ = packed(*merged(held))
+            groups, sizes, blocks, _ = packed(*merged(held), among)
             return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(sizes, pa.int64()),
                                                pa.array(blocks, pa.binary())], names=["group", "size", "block"])
 
@@ -226,7 +235,7 @@ def followers(key: np.ndarray, n: np.ndarray, high: int, low: int, least: int =
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def key_costs(docs: DataFrame, counts: DataFrame, common: int) -> DataFrame:
+def key_costs(docs: DataFrame, counts: DataFrame, common: int, among: int) -> DataFrame:
     """The ``cost`` of a gram's last byte after the others, for all grams of the documents.
 
     Grams that occur ``common`` times or more have a row each, the others are packed by ``group`` with the bits
@@ -252,7 +261,7 @@ def key_costs(docs: DataFrame, counts: DataFrame, common: int) -> DataFrame:
                                pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
         bits = costs[~often].astype(np.float32).view(np.uint32)[:, None]
         for a in range(0, len(bits), 4 * HELD):
-            groups, sizes, blocks, _ = packed(grams[~often][a:a + 4 * HELD], bits[a:a + 4 * HELD])
+            groups, sizes, blocks, _ = packed(grams[~often][a:a + 4 * HELD], bits[a:a + 4 * HELD], among)
             k = len(groups)
             yield from batches_of([pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(groups, pa.int32()),
                                    pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names)
@@ -272,7 +281,7 @@ def key_costs(docs: DataFrame, counts: DataFrame, common: int) -> DataFrame:
         if held:
             yield from priced(held)
 
-    blocks = gram_blocks(docs).repartition("group").sortWithinPartitions("group")
+    blocks = gram_blocks(docs, among).repartition("group").sortWithinPartitions("group")
     return blocks.mapInArrow(cost, "gram long, cost double, group int, size long, block binary")
 
 
@@ -317,10 +326,11 @@ def added(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
     order = np.argsort(found.column("start").to_numpy())
     blocks = found.column("costs").to_pylist()
     costs = np.frombuffer(b"".join([blocks[i] for i in order]), np.float32).astype(float)
-    grams = texts.column("grams").combine_chunks()
-    each = costs[grams.flatten().to_numpy()] * texts.column("gram_times").combine_chunks().flatten().to_numpy()
-    text = np.repeat(np.arange(len(texts)), grams.value_lengths().to_numpy())
-    return pa.table([texts.column("row"), pa.array(np.bincount(text, each, len(texts)))], names=["row", "_score"])
+    sums = []
+    for n, block in zip(texts.column("n_grams").to_pylist(), texts.column("grams").to_pylist()):
+        step, times = restored(block, np.uint32, (2, n))
+        sums.append(float(costs[np.cumsum(step, dtype=np.int64)] @ times))
+    return pa.table([texts.column("row"), pa.array(sums, pa.float64())], names=["row", "_score"])
 
 
 class Trie:
@@ -417,7 +427,8 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     forget_shuffles(spark)
     positions = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)) + F.lit(1))).first()[0] or 0
     common = max(1, -(-positions >> KEY_BITS))
-    costs = materialise(key_costs(docs, counts, common), "costs")
+    among = min(MOST_GROUPS, max(1, positions // GROUP_POSITIONS))
+    costs = materialise(key_costs(docs, counts, common, among), "costs")
     forget_shuffles(spark)
     found = costs.where("gram is not null").select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most
     order = np.argsort(found.column("gram").to_numpy())
@@ -432,7 +443,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     layout = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
         ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
-        ("grams", pa.list_(pa.int32())), ("gram_times", pa.list_(pa.int32())), ("piece", pa.int64()), ("group", pa.int32()),
+        ("n_grams", pa.int64()), ("grams", pa.binary()), ("piece", pa.int64()), ("group", pa.int32()),
         ("start", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
 
     def asks(piece: int, groups: list[int], starts: np.ndarray, sizes: list[int], blocks: list[bytes]) -> pa.RecordBatch:
@@ -447,7 +458,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
         (often, cost), known = _MODELS[name]
         number, none = TaskContext.get().partitionId() << 36, float("nan")
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", SCORED):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 keys, lengths = byte_keys(texts)
                 each, back = np.unique(keys, return_inverse=True)
@@ -459,13 +470,15 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 value = np.add.reduceat(own[back], np.cumsum(lengths) - lengths)
                 grams = turned(each[~here])
                 sort = np.argsort(grams)
-                groups, sizes, blocks, deal = packed(grams[sort], np.zeros((len(grams), 0), np.uint64))
+                groups, sizes, blocks, deal = packed(grams[sort], np.zeros((len(grams), 0), np.uint64), among)
                 place = np.zeros(len(each), np.int32)
                 place[np.flatnonzero(~here)[sort[deal]]] = np.arange(len(grams))
                 lack = np.flatnonzero(~here[back])
                 which, gram_times = np.unique((np.repeat(np.arange(n), lengths)[lack] << 32) + place[back[lack]], return_counts=True)
-                ends_at = pa.array(np.searchsorted(which, np.arange(n + 1) << 32).astype(np.int32))
-                odd_grams = (which & 0xFFFFFFFF).astype(np.int32)
+                ends_at = np.searchsorted(which, np.arange(n + 1) << 32)
+                mine = np.stack([np.diff(which, prepend=0), gram_times]).astype(np.uint32)
+                mine[0, ends_at[:-1][np.diff(ends_at) > 0]] = (which & 0xFFFFFFFF)[ends_at[:-1][np.diff(ends_at) > 0]]
+                needs = [squeezed(mine[:, a:b]) if b > a else None for a, b in zip(ends_at, ends_at[1:])]
                 starts = (np.cumsum(sizes) - sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
                 yield asks(number, groups, starts, sizes, blocks)
                 count, base, seen, rare, times = [], [], [], [], []
@@ -482,8 +495,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 own = [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(number, number + n)),
                        pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
                        pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-                       pa.ListArray.from_arrays(ends_at, pa.array(odd_grams)),
-                       pa.ListArray.from_arrays(ends_at, pa.array(gram_times.astype(np.int32))),
+                       pa.array(np.diff(ends_at).astype(np.int64)), pa.array(needs, pa.binary()),
                        pa.array(np.full(n, number))]
                 yield pa.RecordBatch.from_arrays(own + [pa.nulls(n, f.type) for f in list(layout)[len(own):]], schema=layout)
                 number += n
@@ -492,7 +504,7 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                       F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
     stored = materialise(own.mapInArrow(
         score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<binary>, times array<bigint>, grams array<int>, gram_times array<int>, piece long, "
+        "score double, rare array<binary>, times array<bigint>, n_grams long, grams binary, piece long, "
         "group int, start long, size long, block binary"), "scores")
     part = stored.where("row is not null").drop("group", "start", "size", "block")
     each = part.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
@@ -501,9 +513,9 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
     replies = answers(costs, stored.where("block is not null"))
-    asking = part.where(F.size("grams") > 0).select("piece", "row", "grams", "gram_times")
+    asking = part.where("n_grams > 0").select("piece", "row", "n_grams", "grams")
     lacked = asking.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(added, "row long, _score double")
-    return part.drop("rare", "times", "grams", "gram_times", "piece").join(rare, "row", "left").join(lacked, "row", "left").select(
+    return part.drop("rare", "times", "n_grams", "grams", "piece").join(rare, "row", "left").join(lacked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),

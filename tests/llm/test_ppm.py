@@ -130,7 +130,7 @@ def test_blocks_give_back_grams_counts_and_keep_a_group_together():
     assert (P.turned(P.turned(keys)) == keys).all()
     grams = np.unique(P.turned(keys))
     n = np.stack([rng.integers(0, 5, len(grams)), rng.integers(5, 1 << 40, len(grams))], axis=1)
-    *blocks, order = P.packed(grams, n)
+    *blocks, order = P.packed(grams, n, 64)
     assert len(order) == len(grams)
     got = {}
     for group, size, block in zip(*blocks):
@@ -149,7 +149,9 @@ def test_counts_handed_on_in_many_parts_are_the_same(documents, monkeypatch):
     whole = run(documents, ROWS).sort_values("doc_id").reset_index(drop=True)
     monkeypatch.setattr(P, "HELD", 3)
     monkeypatch.setattr(P, "PIECE", 20)
-    monkeypatch.setattr(P, "CONTEXT_GROUPS", 2)
+    monkeypatch.setattr(P, "SCORED", 20)
+    monkeypatch.setattr(P, "KEY_BITS", 4)
+    monkeypatch.setattr(P, "GROUP_POSITIONS", 1000)
     parts = run(documents, ROWS).sort_values("doc_id").reset_index(drop=True)
     assert parts.score.to_numpy() == pytest.approx(whole.score.to_numpy(), rel=1e-6)
     assert (parts.n_known == whole.n_known).all()
