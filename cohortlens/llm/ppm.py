@@ -57,9 +57,9 @@ SHORT_MASK = (1 << 8 * (SHORT + 1)) - 1
 HELD = 250_000
 ROWS_AT_ONCE = 10_000
 #: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes: one for so many positions, up to the most.
-GROUP_POSITIONS, MOST_GROUPS = 1 << 18, 4096
+GROUP_POSITIONS, MOST_GROUPS = 1 << 19, 4096
 #: Bytes of text that a task works on at once when it counts and when it scores.
-PIECE, SCORED = 2 << 20, 6 << 20
+PIECE, SCORED = 2 << 20, 2 << 20
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
