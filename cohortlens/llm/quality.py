@@ -8,15 +8,17 @@ the forward-backward pass, weighted by their lengths.
 
 Defined cases: a null text counts as empty, and an empty document is one empty
 line of weight one. Rows with a null ``doc_id`` are scored and never fitted.
-A ``doc_id`` with several labels takes the smallest. Without labelled rows
+A ``doc_id`` with several labels takes the smallest; one with several rows is
+fitted once. Long documents are fitted whole, in segments. Without labelled rows
 nothing speaks against a document and every score is 1. Repeated rows are
 scored each; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.lines import NAMES, Lines, line_numbers
 from cohortlens.llm.tables import pieces, table
+from cohortlens.storage import materialise
 
 #: Labelled documents the field is fitted to at most, those with the smallest hashes.
 FIT_ROWS = 4000
-#: Lines of one of them that count in the fit at most. Scores always use all lines.
-FIT_LINES = 500
+#: Tasks that hold them, and bytes of line numbers a task works on at once.
+FIT_PARTS, FIT_BYTES = 12, 8 << 20
+#: Lines in a row that the fit chains together. Every line counts, in one segment or the next.
+SEGMENT = 500
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
@@ -81,40 +86,88 @@ def passes(good: np.ndarray, lines: Lines, moves: np.ndarray):
     return fore, back
 
 
-def fit(lines: Lines, labels: np.ndarray, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood by Adam steps on all documents."""
-    mean, scale = lines.features.mean(axis=0), lines.features.std(axis=0) + 1e-3
-    x = with_neighbours(lines, mean, scale).astype(np.float64)
-    y = labels[lines.document].astype(float)
+def segments(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and lengths of pieces of at most ``SEGMENT`` lines of documents that lie end to end."""
+    parts = -(-count // SEGMENT)
+    of = np.repeat(np.arange(len(count)), parts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return (np.cumsum(count) - count)[of] + nth * SEGMENT, np.minimum(SEGMENT, count[of] - nth * SEGMENT)
+
+
+def slopes(blocks: list[np.ndarray], labels: np.ndarray, chain: Chain) -> np.ndarray:
+    """Slope of the documents' summed log likelihood by all weights, all lines of all documents.
+
+    Lines see their neighbours throughout; only moves from one segment to the next are left out, so
+    that a document of any length takes a bounded number of steps.
+    """
+    count = np.array([len(b) for b in blocks])
+    document = np.repeat(np.arange(len(blocks)), count)
+    whole = Lines(document, np.cumsum(count) - count, count, np.zeros(0), np.vstack(blocks))
+    x = with_neighbours(whole, chain.mean, chain.scale)
+    y = labels[document]
+    first, size = segments(count)
+    part = Lines(np.repeat(np.arange(len(first)), size), first, size, np.zeros(0), whole.features)
+    # each document weighs the same, however many lines it has
+    weight = 1.0 / count[document]
+    good = x @ chain.weights
+    fore, back = passes(good, part, chain.moves)
+    last = first + size - 1
+    norm = np.logaddexp(fore[last, 0], fore[last, 1])[part.document]
     inner = np.ones(len(y), bool)
-    inner[lines.first] = False
+    inner[first] = False
     here = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[here - 1].astype(int), y[here].astype(int)), 1)
-    # each document weighs the same, however many lines it has
-    weight = 1.0 / lines.count[lines.document]
-    theta = np.zeros(x.shape[1] + 4)
+    likely = np.exp(fore[:, 1] + back[:, 1] - norm)
+    grad = np.empty(len(chain.weights) + 4)
+    grad[:-4] = x.T @ ((y - likely) * weight)
+    for a in (0, 1):
+        for b in (0, 1):
+            seen = ((y[here - 1] == a) & (y[here] == b)).astype(float)
+            joint = np.exp(fore[here - 1, a] + chain.moves[a, b] + b * good[here] + back[here, b] - norm[here])
+            grad[len(chain.weights) + 2 * a + b] = ((seen - joint) * weight[here]).sum()
+    return grad
+
+
+def summed(stored: DataFrame, work: Callable[[list[np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of what ``work`` makes of the stored documents; each task hands on one row of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in pieces(batch, "numbers", FIT_BYTES):
+                blocks = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, len(NAMES))
+                          for b in part.column("numbers")]
+                made = work(blocks, part.column("y").to_numpy())
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return sum((np.frombuffer(r["sums"]) for r in stored.mapInArrow(add, "sums binary").collect()), np.zeros(()))
+
+
+def fit(stored: DataFrame, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Chain | None:
+    """Maximum conditional likelihood by Adam steps; the documents stay with the executors."""
+
+    def moments(blocks: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+        x = np.vstack(blocks).astype(float)
+        return np.concatenate([[len(blocks), len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    sums = summed(stored, moments)
+    if not sums.ndim:
+        return None
+    documents, lines = sums[:2]
+    mean, square = np.split(sums[2:] / lines, 2)
+    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3
+    chain = Chain(mean, scale, np.zeros(3 * len(NAMES) + 1), np.zeros((2, 2)))
+    theta = np.zeros(3 * len(NAMES) + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    last = lines.first + lines.count - 1
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[here - 1].astype(int), y[here].astype(int)), weight[here])
     for step in range(1, rounds + 1):
-        w, moves = theta[:-4], theta[-4:].reshape(2, 2)
-        good = x @ w
-        fore, back = passes(good, lines, moves)
-        norm = np.logaddexp(fore[last, 0], fore[last, 1])[lines.document]
-        likely = np.exp(fore[:, 1] + back[:, 1] - norm)
-        grad = np.empty_like(theta)
-        grad[:-4] = x.T @ ((y - likely) * weight)
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = np.exp(fore[here - 1, a] + moves[a, b] + b * good[here] + back[here, b] - norm[here])
-                grad[len(w) + 2 * a + b] = seen[a, b] - (joint * weight[here]).sum()
-        grad = grad / len(lines.count) - ridge * theta
+        chain = Chain(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
+        grad = summed(stored, partial(slopes, chain=chain)) / documents - ridge * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta = theta + rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return Chain(mean, scale, theta[:-4].astype(np.float32), theta[-4:].reshape(2, 2))
+    return Chain(mean.astype(np.float32), scale.astype(np.float32), theta[:-4].astype(np.float32),
+                 theta[-4:].reshape(2, 2))
 
 
 def line_scores(lines: Lines, chain: Chain) -> np.ndarray:
@@ -130,38 +183,35 @@ def fold_of(doc_id: F.Column | str, folds: int):
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int, held_out: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold, with the smallest hashes."""
+    """At most ``rows`` labelled rows outside the held-out fold: the ``doc_id`` with the smallest hashes.
+
+    A ``doc_id`` that many rows share counts once, with the text of the smallest hash.
+    """
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("_y"))
               .where(fold_of("doc_id", folds) != held_out)
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(F.broadcast(picked), "doc_id")  # bounded by ``rows``
+    found = own.join(F.broadcast(picked), "doc_id")  # bounded by ``rows``
+    first = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text"))
+    return found.groupBy("doc_id", "_y").agg(first.alias("_first")).select("doc_id", "_y", "_first.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, folds: int = FOLDS,
           held_out: int = HELD_OUT) -> Chain | None:
-    """Line numbers are worked out by the executors; the driver fits the few thousand documents."""
+    """Line numbers are worked out and stored by the executors, and every step sums slopes over them."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 lines = line_numbers(part.column("text"))
-                kept = [lines.features[f:f + min(c, FIT_LINES)].tobytes() for f, c in zip(lines.first, lines.count)]
+                kept = [lines.features[f:f + c].tobytes() for f, c in zip(lines.first, lines.count)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_y"), pa.array(kept, pa.binary())],
-                    names=["doc_id", "y", "numbers"])
+                    [part.column("_y"), pa.array(kept, pa.binary())], names=["y", "numbers"])
 
     sample = fit_rows(docs, labels, "quality", rows, folds, held_out).select("doc_id", "_y", "text")
-    found = sample.mapInArrow(numbers, "doc_id long, y int, numbers binary").collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["numbers"])))
-    blocks = [np.frombuffer(r["numbers"], np.float32).reshape(-1, len(NAMES)) for r in found]
-    count = np.array([len(b) for b in blocks])
-    lines = Lines(np.repeat(np.arange(len(blocks)), count), np.cumsum(count) - count, count, np.zeros(0),
-                  np.vstack(blocks))
-    return fit(lines, np.array([r["y"] for r in found]))
+    placed = sample.repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id")
+    return fit(materialise(placed.mapInArrow(numbers, "y int, numbers binary"), "line-numbers"))
 
 
 def scored(docs: DataFrame, chain: Chain | None) -> DataFrame:

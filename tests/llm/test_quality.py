@@ -80,3 +80,41 @@ def test_marginals_equal_enumeration():
 def test_words_in_the_text_do_not_cross_documents():
     a, b = line_numbers(pa.array(["ab", "ab ab"])), line_numbers(pa.array(["ab ab"]))
     assert np.allclose(a.features[1], b.features[0]) and not re.search("x", "ab")
+
+
+def test_what_comes_late_in_a_document_is_learnt(documents, labels):
+    """The first 600 lines of every document are alike; the label follows from the lines after them."""
+    head = "The river ran down past the old mill and on to the sea.\n" * 600
+    rows = [(i, head + (GOOD if i % 2 else BAD) * 400) for i in range(40)]
+    chain = Q.train(documents(rows), labels([(i, i % 2, 0) for i in range(40)]))
+    score = {r["doc_id"]: r["score"] for r in Q.scored(documents([(0, GOOD * 5), (1, BAD * 5)]), chain).collect()}
+    assert score[0] > 0.7 > 0.3 > score[1]
+
+
+def test_an_id_on_a_third_of_the_rows_is_fitted_once(documents, labels):
+    rows = [(i, GOOD) for i in range(20)] + [(3, BAD)] * 10
+    picked = Q.fit_rows(documents(rows), labels([(i, 1, 0) for i in range(20)]), "quality", 100, 4, 2)
+    counts = picked.groupBy("doc_id").count().collect()
+    assert counts and all(r["count"] == 1 for r in counts) and 3 in {r["doc_id"] for r in counts}
+
+
+def test_slopes_equal_differences():
+    """The slope of one short document against the likelihood moved a little in each weight."""
+    r = np.random.default_rng(2)
+    block, y = r.normal(size=(5, len(NAMES))).astype(np.float32), np.array([1])
+    k = 3 * len(NAMES) + 1
+    theta = r.normal(size=k + 4) * 0.1
+
+    def chain(t):
+        return Q.Chain(np.zeros(len(NAMES)), np.ones(len(NAMES)), t[:k], t[k:].reshape(2, 2))
+
+    def likelihood(t):
+        lines = Lines(np.zeros(5, int), np.array([0]), np.array([5]), np.zeros(0), block)
+        good = Q.with_neighbours(lines, np.zeros(len(NAMES)), np.ones(len(NAMES))) @ t[:k]
+        fore, _ = Q.passes(good, lines, t[k:].reshape(2, 2))
+        return (good.sum() + 4 * t[-1] - np.logaddexp(*fore[4])) / 5
+
+    numeric = [(likelihood(theta + e) - likelihood(theta - e)) / 2e-5 for e in np.eye(k + 4) * 1e-5]
+    assert np.allclose(Q.slopes([block], y, chain(theta)), numeric, atol=1e-6)
+    first, size = Q.segments(np.array([1, 1200, 500]))
+    assert list(first) == [0, 1, 501, 1001, 1201] and list(size) == [1, 500, 500, 200, 500]
