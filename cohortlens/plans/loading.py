@@ -12,7 +12,7 @@ from cohortlens.operators import validate as V
 from cohortlens.plans.data import LABELLED, labelled, six, table
 from cohortlens.sources import files, metadata
 from cohortlens.sources.tables import write_table
-from cohortlens.storage import scratch_path
+from cohortlens.storage import materialise, scratch_path
 
 
 def _metadata_lines(spark, sf):
@@ -107,6 +107,26 @@ def missing_files(spark, sf):
     return files.missing(listed, found, "folder").select("source")
 
 
+def _source_folders(spark, sf):
+    """Folders that the sources of all documents should have, and what executors find in them."""
+    root = scratch_path(spark, "listing")
+    write_table(labelled(spark, sf).where(F.col("quality") == 0).select("doc_id", "source"), root,
+                partition_by=["source"])
+    listed = materialise(table(spark, sf, "documents").select("source").distinct().withColumn(
+        "folder", F.concat(F.lit(f"{root}/source="), F.col("source"))), "listed")
+    found = files.parent_folders(files.listing_by_folder(listed, "folder", ".parquet"))
+    return listed, found
+
+
+def present_files(spark, sf):
+    """Sources whose folder holds a file."""
+    return files.present(*_source_folders(spark, sf), "folder").select("source")
+
+
+def presence_summary(spark, sf):
+    return files.presence_summary(*_source_folders(spark, sf), "folder")
+
+
 def _failed(spark, sf):
     """Documents without a label play the rows that failed."""
     docs = table(spark, sf, "documents")
@@ -160,7 +180,7 @@ def weighted_rows(spark, sf):
 
 QUERIES = [label_ingest, phase_filter, metadata_preview, column_roles, id_check,
            unexpected_values, guarded_join, join_loss, left_lookup, resume_anti_join,
-           known_rows, set_difference, missing_files, error_top_k, error_examples,
+           known_rows, set_difference, missing_files, present_files, presence_summary, error_top_k, error_examples,
            failure_bias, inventory_check, share_health, feature_projection,
            class_weights, weighted_rows]
 
@@ -241,6 +261,16 @@ ORACLES = {
         WITH {LABELLED}
         SELECT DISTINCT source FROM documents
         WHERE source NOT IN (SELECT source FROM labelled WHERE quality = 0)""",
+    "present_files": f"""
+        WITH {LABELLED}
+        SELECT DISTINCT source FROM documents
+        WHERE source IN (SELECT source FROM labelled WHERE quality = 0)""",
+    "presence_summary": f"""
+        WITH {LABELLED}, s AS (
+          SELECT DISTINCT source, source IN (SELECT source FROM labelled WHERE quality = 0) AS there FROM documents)
+        SELECT count(*) AS n, count(*) FILTER (there) AS n_present, count(*) FILTER (NOT there) AS n_missing,
+               CASE WHEN count(*) FILTER (there) = 0 THEN 'not on disk'
+                    WHEN count(*) FILTER (NOT there) = 0 THEN 'unreadable' ELSE 'mixed' END AS diagnosis FROM s""",
     "error_top_k": """
         SELECT source || 'Error' AS error_type, count(*) AS n,
                round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct

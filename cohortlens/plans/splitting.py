@@ -9,8 +9,8 @@ from cohortlens.operators import audit as A
 from cohortlens.operators import split as S
 from cohortlens.operators.ordering import hash_positions
 from cohortlens.plans.data import LABELLED, labelled, table
-from cohortlens.sources.tables import fingerprint, read_or_build
-from cohortlens.storage import scratch_path
+from cohortlens.sources.tables import check_stamp, fingerprint, read_or_build, run_record, stamped, write_record
+from cohortlens.storage import materialise, scratch_path
 
 SAMPLE_ROWS = 60
 SAMPLE_SIZES = [300, 600, 1200, None]
@@ -81,6 +81,18 @@ def split_fingerprint(spark, sf):
     return fingerprint(stratified_split(spark, sf), ["doc_id", "quality", "conjunto"])
 
 
+def split_record(spark, sf):
+    """The record of a split, written and read back: its parameters and the fingerprint of its rows."""
+    split = materialise(stratified_split(spark, sf), "split")
+    columns = ["doc_id", "quality", "conjunto"]
+    record = stamped(run_record(spark, {"seed": K.SEED, "stratification": "quality"}), split, columns)
+    path = scratch_path(spark, "record")
+    write_record(record, path)
+    stored = spark.read.schema(record.schema).json(path)
+    check_stamp(stored, split, columns)
+    return stored.select("seed", "stratification", "split_rows", "split_hash")
+
+
 def leave_one_group_out(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "lang", "quality")
     return S.leave_one_group_out(rows, "lang", F.col("quality") == 0, "fr", "doc_id")
@@ -104,7 +116,7 @@ def split_odd_strata(spark, sf):
 
 QUERIES = [split_odd_strata, stratified_split, stratified_split_many, split_conformity, fold_assignment,
            stratum_position, rare_collapse, stratified_subsample, persisted_subsample,
-           sized_samples, split_fingerprint, leave_one_group_out, split_overlap]
+           sized_samples, split_fingerprint, split_record, leave_one_group_out, split_overlap]
 
 
 def _ranked(name: str, source: str, key: str, stratum: str) -> str:
@@ -199,6 +211,10 @@ ORACLES = {
     "split_fingerprint": f"""{_DOCS}
         SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(doc_id || '#' || quality || '#'
                || conjunto), 1, 15)) AS HUGEINT)) AS VARCHAR) AS content_hash FROM split""",
+    "split_record": f"""{_DOCS}
+        SELECT {K.SEED} AS seed, 'quality' AS stratification, count(*) AS split_rows,
+               CAST(sum(CAST(('0x' || substr(md5(doc_id || '#' || quality || '#' || conjunto), 1, 15)) AS HUGEINT))
+                    AS VARCHAR) AS split_hash FROM split""",
     "leave_one_group_out": f"""
         WITH {LABELLED},
         shared AS (SELECT *, row_number() OVER (ORDER BY md5('{K.SEED}#' || doc_id), doc_id)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that list folders, and names in one batch of rows.
+LISTERS, NAMES_AT_ONCE = 256, 10_000
+
 
 def file_listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Paths below a folder, listed by Spark and pruned to the path column."""
@@ -13,6 +20,30 @@ def file_listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
             .select(bare_path("path").alias("path")))
 
 
+def listing_by_folder(folders: DataFrame, folder: str, suffix: str = "", tasks: int = LISTERS) -> DataFrame:
+    """Paths right below each of the given folders, listed by the executors and never held by the driver.
+
+    ``folders`` has one row per folder, under a path or address that every executor can reach. Folders
+    are dealt out over ``tasks`` and a task holds one folder's names at a time. A folder that is not
+    there, or a null one, has no rows; one named twice is listed once.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked in batch.column(0).to_pylist():
+                store, root = fs.FileSystem.from_uri(asked)
+                root = root.rstrip("/")
+                found = [asked.rstrip("/") + f.path[len(root):]
+                         for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+                         if f.type == fs.FileType.File and f.path.endswith(suffix)]
+                for i in range(0, len(found), NAMES_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i:i + NAMES_AT_ONCE], pa.string())], names=["path"])
+
+    asked = folders.select(F.col(folder).alias("folder")).where(F.col("folder").isNotNull()).distinct()
+    return (asked.repartition(tasks, "folder").mapInArrow(names, "path string")
+            .select(bare_path("path").alias("path")))
+
+
 def bare_path(column: str):
     """Without a scheme such as ``file:``, so both sides compare."""
     return F.regexp_replace(F.col(column), r"^[A-Za-z][A-Za-z0-9+.-]*:/{1,3}", "/")

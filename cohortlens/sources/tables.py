@@ -145,6 +145,20 @@ def run_record(spark: SparkSession, values: Mapping[str, Column | object]) -> Da
         F.create_map(*cells).alias("versions"))
 
 
+def stamped(record: DataFrame, rows: DataFrame, columns: Sequence[str], name: str = "split") -> DataFrame:
+    """Add to a record the count and fingerprint of the rows it was made on."""
+    made_on = fingerprint(rows, columns).select(F.struct("*")).scalar()
+    return (record.withColumn(f"{name}_rows", made_on["n"])
+            .withColumn(f"{name}_hash", made_on["content_hash"]))
+
+
+def check_stamp(record: DataFrame, rows: DataFrame, columns: Sequence[str], name: str = "split") -> None:
+    """Raise unless the rows are those the record was made on; one moved row is enough."""
+    then, now = record.select(f"{name}_rows", f"{name}_hash").first(), fingerprint(rows, columns).first()
+    if tuple(then) != tuple(now):
+        raise ValueError(f"the record was made on {then[0]} rows with {then[1]}, these are {now[0]} with {now[1]}")
+
+
 def write_record(record: DataFrame, path: str) -> None:
     record.coalesce(1).write.mode("overwrite").json(path)
 

@@ -139,6 +139,26 @@ def test_listing(spark, rows):
     assert (got["n_present"], got["n_missing"], got["diagnosis"]) == (1, 1, "mixed")
 
 
+def test_listing_by_executors_equals_the_other(spark, rows):
+    path = storage.scratch_path(spark, "listing")
+    rows([("x", 1), ("y", 2), ("z", 2)], "v string, part int").write.partitionBy("part").text(path)
+    asked = rows([(f"{path}/part=1",), (f"file://{path}/part=2/",), (f"{path}/part=1",), (f"{path}/part=9",), (None,)],
+                 "folder string")
+    ours = files.listing_by_folder(asked, "folder", ".txt", tasks=3)
+    theirs = files.file_listing(spark, path, "*.txt")
+    assert sorted(r["path"] for r in ours.collect()) == sorted(r["path"] for r in theirs.collect())
+    assert files.listing_by_folder(asked.limit(0), "folder").count() == 0
+
+
+def test_a_stamp_sees_one_moved_row(spark):
+    split = spark.range(50).select("id", F.when(F.col("id") < 35, "treino").otherwise("teste").alias("conjunto"))
+    record = T.stamped(T.run_record(spark, {"seed": 42}), split, ["id", "conjunto"])
+    T.check_stamp(record, split.repartition(3), ["id", "conjunto"])
+    moved = split.withColumn("conjunto", F.when(F.col("id") == 7, "teste").otherwise(F.col("conjunto")))
+    with pytest.raises(ValueError, match="made on 50 rows"):
+        T.check_stamp(record, moved, ["id", "conjunto"])
+
+
 def test_error_texts(rows):
     long = "ValueError('" + "x" * 300 + "')"
     errors = rows([("a", long), ("b", "OSError(2)"), ("c", "OSError(5)")], T.ERRORS)
