@@ -2,12 +2,13 @@
 
 A noisy channel writes letters as look-alike signs, repeats them, puts marks
 between them or spaces them out. A word that may have passed it becomes a
-lattice of letters; the cheapest path under a character trigram model is the
-restored word (Viterbi). Words and beginnings of words that mark toxic
-documents are learned from labelled documents: forms that toxic documents hold
-far more often than chance allows, near copies counted once, and forms needed
-for toxic documents that no earlier one covers. A document's score is the
-probability that at least one of its marks is right (noisy or).
+lattice of letters; the cheapest path under a character trigram model, counted
+over all documents, is the restored word (Viterbi). Words and beginnings of
+words that mark toxic documents are learned from labelled documents: forms that
+toxic documents hold far more often than chance allows, near copies counted
+once, and forms needed for toxic documents that no earlier one covers. A
+document's score is the probability that at least one of its marks is right
+(noisy or).
 
 Defined cases: a null text counts as empty; a document without marks has the
 rate of toxic documents among such ones as its score. Rows with a null
@@ -238,30 +239,34 @@ class Model:
         return min(max(1 - clean, 0.0), 1.0)
 
 
-def trigram_counts(sample: DataFrame) -> dict[str, int]:
+def trigram_counts(docs: DataFrame) -> dict[str, int]:
+    """Trigrams of the Latin words of all texts; a task adds up its own, so only trigrams travel."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
+            words: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                words = Counter(plain(w) for w in (text or "").lower().split())
-                for word, n in words.items():
-                    if word.isalpha() and max(map(ord, word)) < 592:  # Latin letters: at most 500 ** 3 trigrams
-                        for gram, k in trigrams([word]).items():
-                            total[gram] += k * n
+                words.update((text or "").lower().split())
+            for seen, n in words.items():
+                word = plain(seen)
+                if word.isalpha() and max(map(ord, word)) < 592:  # Latin letters: at most 500 ** 3 trigrams
+                    for gram, k in trigrams([word]).items():
+                        total[gram] += k * n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                          names=["gram", "n"])
 
-    rows = sample.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in rows.collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """Fit to a bounded number of labelled documents; copies of a text count once."""
+    """Letters of all documents, marks of a bounded number of labelled ones; copies of a labelled text count once."""
     sample = materialise(fit_rows(docs, labels, "toxic", rows, FOLDS, HELD_OUT)
                          .dropDuplicates(["text", "_y"]).select("doc_id", "_y", "text"), "toxic-sample")
     if not sample.head(1):
         return None
-    letters = Letters(trigram_counts(sample))
+    letters = Letters(trigram_counts(docs))
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,6 +32,17 @@ def test_learns_words_and_restores_them(corpus, documents):
     assert (out[out.doc_id.isna()].score >= 0.5).all() and len(out) == 13
 
 
+def test_letters_come_from_all_documents(corpus, documents):
+    docs, labels = corpus
+    more = documents([(10_000 + i, f"Zebra {'quagga' if i % 2 else 'zebra!'} x1x") for i in range(50)]
+                     + [(None, "okapi"), (99_999, None)])
+    model = T.train(docs.unionByName(more), labels, rows=60)
+    texts = [r["text"] for r in docs.unionByName(more).select("text").collect()]
+    words = [T.plain(w) for t in texts for w in (t or "").lower().split()]
+    assert model.letters.counts == T.trigrams(w for w in words if w.isalpha())
+    assert model.letters.counts["zeb"] == 75 and model.letters.counts["oka"] == 1
+
+
 def test_held_out_and_predictions(corpus):
     docs, labels = corpus
     out = T.scored(docs, T.train(docs, labels)).toPandas()
