@@ -198,3 +198,14 @@ def test_rare_groups_pair_nothing(spark, monkeypatch):
         # one positive: missed until it is reached, then the false alarms above it
         assert out[r["grp"]] == pytest.approx(min((abs(x - f), (f + x) / 2) for f, x in (
             (0, 1), (above, 1), (above, 0), (1 / 3000 if above else 0, 1), (1, 0)))[1], abs=1e-3)
+
+
+def test_slots_are_found_without_interpreted_functions(spark, rows):
+    hist = rows([(None, 0)] + [(float(v), v % 3) for v in range(-5, 400)] + [(float("nan"), 1), (float("inf"), 2)],
+                "value double, n long")
+    cut = O.with_slots(hist, "value", ["n"], points=100)
+    points = O.split_points(hist, "value", ["n"], points=100).scalar()
+    want = hist.select("value", O.slot_of(F.col("value"), points, 100).alias("_slot"))
+    assert sorted(map(str, cut.select("value", "_slot").collect())) == sorted(map(str, want.collect()))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
