@@ -260,6 +260,18 @@ def trigram_counts(docs: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in rows.collect()}
 
 
+def with_kin(words: DataFrame) -> DataFrame:
+    """Near copies of a text have nearly the same words, and so the same smallest hash of a word."""
+    return words.withColumn("kin", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+
+
+def with_forms(words: DataFrame) -> DataFrame:
+    """A row for each form of each word; ``kin`` is stored, as it would be worked out anew for every word otherwise."""
+    begin = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("-"))) for n in BEGINNINGS]
+    form = F.explode(F.array_compact(F.array(F.col("word"), *begin))).alias("form")
+    return words.select("doc_id", "y", "kin", F.explode("words").alias("word")).select("doc_id", "y", "kin", "word", form)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     """Letters of all documents, marks of a bounded number of labelled ones; copies of a labelled text count once."""
     sample = materialise(fit_rows(docs, labels, "toxic", rows, FOLDS, HELD_OUT)
@@ -274,13 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | N
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"),
                                               pa.array(found, pa.list_(pa.string()))], names=["doc_id", "y", "words"])
 
-    words = materialise(sample.mapInArrow(restored, "doc_id long, y int, words array<string>"), "toxic-words")
-    # near copies of a text have nearly the same words, and so the same smallest hash of a word
-    word = F.explode("words").alias("word")
-    kin = F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("kin")
-    begin = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("-"))) for n in BEGINNINGS]
-    form = F.explode(F.array_compact(F.array(F.col("word"), *begin))).alias("form")
-    shaped = words.select("doc_id", "y", kin, word).select("doc_id", "y", "kin", "word", form)
+    words = materialise(with_kin(sample.mapInArrow(restored, "doc_id long, y int, words array<string>")), "toxic-words")
+    shaped = with_forms(words)
     # bounded by the words of ``rows`` documents
     often = (shaped.where("y = 1").groupBy("form").agg(F.countDistinct("doc_id").alias("n"))
              .where(F.col("n") >= LEAST).select("form"))

@@ -1,8 +1,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import toxicity as T
+from cohortlens.storage import materialise
 
 CLEAN = ["the river runs to the sea and the mill stands still", "nobody saw the letter on the table in the hall",
          "she walks along the shore each morning with a dog"]
@@ -43,6 +45,17 @@ def test_letters_come_from_all_documents(corpus, documents):
     assert model.letters.counts["zeb"] == 75 and model.letters.counts["oka"] == 1
 
 
+def test_hashes_are_worked_out_once_a_document(spark):
+    rows = spark.createDataFrame([(1, 1, ["bad", "worse"]), (2, 0, [])], "doc_id long, y int, words array<string>")
+    words = materialise(T.with_kin(rows))
+    shaped = T.with_forms(words)
+    assert "xxhash64" not in shaped._jdf.queryExecution().optimizedPlan().toString()
+    hashes = [r[0] for r in spark.createDataFrame([("bad",), ("worse",)], "w string").select(F.xxhash64("w")).collect()]
+    found = {(r["word"], r["form"], r["kin"]) for r in shaped.collect()}
+    assert found == {("bad", "bad", min(hashes)), ("worse", "worse", min(hashes)), ("worse", "wor-", min(hashes)),
+                     ("worse", "wors-", min(hashes))}
+
+
 def test_held_out_and_predictions(corpus):
     docs, labels = corpus
     out = T.scored(docs, T.train(docs, labels)).toPandas()
