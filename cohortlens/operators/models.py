@@ -7,8 +7,7 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
+from cohortlens.operators.forests import GroupedForest
 from cohortlens.operators.ordering import hash_positions
 from cohortlens.operators.split import stratified_sample
 from cohortlens.sources.tables import holds_table
@@ -87,13 +87,12 @@ def bounded(df: DataFrame, id_col: str, label: str, rows: int = FIT_ROWS, seed:
 
 def forest(trees: int = 100, depth: int = 30, seed: int = K.SEED, label: str = "y",
            weight: str | None = "weight", **params) -> RandomForestClassifier:
-    """The baseline learner; 30 is the deepest tree the library grows.
+    """The baseline learner; 30 is the deepest tree that MLlib's models hold.
 
-    Deep trees make the node of each row costly to find again at every level,
-    so it is kept with the row.
+    Its small nodes are finished where their rows lie (``forests``).
     """
     settings = {"cacheNodeIds": True, **params}
-    model = RandomForestClassifier(
+    model = GroupedForest(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
         featureSubsetStrategy="sqrt", seed=seed, **settings)
     return model.setWeightCol(weight) if weight else model
