@@ -321,16 +321,16 @@ def answers(costs: DataFrame, asked: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(answer, "piece long, start long, costs binary")
 
 
-def added(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
+def added(_key, piece: pa.Table, found: pa.Table) -> pa.Table:
     """``row`` and the sum of its grams' costs, for the texts of one piece and the answers to it."""
     order = np.argsort(found.column("start").to_numpy())
     blocks = found.column("costs").to_pylist()
     costs = np.frombuffer(b"".join([blocks[i] for i in order]), np.float32).astype(float)
-    sums = []
-    for n, block in zip(texts.column("n_grams").to_pylist(), texts.column("grams").to_pylist()):
-        step, times = restored(block, np.uint32, (2, n))
-        sums.append(float(costs[np.cumsum(step, dtype=np.int64)] @ times))
-    return pa.table([texts.column("row"), pa.array(sums, pa.float64())], names=["row", "_score"])
+    n = np.array(piece.column("n_grams")[0].as_py(), np.int64)
+    step, times = restored(piece.column("grams")[0].as_py(), np.uint32, (2, int(n.sum())))
+    some = np.flatnonzero(n)
+    sums = np.add.reduceat(costs[np.cumsum(step, dtype=np.uint32)] * times, (np.cumsum(n) - n)[some])
+    return pa.table([pa.array(piece.column("piece")[0].as_py() + some), pa.array(sums)], names=["row", "_score"])
 
 
 class Trie:
@@ -438,18 +438,17 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     ends = next((r["n"] for r in words.where(F.length("word") == 0).collect()), 0)
     logs.pop(b"", None)
     shared = spark.sparkContext.broadcast((frequent, logs))
+    forget_shuffles(spark)
     name, one_end, spread = uuid.uuid4().hex, math.log10(ends + 1), math.log10(tokens + kinds + 1)
 
     layout = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
         ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
-        ("n_grams", pa.int64()), ("grams", pa.binary()), ("piece", pa.int64()), ("group", pa.int32()),
+        ("piece", pa.int64()), ("n_grams", pa.list_(pa.int64())), ("grams", pa.binary()), ("group", pa.int32()),
         ("start", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
 
-    def asks(piece: int, groups: list[int], starts: np.ndarray, sizes: list[int], blocks: list[bytes]) -> pa.RecordBatch:
-        own = [pa.array(np.full(len(groups), piece)), pa.array(groups, pa.int32()), pa.array(starts),
-               pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(groups), f.type) for f in list(layout)[:-len(own)]] + own, schema=layout)
+    def only(n: int, **own: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(n, f.type)) for f in layout], schema=layout)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # once per worker process
@@ -476,11 +475,14 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 lack = np.flatnonzero(~here[back])
                 which, gram_times = np.unique((np.repeat(np.arange(n), lengths)[lack] << 32) + place[back[lack]], return_counts=True)
                 ends_at = np.searchsorted(which, np.arange(n + 1) << 32)
-                mine = np.stack([np.diff(which, prepend=0), gram_times]).astype(np.uint32)
-                mine[0, ends_at[:-1][np.diff(ends_at) > 0]] = (which & 0xFFFFFFFF)[ends_at[:-1][np.diff(ends_at) > 0]]
-                needs = [squeezed(mine[:, a:b]) if b > a else None for a, b in zip(ends_at, ends_at[1:])]
                 starts = (np.cumsum(sizes) - sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-                yield asks(number, groups, starts, sizes, blocks)
+                yield only(len(groups), piece=pa.array(np.full(len(groups), number)), group=pa.array(groups, pa.int32()),
+                           start=pa.array(starts), size=pa.array(sizes, pa.int64()), block=pa.array(blocks, pa.binary()))
+                if len(which):
+                    # places from text to text go down, so steps and their sums are taken modulo 2 ** 32
+                    step = np.diff((which & 0xFFFFFFFF).astype(np.uint32), prepend=np.uint32(0))
+                    yield only(1, piece=pa.array([number]), n_grams=pa.array([np.diff(ends_at)], pa.list_(pa.int64())),
+                               grams=pa.array([squeezed(np.stack([step, gram_times.astype(np.uint32)]))], pa.binary()))
                 count, base, seen, rare, times = [], [], [], [], []
                 for t in texts:
                     every = t.lower().split()
@@ -492,30 +494,29 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     seen.append(len(every) - len(lost) + (ends > 0))
                     rare.append(list(odd))
                     times.append(list(odd.values()))
-                own = [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(number, number + n)),
-                       pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                       pa.array(value), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-                       pa.array(np.diff(ends_at).astype(np.int64)), pa.array(needs, pa.binary()),
-                       pa.array(np.full(n, number))]
-                yield pa.RecordBatch.from_arrays(own + [pa.nulls(n, f.type) for f in list(layout)[len(own):]], schema=layout)
+                yield only(n, doc_id=part.column("doc_id"), held_out=part.column("held_out"),
+                           row=pa.array(np.arange(number, number + n)), n_tokens=pa.array(count, pa.int64()),
+                           n_known=pa.array(seen, pa.int64()), base_score=pa.array(base, pa.float64()), score=pa.array(value),
+                           rare=pa.array(rare, pa.list_(pa.binary())), times=pa.array(times, pa.list_(pa.int64())))
                 number += n
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                       F.coalesce(is_held_out(), F.lit(False)).alias("held_out"))
     stored = materialise(own.mapInArrow(
         score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<binary>, times array<bigint>, n_grams long, grams binary, piece long, "
+        "score double, rare array<binary>, times array<bigint>, piece long, n_grams array<bigint>, grams binary, "
         "group int, start long, size long, block binary"), "scores")
-    part = stored.where("row is not null").drop("group", "start", "size", "block")
+    part = stored.where("row is not null").drop("piece", "n_grams", "grams", "group", "start", "size", "block")
     each = part.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
-    # none of these words is frequent, so no key of this join is hot
-    rare = each.join(words, "word", "left").groupBy("row").agg(
+    # none of these words is frequent, so no key of this join is hot; its shuffles go before those of the grams come
+    rare = materialise(each.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known")), "rare")
+    forget_shuffles(spark)
     replies = answers(costs, stored.where("block is not null"))
-    asking = part.where("n_grams > 0").select("piece", "row", "n_grams", "grams")
+    asking = stored.where("grams is not null").select("piece", "n_grams", "grams")
     lacked = asking.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(added, "row long, _score double")
-    return part.drop("rare", "times", "n_grams", "grams", "piece").join(rare, "row", "left").join(lacked, "row", "left").select(
+    return part.drop("rare", "times").join(rare, "row", "left").join(lacked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import ppm as P
@@ -155,3 +156,11 @@ def test_counts_handed_on_in_many_parts_are_the_same(documents, monkeypatch):
     parts = run(documents, ROWS).sort_values("doc_id").reset_index(drop=True)
     assert parts.score.to_numpy() == pytest.approx(whole.score.to_numpy(), rel=1e-6)
     assert (parts.n_known == whole.n_known).all()
+
+
+def test_a_piece_brings_the_grams_of_all_its_texts_in_one_block():
+    places, times = np.array([0, 2, 1, 2], np.uint32), np.array([1, 3, 2, 1], np.uint32)
+    block = P.squeezed(np.stack([np.diff(places, prepend=np.uint32(0)), times]))
+    piece = pa.table({"piece": [70], "n_grams": [[2, 0, 2]], "grams": pa.array([block], pa.binary())})
+    found = pa.table({"start": [2, 0], "costs": pa.array([np.array(c, np.float32).tobytes() for c in ([-4.0], [-1.0, -2.0])], pa.binary())})
+    assert P.added(None, piece, found).to_pylist() == [{"row": 70, "_score": -13.0}, {"row": 72, "_score": -8.0}]
