@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -46,6 +47,8 @@ from cohortlens.storage import materialise
 LEAST_ITEMS, LEAST_ITEMS_SMALL = 2.0, 4.5
 #: Bits of the filter that tells which sets a check needs; its size is fixed, whatever the input.
 FILTER_BITS = 1 << 25
+#: In so many turns ``keep_one`` has the signatures shuffled; each makes them anew and holds its share of them on disk.
+TURNS = 2
 #: Words of the sketch that pairs of the second round are compared by; it is shorter for small sets.
 WIDE_WORDS = 16
 #: Pivots that a set is checked against in the first round, those whose sketches look nearest.
@@ -165,8 +168,8 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                                    + ", bits array<bigint>")
 
 
-def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``sig`` and ``node``, once for each different set of a task."""
+def signature_rows(docs: DataFrame, words: int, percent: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """``sig`` and ``node``, once for each different set of a task. A signature has its turn, one of ``turns``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(percent), set()
@@ -179,7 +182,8 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     node = set_number(items)
                     if node not in done:
                         done.add(node)
-                        sigs.append(signatures(items, bands))
+                        own = signatures(items, bands)
+                        sigs.append(own[own % turns == turn])
                         nodes.append(np.full(len(sigs[-1]), node))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))],
                                                  names=["sig", "node"])
@@ -206,12 +210,21 @@ def forget_shuffles(spark: SparkSession) -> None:
     """Let the shuffles of finished steps go.
 
     Spark deletes a shuffle's files once the driver's collector finds it unreachable, which may be long
-    after its table was written. Between two large steps it is worth asking for that.
+    after its table was written. Between two large steps it is worth asking for that. The last query
+    is held until its listeners have heard of its end, hence the pause.
     """
     gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 
+def filter_bit(number: Column) -> tuple[Column, Column]:
+    """The word of the filter that a whole number falls to, and its bit there."""
+    place = F.pmod(number, F.lit(FILTER_BITS))
+    return (F.shiftright(place, 6).cast("int"),
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")))
+
+
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose sets are similar, checked item by item.
 
@@ -225,10 +238,8 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                          .join(nodes.select("node", "doc"), "node"), "wanted")
     bits = FILTER_BITS
-    place = F.pmod(F.col("node").bitwiseXOR(F.col("doc")), F.lit(bits))
-    found = wanted.select(F.shiftright(place, 6).cast("int").alias("word"),
-                          F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")) \
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
+    word, bit = filter_bit(F.col("node").bitwiseXOR(F.col("doc")))
+    found = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
     held = np.zeros(bits // 64, np.int64)
     for r in found:
         held[r["word"]] = r["bits"]
@@ -286,8 +297,11 @@ def may_link(percent: int) -> Column:
     return (differing() <= most) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
 
 
-def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for every row."""
+def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, turns: int = 1) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` for every row.
+
+    More ``turns`` need less disk at a time and more CPU time; the rows are the same.
+    """
     every = materialise(document_sets(docs, words), "document-sets")
     rows = every.drop("bits")
     sketch = [f"p{i}" for i in range(SKETCH_WORDS)]
@@ -295,11 +309,15 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         F.min("doc_id").alias("doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in sketch], F.max("bits").alias("bits")), "nodes")
     same = W.partitionBy("sig")
     turned = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
-    signed = signature_rows(docs, words, percent).select(
-        "sig", "node", F.min("node").over(same).alias("pivot0"), F.max("node").over(same).alias("pivot1"),
-        F.min(turned).over(same)["pivot"].alias("pivot2"), F.max(turned).over(same)["pivot"].alias("pivot3"))
-    shared = materialise(signed.where("pivot0 != pivot1").distinct(), "signatures")
-    forget_shuffles(docs.sparkSession)
+    parts = []
+    for turn in range(turns):
+        signed = signature_rows(docs, words, percent, turn, turns).select(
+            "sig", "node", F.min("node").over(same).alias("pivot0"), F.max("node").over(same).alias("pivot1"),
+            F.min(turned).over(same)["pivot"].alias("pivot2"), F.max(turned).over(same)["pivot"].alias("pivot3"))
+        parts.append(materialise(signed.where("pivot0 != pivot1").distinct(), "signatures"))
+        del signed  # or its shuffle stays
+        forget_shuffles(docs.sparkSession)
+    shared = reduce(DataFrame.unionByName, parts)
 
     known = nodes.select("node", "n", *sketch)
     stars = [shared.select("node", F.col(p).alias("pivot")).where("node != pivot")
@@ -356,16 +374,26 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Of several rows with a kept id, the one with the smallest text stays.
     """
-    linked = materialise(link_documents(docs, words, percent).where("doc_id = component_id")
-                         .groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    linked = materialise(link_documents(docs, words, percent, TURNS).where("doc_id is not null").groupBy("doc_id").agg(
+        F.count_if(F.col("doc_id") == F.col("component_id")).alias("_rows")), "kept")
+    forget_shuffles(docs.sparkSession)
     at = F.col("doc_id").cast("long")
-    single = docs.join(linked.where("_rows = 1").select(F.col("doc_id").alias("__kept_id")), at == F.col("__kept_id"), "left_semi")
-    repeated = linked.where("_rows > 1").select(F.col("doc_id").alias("__kept_id"))
+    # a filter of fixed size holds the ids that go or come repeatedly: only rows that it catches are joined, the others stay
+    word, bit = filter_bit(F.xxhash64(at))
+    caught = linked.where("_rows != 1").select(word.alias("__word"), bit.alias("__bit")) \
+        .groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))  # at most FILTER_BITS / 64 rows
+    marked = docs.join(F.broadcast(caught), word == F.col("__word"), "left")
+    hit = F.coalesce("__bits", F.lit(0)).bitwiseAND(bit) != 0
+    sure = marked.where(F.col("doc_id").isNull() | (at.isNotNull() & ~hit)).drop("__word", "__bits")
+    doubtful = marked.where(at.isNotNull() & hit).drop("__word", "__bits")
+    ids = linked.select(F.col("doc_id").alias("__kept_id"), "_rows")
+    kept = sure.unionByName(doubtful.join(ids.where("_rows = 1"), at == F.col("__kept_id"), "left_semi"))
+    repeated = ids.where("_rows > 1")
     if repeated.head(1):
         order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        several = docs.join(repeated, at == F.col("__kept_id"), "left_semi").withColumn("__first", F.row_number().over(order))
-        single = single.unionByName(several.where("__first = 1").drop("__first"))
-    return single.unionByName(docs.where("doc_id is null"))
+        several = doubtful.join(repeated, at == F.col("__kept_id"), "left_semi").withColumn("__first", F.row_number().over(order))
+        kept = kept.unionByName(several.where("__first = 1").drop("__first"))
+    return kept
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,38 @@ def test_components_of_chains_and_stars(spark):
     assert all(out[i] == 0 for i in range(41)) and all(out[i] == 100 for i in range(100, 140))
     assert out[301] == 300 and 200 not in out
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_turns_share_out_all_signatures(documents):
+    docs = documents(made(5))
+    whole = sorted(N.signature_rows(docs, 5, 80).distinct().collect())
+    parts = [N.signature_rows(docs, 5, 80, t, 3).distinct().collect() for t in range(3)]
+    assert sorted(sum(parts, [])) == whole and all(0 < len(p) < len(whole) / 2 for p in parts)
+    one, three = (sorted(N.link_documents(docs, 5, 80, t).collect()) for t in (1, 3))
+    assert one == three
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_only_doubtful_rows_are_joined(documents, monkeypatch, bits):
+    monkeypatch.setattr(N, "FILTER_BITS", bits)
+    rows = made(6) + [(2000, ""), (2000, "a b c d e f g"), (2001, "a b c d e f g"), (2001, "p q"), (2002, None), (2002, None)]
+    docs = documents(rows + [(None, "a b"), (None, None)])
+    joined = []
+    keep = type(docs).join
+
+    def join(self, other, on=None, how=None):
+        if how == "left_semi" and "text" in self.columns:
+            joined.append(self.count())
+        return keep(self, other, on, how)
+
+    linked = N.link_documents(docs, 5, 80).where("doc_id = component_id").groupBy("doc_id").count().collect()
+    monkeypatch.setattr(type(docs), "join", join)
+    out = N.keep_one(docs, 5, 80).collect()
+    times = {r["doc_id"]: r["count"] for r in linked}
+    want = sorted([(i, t or "") for i, t in rows if times.get(i) == 1]
+                  + [(i, min(t or "" for j, t in rows if j == i)) for i, n in times.items() if n > 1])
+    assert sorted((r["doc_id"], r["text"] or "") for r in out if r["doc_id"] is not None) == want
+    assert sum(r["doc_id"] is None for r in out) == 2
+    if bits > 64:
+        gone = sum(times.get(i) != 1 for i, _ in rows)
+        assert joined and all(n == gone for n in joined)
