@@ -13,11 +13,12 @@ which its driver visits the nodes.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from cohortlens.functions import trees as G
 from cohortlens.storage import materialise, scratch_path
 
+# workers get these functions by value: they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of a node (bootstrap copies counted) that one task may hold.
 LOCAL = 200_000
 #: MLlib's own passes are as quick up to so many rows, so its learner fits them.
@@ -67,7 +71,8 @@ class GroupedForest(RandomForestClassifier):
         if not _known(self) or any(p.name not in APART for m in paramMaps for p in m) or dataset.count() <= FEW:
             return super().fitMultiple(dataset, paramMaps)
         settings = [self.copy(m) for m in paramMaps]
-        nodes, classes, width = grown(dataset, settings)
+        nodes, classes, cuts = grown(dataset, settings)
+        width = len(cuts)
         rows = [(Vectors.dense([0.0] * width), y, 1.0) for y in classes]
 
         def model(i: int) -> RandomForestClassificationModel:
@@ -87,8 +92,8 @@ def _known(est: RandomForestClassifier) -> bool:
     return est.getImpurity() == "gini" and est.getSubsamplingRate() == 1.0 and est.getMaxBins() <= 1 << 16
 
 
-def grown(dataset: DataFrame, settings: list[GroupedForest]) -> tuple[DataFrame, list[float], int]:
-    """The stored nodes of all settings' trees as MLlib keeps them, the classes, and the number of features."""
+def grown(dataset: DataFrame, settings: list[GroupedForest]) -> tuple[DataFrame, list[float], list[np.ndarray]]:
+    """The stored nodes of all settings' trees as MLlib keeps them, the classes, and the cuts of every feature."""
     one, spark = settings[0], dataset.sparkSession
     trees, seed = one.getNumTrees(), one.getSeed()
     weight = F.col(one.getWeightCol()).cast("double") if one.isSet("weightCol") else F.lit(1.0)
@@ -117,7 +122,59 @@ def grown(dataset: DataFrame, settings: list[GroupedForest]) -> tuple[DataFrame,
     tasks = max(1, min(groups, 8 * spark.sparkContext.defaultParallelism))
     below = materialise(blocks.repartition(tasks, "unit", "node").groupBy("unit", "node").applyInArrow(
         _finished(tops, rules, trees, width, kind, cuts), _GROWN), "grown")
-    return materialise(_numbered(below, tops, cuts, trees), "nodes"), classes, width
+    return materialise(_numbered(below, tops, cuts, trees), "nodes"), classes, cuts
+
+
+def held_out_scores(dataset: DataFrame, held: DataFrame, settings: list[GroupedForest]) -> DataFrame:
+    """``setting``, ``y`` and ``score`` (probability of class 1) of the ``held`` rows under a forest of each setting.
+
+    The forests are grown on ``dataset`` in the same passes (so the settings differ in ``APART`` only) and no model
+    of MLlib's is built of them: the trees of a setting meet the rows, ``LOCAL`` at a time, in one task.
+    """
+    nodes, _, cuts = grown(dataset, settings)
+    one, width = settings[0], len(cuts)
+    slices = max(1, -(-held.count() // LOCAL))
+    kind = np.uint8 if max(map(len, cuts)) < 256 else np.uint16
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, y = G.binned(_matrix(batch.column("v"), width), cuts), batch.column("y").to_numpy(zero_copy_only=False)
+            slice_ = batch.column("slice").to_numpy()
+            for k in np.unique(slice_).tolist():
+                mine = slice_ == k
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bins[mine].tobytes()], pa.binary()),
+                                                  pa.array([y[mine].tobytes()], pa.binary())], names=["slice", "bins", "y"])
+
+    def score(key: tuple[pa.Scalar, ...], trees: pa.Table, rows: pa.Table) -> pa.Table:
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), kind).reshape(-1, width)
+        y = np.frombuffer(b"".join(rows.column("y").to_pylist()))
+        tree, id_, feature, threshold, left, right, says, share = (c.to_numpy() for c in trees.sort_by(
+            [("tree", "ascending"), ("id", "ascending")]).columns[2:])
+        ends = np.flatnonzero(np.r_[id_ == 0, True])
+        total, votes = np.zeros(len(y)), np.zeros(len(y))
+        for a, b in zip(ends, ends[1:]):  # ids count up from 0 in each tree
+            cut = np.array([np.searchsorted(cuts[f], t) if f >= 0 else -1 for f, t in zip(feature[a:b], threshold[a:b])])
+            at = a + G.routed(bins, {"feature": feature[a:b], "cut": cut, "left": left[a:b], "right": right[a:b]})
+            total += share[at]
+            votes += says[at]
+        value = np.divide(total, votes, out=np.zeros(len(y)), where=votes > 0)
+        return pa.table([pa.array(np.full(len(y), key[0].as_py()), pa.int32()), pa.array(y, from_pandas=True), pa.array(value)],
+                        names=["setting", "y", "score"])
+
+    rows = held.select(vector_to_array(one.getFeaturesCol()).alias("v"), F.col(one.getLabelCol()).cast("double").alias("y"),
+                       (F.monotonically_increasing_id() % slices).cast("int").alias("slice"))
+    blocks = rows.mapInArrow(pack, "slice int, bins binary, y binary").select(
+        F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting"), "*")
+    node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
+    whole = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    each = nodes.select(
+        "setting", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("treeID").alias("tree"), node["id"].alias("id"),
+        node["split"]["featureIndex"].alias("feature"),
+        F.coalesce(F.try_element_at(node["split"]["leftCategoriesOrThreshold"], F.lit(1)), F.lit(0.0)).alias("threshold"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), (whole > 0).cast("double").alias("says"),
+        F.when(whole > 0, stats[1] / whole).otherwise(0.0).alias("share"))
+    return each.groupBy("setting", "slice").cogroup(blocks.groupBy("setting", "slice")).applyInArrow(
+        score, "setting int, y double, score double")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

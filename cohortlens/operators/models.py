@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
-from cohortlens.operators.forests import GroupedForest
+from cohortlens.operators.forests import APART, GroupedForest, held_out_scores
 from cohortlens.operators.ordering import hash_positions
 from cohortlens.operators.split import stratified_sample
 from cohortlens.sources.tables import holds_table
@@ -255,7 +257,8 @@ def random_search(train: DataFrame, fold: str, folds: int, draws: int,
                   trees: int = 100, depth: int = 30, parallelism: int = 4) -> DataFrame:
     """Mean cross-validated ROC area of random draws from a parameter space.
 
-    Folds come from a column, so every draw sees the same stratified folds.
+    Folds come from a column, so every draw sees the same stratified folds. Draws of parameters in ``APART`` are
+    grown and scored together, fold by fold, ``parallelism`` folds at once; others go through MLlib's validator.
     """
     model = forest(trees=trees, depth=depth, seed=seed, label=label)
     rng = random.Random(seed)
@@ -272,12 +275,41 @@ def random_search(train: DataFrame, fold: str, folds: int, draws: int,
         for n, v in zip(names, drawn):
             builder = builder.addGrid(model.getParam(n), [v])
         grid += builder.build()
-    search = CrossValidator(
-        estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol=fold,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability"),
-        parallelism=parallelism, seed=seed)
-    found = search.fit(train)
+    if set(names) <= APART:
+        areas = _fold_areas(train, fold, folds, [model.copy(g) for g in grid], label, parallelism)
+    else:
+        areas = CrossValidator(
+            estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol=fold,
+            evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability"),
+            parallelism=parallelism, seed=seed).fit(train).avgMetrics
     rows = [({n: str(v) for n, v in zip(names, drawn)}, float(score))
-            for drawn, score in zip(seen, found.avgMetrics)]
+            for drawn, score in zip(seen, areas)]
     return train.sparkSession.createDataFrame(
         rows, "params map<string,string>, mean_auc double").orderBy(F.desc("mean_auc"))
+
+
+def _fold_areas(train: DataFrame, fold: str, folds: int, settings: Sequence[RandomForestClassifier], label: str,
+                parallelism: int) -> list[float]:
+    """The mean over the folds of each setting's ROC area on the rows that its forest did not see."""
+    rows = train.persist()
+    try:
+        sizes = {r[fold]: r["count"] for r in rows.groupBy(fold).count().collect()}  # a row a fold
+        for k in sizes:
+            if k is None or not 0 <= k < folds:
+                raise ValueError(f"fold {k} is not in the range 0 to {folds - 1}")
+        for k in range(folds):
+            if not sizes.get(k) or len(sizes) == 1:
+                raise ValueError(f"fold {k} has no rows to learn from or to score")
+
+        def areas(k: int) -> dict[int, float]:
+            scored = materialise(held_out_scores(rows.where(F.col(fold) != k), rows.where(F.col(fold) == k), settings), "search")
+            # a fold of one class has no area; MLlib counts 1 without negatives and 0 without positives
+            one = scored.groupBy("setting").agg((F.max("y") > 0.5).cast("double").alias("_alone"))
+            found = one.join(E.roc_auc(E.score_histogram(scored, "y", "score", ["setting"]), ["setting"]), "setting", "left")
+            return {r["setting"]: r["area"] for r in found.select("setting", F.coalesce("auc_roc", "_alone").alias("area")).collect()}
+
+        with ThreadPool(min(parallelism, folds)) as pool:
+            every = pool.map(inheritable_thread_target(train.sparkSession)(areas), range(folds))
+    finally:
+        rows.unpersist()
+    return [sum(found[i] for found in every) / folds for i in range(len(settings))]

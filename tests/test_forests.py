@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -88,3 +89,30 @@ def test_draws_and_cuts():
     assert G.cut_points(np.array([1.0, 2.0, np.nan, 2.0, 4.0]), np.ones(5), 32).tolist() == [1.5, 3.0]
     assert len(G.cut_points(np.arange(1000.0), np.ones(1000), 32)) == 31
     assert len(G.cut_points(np.ones(5), np.ones(5), 32)) == 0
+
+
+def test_search_scores_every_setting_without_a_model_each(examples, monkeypatch):
+    """With few rows at a time: trees have an upper part, and the held-out rows come in several slices."""
+    monkeypatch.setattr(FO, "LOCAL", 300)
+    rows = examples.withColumn("fold", (F.col("id") % 2).cast("int")).persist()
+    area = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="probability", numBins=0)
+    forest, wanted = M.forest(trees=2), {"2": [], "7": []}
+    for k in range(2):
+        maps = [{forest.maxDepth: int(d)} for d in wanted]
+        for i, model in forest.fitMultiple(rows.where(F.col("fold") != k), maps):
+            wanted[str(maps[i][forest.maxDepth])].append(area.evaluate(model.transform(rows.where(F.col("fold") == k))))
+    monkeypatch.setattr(FO, "FEW", 10_000)
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *_: pytest.fail("a fit a setting"))
+    found = M.random_search(rows, "fold", 2, 2, {"maxDepth": [2, 7]}, trees=2).collect()
+    assert {r["params"]["maxDepth"]: r["mean_auc"] for r in found} == pytest.approx({d: np.mean(a) for d, a in wanted.items()})
+    assert found[0]["mean_auc"] > 0.6
+
+
+def test_search_with_odd_folds(examples):
+    space = {"maxDepth": [2, 3]}
+    ones = examples.withColumn("fold", (F.col("y") == 1).cast("int"))  # each fold has one class: areas of 0 and 1
+    assert [r["mean_auc"] for r in M.random_search(ones, "fold", 2, 2, space, trees=2).collect()] == [0.5, 0.5]
+    with pytest.raises(ValueError, match="no rows"):
+        M.random_search(examples.withColumn("fold", F.lit(0)), "fold", 2, 2, space, trees=2)
+    with pytest.raises(ValueError, match="range"):
+        M.random_search(examples.withColumn("fold", (F.col("id") % 3).cast("int")), "fold", 2, 2, space, trees=2)
