@@ -49,6 +49,8 @@ SHORT = 2
 #: With a number, a context longer than ``SHORT`` needs a share of ``2 ** -CONTEXT_BITS`` of all positions.
 CONTEXT_BITS: int | None = None
 FOLDS, HELD_OUT = 7, 2
+#: Odd, so keys times it are different too (the golden ratio's bits).
+MIX = 0x9E3779B97F4A7C15
 #: Not a byte of any UTF-8 text.
 END = 255
 SYMBOLS = 256
@@ -59,7 +61,7 @@ ROWS_AT_ONCE = 10_000
 #: Groups that the contexts are dealt to by their last ``SHORT + 1`` bytes: one for so many positions, up to the most.
 GROUP_POSITIONS, MOST_GROUPS = 1 << 19, 4096
 #: Bytes of text that a task works on at once when it counts and when it scores.
-PIECE, SCORED = 2 << 20, 2 << 20
+PIECE, SCORED = 2 << 20, 3 << 20
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,39 @@ def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], lengths
 
 
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Keys spread over all 64 bits, one for each; ``unmixed`` gives them back."""
+    return keys * np.uint64(MIX)
+
+
+def unmixed(spread: np.ndarray) -> np.ndarray:
+    return spread * np.uint64(pow(MIX, -1, 1 << 64))
+
+
+def distinct(spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in order, and the place of each number among them.
+
+    The leading bits are sorted with the place in the others, which is several times as fast as to sort places.
+    Where two different numbers share them, the usual way is taken.
+    """
+    low = np.uint64(max(1, (len(spread) - 1).bit_length()))
+    sort = spread >> low
+    sort <<= low
+    sort |= np.arange(len(spread), dtype=np.uint64)
+    sort.sort()
+    sort &= (np.uint64(1) << low) - np.uint64(1)
+    at = sort.view(np.int64)
+    each = spread[at]
+    first = np.ones(len(each), bool)
+    first[1:] = each[1:] != each[:-1]
+    back = np.empty(len(each), np.int32)
+    back[at] = np.cumsum(first, dtype=np.int32) - 1
+    each = each[first]
+    if (each[1:] < each[:-1]).any() or len(each) > 1 and (each[1:] >> low == each[:-1] >> low).any():
+        each, back = np.unique(spread, return_inverse=True)
+    return each, back
+
+
 def batches_of(columns: list[pa.Array], names: list[str]) -> list[pa.RecordBatch]:
     """Rows in batches that the other side can hold beside its own work."""
     return pa.table(columns, names=names).to_batches(max_chunksize=ROWS_AT_ONCE)
@@ -132,8 +167,11 @@ def turned(key: np.ndarray) -> np.ndarray:
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """Whole numbers of one type, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
-    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize)
+    planes = np.empty((numbers.itemsize, len(raw)), np.uint8)
+    for j in range(numbers.itemsize):  # several times as fast as a copy of the transposed bytes
+        planes[j] = raw[:, j]
+    return pa.Codec("zstd").compress(planes, asbytes=True)
 
 
 def restored(block: bytes, kind: type, shape: tuple[int, int]) -> np.ndarray:
@@ -149,7 +187,7 @@ def packed(grams: np.ndarray, beside: np.ndarray, among: int) -> tuple[list[int]
     gram to gram and the numbers, byte plane by byte plane, compressed.
     """
     last = grams >> np.uint64(8 * (ORDER - SHORT))
-    group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(among) >> np.uint64(32)).astype(np.int32)
+    group = ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(among) >> np.uint64(32)).astype(np.uint16)
     order = np.argsort(group, kind="stable")
     grams, group = grams[order], group[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(grams) else np.zeros(0, np.int64)
@@ -174,10 +212,20 @@ def gram_blocks(docs: DataFrame, among: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []  # grams of all positions, and a last bit that tells training from held out
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def add_up() -> None:
+            held.append(np.unique(np.concatenate(waiting), return_counts=True))
+            waiting.clear()
+            held[:] = [merged(held)] if len(held) > 1 else held
+
         def rows() -> pa.RecordBatch:
-            groups, sizes, blocks, _ = packed(*merged(held), among)
+            marked, n = held[0]
+            grams = marked >> np.uint64(1)
+            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            trains = np.add.reduceat(n * (marked & np.uint64(1) == 0), first)
+            groups, sizes, blocks, _ = packed(grams[first], np.stack([trains, np.add.reduceat(n, first)], axis=1), among)
             return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(sizes, pa.int64()),
                                                pa.array(blocks, pa.binary())], names=["group", "size", "block"])
 
@@ -185,16 +233,17 @@ def gram_blocks(docs: DataFrame, among: int) -> DataFrame:
             for part in pieces(batch, "text", PIECE):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 out = part.column("held_out").to_pylist()
-                for trains in (True, False):
-                    own = [t for t, h in zip(texts, out) if h != trains]
-                    if own:
-                        keys, n = np.unique(turned(byte_keys(own)[0]), return_counts=True)
-                        held.append((keys, np.stack([n * trains, n], axis=1)))
-                if len(held) > 4:
-                    held[:] = [merged(held)]
-                if sum(len(k) for k, _ in held) > 4 * HELD:
-                    yield rows()
-                    held.clear()
+                keys, lengths = byte_keys(texts)
+                marked = turned(keys) << np.uint64(1)
+                marked |= np.repeat(np.array(out, np.uint64), lengths)
+                waiting.append(marked)
+                if sum(map(len, waiting)) > 16 * HELD:
+                    add_up()
+                    if len(held[0][0]) > 4 * HELD:
+                        yield rows()
+                        held.clear()
+        if waiting:
+            add_up()
         if held:
             yield rows()
 
@@ -208,7 +257,11 @@ def merged(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    if not len(first):
+        return keys[first], n
+    if n.ndim == 1:
+        return keys[first], np.add.reduceat(n, first)
+    return keys[first], np.stack([np.add.reduceat(c, first) for c in n.T], axis=1)
 
 
 def is_held_out():
@@ -431,8 +484,9 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     costs = materialise(key_costs(docs, counts, common, among), "costs")
     forget_shuffles(spark)
     found = costs.where("gram is not null").select("gram", "cost").toArrow()  # 2 ** KEY_BITS rows at most
-    order = np.argsort(found.column("gram").to_numpy())
-    frequent = found.column("gram").to_numpy()[order].astype(np.uint64), found.column("cost").to_numpy()[order]
+    spread = mixed(found.column("gram").to_numpy().astype(np.uint64))
+    order = np.argsort(spread)
+    frequent = spread[order], found.column("cost").to_numpy()[order]
     often = words.where(F.col("n") * (1 << WORD_BITS) >= tokens).toArrow()  # 2 ** WORD_BITS rows at most
     logs = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist()))
     ends = next((r["n"] for r in words.where(F.length("word") == 0).collect()), 0)
@@ -460,14 +514,15 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
             for part in pieces(batch, "text", SCORED):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 keys, lengths = byte_keys(texts)
-                each, back = np.unique(keys, return_inverse=True)
+                each, back = distinct(mixed(keys))
+                del keys
                 n, at = len(texts), np.searchsorted(often, each)
                 here = np.zeros(len(each), bool)
                 here[at < len(often)] = often[at[at < len(often)]] == each[at < len(often)]
                 own = np.zeros(len(each))
                 own[here] = cost[at[here]]
                 value = np.add.reduceat(own[back], np.cumsum(lengths) - lengths)
-                grams = turned(each[~here])
+                grams = turned(unmixed(each[~here]))
                 sort = np.argsort(grams)
                 groups, sizes, blocks, deal = packed(grams[sort], np.zeros((len(grams), 0), np.uint64), among)
                 place = np.zeros(len(each), np.int32)

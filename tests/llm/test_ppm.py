@@ -164,3 +164,13 @@ def test_a_piece_brings_the_grams_of_all_its_texts_in_one_block():
     piece = pa.table({"piece": [70], "n_grams": [[2, 0, 2]], "grams": pa.array([block], pa.binary())})
     found = pa.table({"start": [2, 0], "costs": pa.array([np.array(c, np.float32).tobytes() for c in ([-4.0], [-1.0, -2.0])], pa.binary())})
     assert P.added(None, piece, found).to_pylist() == [{"row": 70, "_score": -13.0}, {"row": 72, "_score": -8.0}]
+
+
+def test_distinct_numbers_and_their_places():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 56, 500, np.uint64)[rng.integers(0, 500, 5000)]
+    alike = np.array([7, 7, 6, 9, 8, 7, 1 << 40], np.uint64)  # the first bits are the same: the usual way is taken
+    for spread in (P.mixed(keys), alike, alike[:1], alike[:0]):
+        each, back = P.distinct(spread)
+        assert each.tolist() == np.unique(spread).tolist() and (each[back] == spread).all()
+    assert (P.unmixed(P.mixed(keys)) == keys).all()
