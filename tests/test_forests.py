@@ -1,5 +1,7 @@
 """The forest whose small nodes are finished in tasks: against MLlib's tree, and whole whatever the cut."""
 
+import functools
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import trees as G
 from cohortlens.operators import forests as FO
 from cohortlens.operators import models as M
+from cohortlens.plans import modelling as PM
 from cohortlens.storage import materialise
 
 
@@ -68,6 +71,25 @@ def test_settings_fitted_together_equal_those_alone(examples):
     assert max(t.depth for t in together[0].trees) <= 2
 
 
+def _vectors(spark, tmp_path, n=300):
+    """A table of ``n`` vectors of 64 values, the first tells the class."""
+    values = [F.floor(F.rand(s) * 20).cast("float") for s in range(64)]
+    rows = materialise(spark.range(n).select(F.col("id").alias("vec_id"), F.array(*values).alias("embedding")))
+    rows.withColumn("label", F.when(F.col("embedding")[0] > 5, 1 + F.col("vec_id") % 3).otherwise(0).cast("int")).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_forest_queries_learn_from_every_training_row(spark, tmp_path, monkeypatch):
+    """Whatever bound the input passes: a fit that samples 100 rows above 100 has not seen the 210 of the training part."""
+    if hasattr(M, "bounded"):
+        monkeypatch.setattr(M, "bounded", functools.partial(M.bounded, rows=100))
+    monkeypatch.setattr(M, "forest", functools.partial(M.forest, trees=3))
+    sf = _vectors(spark, tmp_path)
+    assert PM.forest_record(spark, sf).first()["n_train"] == 210
+    assert PM.permutation_importance(spark, sf).count() == 64
+
+
 def test_few_rows_are_fitted_by_mllib(examples, monkeypatch):
     monkeypatch.setattr(FO, "FEW", 1200)
     monkeypatch.setattr(FO, "grown", None)
