@@ -5,9 +5,10 @@ sends the full counts of each such node, however few rows it has; deep trees hav
 rows. Here the same growth (Poisson bootstrap, drawn features, binned cuts, Gini, pruning of equal
 leaves) is cut in two. Nodes with more than ``LOCAL`` rows are split by counts that all partitions
 add up, one pass for a depth of all trees. The rows of every other node are shuffled together once
-and its subtree is grown by one task, which so holds ``LOCAL`` rows at most. The result is stored
-as MLlib's own model. Only draws differ from MLlib's learner, which takes them in the order in
-which its driver visits the nodes.
+and its subtree is grown by one task, which so holds ``LOCAL`` rows at most. The result is stored as MLlib's own
+model, or (``grow``) as a table of trees that meets the rows to score in tasks, so the driver holds
+no nodes. Only draws differ from MLlib's learner, which takes them in the order in which its driver
+visits the nodes.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import trees as G
 from cohortlens.storage import materialise, scratch_path
@@ -38,9 +40,12 @@ LOCAL = 200_000
 FEW = 10_000
 #: Rows that the cuts of the features are taken from, as in MLlib.
 CUT_ROWS = 10_000
+#: Trees that one task scores rows with.
+TOGETHER = 10
 #: Parameters that settings fitted together may differ in.
 APART = {"maxDepth", "minInstancesPerNode", "featureSubsetStrategy"}
 
+_TREE = "tree int, nodes long, importance array<double>, feature binary, cut binary, left binary, right binary, share binary"
 _BLOCK = "unit int, node int, part int, seq int, bins binary, y binary, weight binary, bag binary"
 _GROWN = ("unit int, node int, local int, feature int, threshold double, left int, right int, "
           "stats array<double>, n long, gain double")
@@ -66,6 +71,14 @@ class GroupedForest(RandomForestClassifier):
             return super()._fit(dataset)
         return next(iter(self.fitMultiple(dataset, [{}])))[1]
 
+    def grow(self, dataset: DataFrame) -> GrownForest:
+        """The forest as a table of trees, by the growth above whatever the number of rows."""
+        if not _known(self):
+            raise ValueError("impurity, subsampling rate or bins that the growth does not know")
+        nodes, _, cuts = grown(dataset, [self])
+        trees = materialise(nodes.groupBy("treeID").applyInArrow(_packed(cuts), _TREE), "trees")
+        return GrownForest(trees, cuts, self.getFeaturesCol())
+
     def fitMultiple(self, dataset: DataFrame, paramMaps):
         """One model a setting; settings that differ in ``APART`` only are grown in the same passes."""
         if not _known(self) or any(p.name not in APART for m in paramMaps for p in m) or dataset.count() <= FEW:
@@ -88,6 +101,145 @@ class GroupedForest(RandomForestClassifier):
         return _FitMultipleIterator(model, len(settings))
 
 
+class GrownForest:
+    """A forest whose trees are rows of a stored table; its trees and the rows to score meet in tasks.
+
+    Stored and loaded in the way of MLlib's models, so ``models.fit_or_load`` takes it.
+    """
+
+    def __init__(self, trees: DataFrame, cuts: list[np.ndarray], features: str):
+        self.trees, self.cuts, self.features = trees, cuts, features
+
+    def write(self) -> GrownForest:
+        return self
+
+    def overwrite(self) -> GrownForest:
+        return self
+
+    def save(self, path: str) -> None:
+        self.trees.write.mode("overwrite").parquet(f"{path}/trees")
+        cuts = [[float(c) for c in points] for points in self.cuts]
+        self.trees.sparkSession.createDataFrame([(self.features, cuts)], "features string, cuts array<array<double>>").coalesce(
+            1).write.mode("overwrite").parquet(f"{path}/metadata")  # the last: it tells that all is there
+
+    @classmethod
+    def load(cls, path: str) -> GrownForest:
+        spark = SparkSession.active()
+        known = spark.read.parquet(f"{path}/metadata").first()
+        return cls(spark.read.parquet(f"{path}/trees"), [np.array(c, float) for c in known["cuts"]], known["features"])
+
+    @property
+    def totalNumNodes(self) -> int:
+        return self.trees.agg(F.sum("nodes")).first()[0]
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Each tree's gains, weighted by rows, add up to one; then the trees' are added up, to one again."""
+        each = self.trees.orderBy("tree").select("importance").toArrow().column("importance")  # a row a tree
+        total = sum(np.array(v) for v in each.to_pylist())
+        return DenseVector(total / total.sum() if total.sum() else total)
+
+    def with_scores(self, df: DataFrame, score: str, predicted: str) -> DataFrame:
+        """The rows without their vector, with the probability of class 1 and the decision.
+
+        Rows are stored as bins and dealt in slices of ``LOCAL`` rows; a slice meets ``TOGETHER`` trees in a task, whose
+        votes are then added up in the trees' order.
+        """
+        cuts, width, own = self.cuts, len(self.cuts), [c for c in df.columns if c != self.features]
+        kind = _kind(cuts)
+
+        def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bins = G.binned(_matrix(batch.column("_v"), width), cuts) if batch.num_rows else ()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in bins], pa.binary())],
+                                                 names=[*own, "_bins"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slice_, row = batch.column("_slice").to_numpy(), batch.column("_row").to_numpy()
+                bins = np.frombuffer(b"".join(batch.column("_bins").to_pylist()), kind).reshape(-1, width)
+                for k in np.unique(slice_).tolist():
+                    mine = slice_ == k
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row[mine].tobytes()], pa.binary()),
+                                                      pa.array([bins[mine].tobytes()], pa.binary())], names=["slice", "row", "bins"])
+
+        def vote(key: tuple[pa.Scalar, ...], trees: pa.Table, rows: pa.Table) -> pa.Table:
+            row, bins = _joined(rows, "row", np.int64), _joined(rows, "bins", kind).reshape(-1, width)
+            order = np.argsort(row)
+            row, bins, votes = row[order], bins[order], 0.0
+            for tree in trees.sort_by("tree").to_pylist():
+                top = {c: np.frombuffer(tree[c], np.int32) for c in ("feature", "cut", "left", "right")}
+                share = np.frombuffer(tree["share"]).reshape(len(top["cut"]), -1)
+                votes = votes + share[G.routed(bins, top)]
+            some = [[key[0].as_py()], [key[1].as_py()], [row.tobytes()], [votes.tobytes()]] if len(row) else [[]] * 4
+            return pa.table([pa.array(v, k) for v, k in zip(some, [pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
+                            names=["some", "slice", "row", "votes"])
+
+        def decide(group: pa.Table) -> pa.Table:
+            group = group.sort_by("some")
+            row = np.frombuffer(group.column("row")[0].as_py(), np.int64)
+            votes = sum(np.frombuffer(v.as_py()).reshape(len(row), -1) for v in group.column("votes"))
+            total = votes.sum(1)
+            return pa.table([pa.array(row), pa.array(np.divide(votes[:, 1], total, out=np.zeros(len(row)), where=total > 0)),
+                             pa.array(votes.argmax(1), pa.int32())], names=["_row", score, predicted])
+
+        binned = df.select(*own, vector_to_array(self.features).alias("_v"))
+        schema = T.StructType([*binned.schema.fields[:-1], T.StructField("_bins", T.BinaryType())])
+        stored = materialise(binned.mapInArrow(bin_, schema).withColumn("_row", F.monotonically_increasing_id()), "binned")
+        slices, groups = max(1, -(-stored.count() // LOCAL)), -(-self.trees.count() // TOGETHER)
+        blocks = stored.select("_bins", "_row", (F.col("_row") % slices).cast("int").alias("_slice")).mapInArrow(
+            pack, "slice int, row binary, bins binary").select("*", _each(groups, "some"))
+        trees = self.trees.select("*", (F.col("tree") / TOGETHER).cast("int").alias("some"), _each(slices, "slice"))
+        votes = trees.groupBy("some", "slice").cogroup(blocks.groupBy("some", "slice")).applyInArrow(
+            vote, "some int, slice int, row binary, votes binary")
+        said = votes.groupBy("slice").applyInArrow(decide, T.StructType([
+            T.StructField("_row", T.LongType()), T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
+        return stored.drop("_bins").join(said, "_row").drop("_row")
+
+
+def _each(n: int, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+
+def _kind(cuts: list[np.ndarray]) -> type:
+    """Of a bin's number."""
+    return np.uint8 if max(map(len, cuts)) < 256 else np.uint16
+
+
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _packed(cuts: list[np.ndarray]):
+    """One row of a tree's nodes, in the order of their ids, with each leaf's shares of the classes."""
+
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        node = group.column("nodeData").combine_chunks()
+        order = np.argsort(node.field("id").to_numpy())
+        number = {c: node.field(f).to_numpy()[order] for c, f in (("left", "leftChild"), ("right", "rightChild"), ("gain", "gain"))}
+        split = node.field("split")
+        feature = split.field("featureIndex").to_numpy()[order]
+        threshold = np.full(len(order), np.nan)
+        ends = split.field("leftCategoriesOrThreshold")
+        threshold[split.field("featureIndex").to_numpy() >= 0] = ends.flatten().to_numpy()  # a leaf has none
+        threshold, cut = threshold[order], np.full(len(order), -1)
+        for f in np.unique(feature[feature >= 0]):
+            cut[feature == f] = np.searchsorted(cuts[f], threshold[feature == f])
+        stats = node.field("impurityStats").flatten().to_numpy().reshape(len(order), -1)[order]
+        whole = stats.sum(1)
+        inner = feature >= 0
+        gains = np.bincount(feature[inner], (number["gain"] * whole)[inner], len(cuts))
+        gains = gains / gains.sum() if gains.sum() else gains
+        share = np.divide(stats, whole[:, None], out=np.zeros_like(stats), where=whole[:, None] > 0)
+        few = [feature, cut, number["left"], number["right"]]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(order)], pa.int64()), pa.array([gains.tolist()])]
+                        + [pa.array([c.astype(np.int32).tobytes()], pa.binary()) for c in few]
+                        + [pa.array([share.tobytes()], pa.binary())],
+                        names=["tree", "nodes", "importance", "feature", "cut", "left", "right", "share"])
+
+    return pack
+
+
 def _known(est: RandomForestClassifier) -> bool:
     return est.getImpurity() == "gini" and est.getSubsamplingRate() == 1.0 and est.getMaxBins() <= 1 << 16
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
-from cohortlens.operators.forests import APART, GroupedForest, held_out_scores
+from cohortlens.operators.forests import APART, GroupedForest, GrownForest, held_out_scores
 from cohortlens.operators.ordering import hash_positions
 from cohortlens.sources.tables import holds_table
 from cohortlens.storage import broadcast_if_small, materialise
@@ -118,8 +118,11 @@ def with_scores(model, df: DataFrame, score: str = "score",
                 predicted: str = "predicted") -> DataFrame:
     """Class-1 probability and decision, added to the rows they belong to.
 
-    A machine without probabilities gives its margin instead.
+    A machine without probabilities gives its margin instead. A forest that is a table of trees gives
+    the rows back without their vector.
     """
+    if isinstance(model, GrownForest):
+        return model.with_scores(df, score, predicted)
     out = model.transform(df)
     if "probability" in out.columns:
         value = vector_to_array("probability")[1]

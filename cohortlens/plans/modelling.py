@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
+from cohortlens.operators import forests as FO
 from cohortlens.operators import models as M
 from cohortlens.operators import shared as SN
 from cohortlens.operators import single_feature as SF
@@ -51,15 +51,14 @@ def _valid(spark, sf):
 
 def _forest(spark, sf):
     return M.fit_or_load(spark, _session_path(spark, sf, "forest"),
-                         lambda: _timed_fit(spark, sf),
-                         RandomForestClassificationModel)
+                         lambda: _timed_fit(spark, sf), FO.GrownForest)
 
 
 def _timed_fit(spark, sf):
     """The model, and beside it how long the fit took and on how many rows."""
-    train = materialise(M.placed(_train(spark, sf), "vec_id"), "train")
+    train = materialise(_train(spark, sf).select("vec_id", "y", "features", "weight"), "train")
     rows = M.placed(train, "vec_id")
-    took, model = M.seconds(lambda: M.forest().fit(rows))
+    took, model = M.seconds(lambda: M.forest().grow(rows))
     facts = spark.createDataFrame([(took, train.count())], "fit_seconds double, n_train long")
     facts.write.mode("overwrite").parquet(_session_path(spark, sf, "forest-facts"))
     return model
@@ -68,7 +67,8 @@ def _timed_fit(spark, sf):
 def _scored(spark, sf):
     """The validation rows with their scores, worked out once per session."""
     return read_or_build(spark, _session_path(spark, sf, "forest-scores"), lambda: M.with_scores(
-        _forest(spark, sf), _valid(spark, sf)).select("vec_id", "label", "y", "predicted", "score"))
+        _forest(spark, sf), _valid(spark, sf).select("vec_id", "label", "y", "features")).select(
+            "vec_id", "label", "y", "predicted", "score"))
 
 
 def forest_scores(spark, sf):

@@ -13,7 +13,7 @@ from cohortlens.functions import trees as G
 from cohortlens.operators import forests as FO
 from cohortlens.operators import models as M
 from cohortlens.plans import modelling as PM
-from cohortlens.storage import materialise
+from cohortlens.storage import materialise, scratch_path
 
 
 @pytest.fixture(autouse=True)
@@ -71,6 +71,25 @@ def test_settings_fitted_together_equal_those_alone(examples):
     assert max(t.depth for t in together[0].trees) <= 2
 
 
+def test_table_of_trees_equals_mllibs_model_of_the_same_nodes(spark, examples, monkeypatch):
+    """Also where the rows come in several slices, the trees in several groups, and after it was stored."""
+    forest, columns = M.forest(trees=7, depth=9, seed=3), ["id", "score", "predicted"]
+    theirs = forest.fit(examples)
+    monkeypatch.setattr(FO, "LOCAL", 500)
+    monkeypatch.setattr(FO, "TOGETHER", 3)
+    path = scratch_path(spark, "trees")
+    ours = M.fit_or_load(spark, path, lambda: forest.grow(examples), FO.GrownForest)
+    assert M.fit_or_load(spark, path, lambda: pytest.fail("a second fit"), FO.GrownForest).totalNumNodes == theirs.totalNumNodes
+    wanted = M.with_scores(theirs, examples).select(*columns).orderBy("id").collect()
+    found = M.with_scores(ours, examples).select(*columns).orderBy("id").collect()
+    assert [r["score"] for r in found] == pytest.approx([r["score"] for r in wanted], abs=1e-12)
+    assert [(r["id"], r["predicted"]) for r in found] == [(r["id"], r["predicted"]) for r in wanted]
+    assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray())
+    assert M.with_scores(ours, examples.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="does not know"):
+        M.forest(trees=2, subsamplingRate=0.5).grow(examples)
+
+
 def _vectors(spark, tmp_path, n=300):
     """A table of ``n`` vectors of 64 values, the first tells the class."""
     values = [F.floor(F.rand(s) * 20).cast("float") for s in range(64)]
@@ -90,6 +109,18 @@ def test_forest_queries_learn_from_every_training_row(spark, tmp_path, monkeypat
     assert PM.permutation_importance(spark, sf).count() == 64
 
 
+def test_forest_queries_have_one_learner_at_any_size(spark, tmp_path, monkeypatch):
+    """The bound below which MLlib's learner fits must not tell in their rows."""
+    monkeypatch.setattr(M, "forest", functools.partial(M.forest, trees=5))
+    scored = {}
+    for few in (0, 1000):
+        monkeypatch.setattr(FO, "FEW", few)
+        (tmp_path / str(few)).mkdir()
+        found = PM.forest_scores(spark, _vectors(spark, tmp_path / str(few))).orderBy("vec_id").collect()
+        scored[few] = [(r["vec_id"], r["predicted"], r["score"]) for r in found]
+    assert scored[0] == scored[1000] and len(scored[0]) == 45
+
+
 def test_few_rows_are_fitted_by_mllib(examples, monkeypatch):
     monkeypatch.setattr(FO, "FEW", 1200)
     monkeypatch.setattr(FO, "grown", None)
