@@ -22,6 +22,7 @@ from cohortlens import constants as K
 from cohortlens.operators import evaluate as E
 from cohortlens.operators.forests import APART, GroupedForest, GrownForest, held_out_scores
 from cohortlens.operators.ordering import hash_positions
+from cohortlens.operators.split import stratified_sample
 from cohortlens.sources.tables import holds_table
 from cohortlens.storage import broadcast_if_small, materialise
 
@@ -80,6 +81,11 @@ def placed(df: DataFrame, id_col: str, partitions: int = FIT_PARTITIONS) -> Data
     return df.repartition(partitions, id_col).sortWithinPartitions(id_col)
 
 
+def bounded(df: DataFrame, id_col: str, label: str, rows: int, seed: int = K.SEED) -> DataFrame:
+    """At most ``rows`` labelled rows, an exact sample of each class; a smaller table as it is. No query fits on these."""
+    return df if df.count() <= rows else stratified_sample(df, id_col, [label], rows, seed)
+
+
 def forest(trees: int = 100, depth: int = 30, seed: int = K.SEED, label: str = "y",
            weight: str | None = "weight", **params) -> RandomForestClassifier:
     """The baseline learner; 30 is the deepest tree that MLlib's models hold.
